@@ -88,8 +88,8 @@ def repaired_low(low, open_, high, close, date):
 
 
 def converted(price, rate):
-    """A price in another currency at the rate of its day, kept to cents."""
-    return F.round(as_column(price) * as_column(rate), 2)
+    """A price in another currency at the rate of its day, kept to cents (SQL text)."""
+    return f"round({price} * {rate}, 2)"
 
 
 def feed_kind(base, quote):

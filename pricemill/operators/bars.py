@@ -54,18 +54,15 @@ def rollup(df, unit, series, order, measures, suffixes=("",), extra=()):
     earliest one seen, so a week that straddles two months belongs to its first day's month.
     """
     key = PERIOD_KEYS[unit]
-    aggregates = [F.min(name).alias(name) for name in coarser_keys(unit)]
+    special = {"low": "min({0})", "high": "max({0})", "open": "min_by({0}, {1})"}
+    aggregates = [f"min({name}) AS {name}" for name in coarser_keys(unit)]
     for suffix in suffixes:
         for measure in measures:
+            pick = special.get(measure, "max_by({0}, {1})")
             name = measure + suffix
-            pick = {
-                "low": lambda c: F.min(c),
-                "high": lambda c: F.max(c),
-                "open": lambda c: F.min_by(c, order),
-            }.get(measure, lambda c: F.max_by(c, order))
-            aggregates.append(pick(name).alias(name))
-    aggregates += [F.max(name).alias(name) for name in extra]
-    return df.groupBy(*columns(series), key).agg(*aggregates)
+            aggregates.append(f"{pick.format(name, order)} AS {name}")
+    aggregates += [f"max({name}) AS {name}" for name in extra]
+    return df.groupBy(*columns(series), key).agg(*map(F.expr, aggregates))
 
 
 def first_last(df, partition, order, first=(), last=()):

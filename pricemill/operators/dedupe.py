@@ -29,27 +29,24 @@ def dedupe_latest(df, keys, latest, tie_breakers=()):
     latest_type = df.schema[latest].dataType
     if not tie_breakers and all(isinstance(f.dataType, _FIXED_WIDTH) for f in values):
         order = _never_null(latest, latest_type)
-        return (
-            df.groupBy(*keys)
-            .agg(*[F.max_by(f.name, order).alias(f.name) for f in values])
-            .select(*df.columns)
-        )
+        picks = [F.expr(f"max_by(`{f.name}`, {order}) AS `{f.name}`") for f in values]
+        return df.groupBy(*keys).agg(*picks).select(*df.columns)
     order = [F.col(c).desc_nulls_last() for c in (latest, *tie_breakers)]
     return keep_top(df, keys, order, 1)
 
 
 def _never_null(name, data_type):
-    """``max_by`` skips NULL keys; give them the smallest value instead."""
-    column = F.col(name)
+    """SQL for the order key; ``max_by`` skips NULL keys, so they become the smallest."""
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return f"coalesce(`{name}`, double('-infinity'))"
+    key = f"`{name}`"
     if isinstance(data_type, T.TimestampType):
-        column = F.unix_micros(column)
+        key = f"unix_micros(`{name}`)"
     elif isinstance(data_type, T.TimestampNTZType):
-        column = F.unix_micros(F.to_utc_timestamp(column, "UTC"))
+        key = f"unix_micros(CAST(`{name}` AS TIMESTAMP))"
     elif isinstance(data_type, T.DateType):
-        column = F.unix_date(column).cast("long")
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return F.coalesce(column, F.lit(float("-inf")))
-    return F.coalesce(column.cast("long"), F.lit(-(2**63)))
+        key = f"unix_date(`{name}`)"
+    return f"coalesce(CAST({key} AS BIGINT), {-(2**63) + 1}L)"
 
 
 def keep_top(df, keys, order, rows):

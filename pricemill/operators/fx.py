@@ -64,33 +64,27 @@ def latest_rates(rates):
 
 def expand_currencies(df, measures=MEASURES, currencies=CONVERTED_CURRENCIES):
     """``<measure>_usd`` as it is, and ``<measure>_<currency>`` at the rate of the day."""
-    return df.select(
+    return df.selectExpr(
         *[c for c in df.columns if c not in measures],
-        *[F.col(m).alias(f"{m}_usd") for m in measures],
-        *[
-            converted(m, f"rate_usd_{c}").alias(f"{m}_{c}")
-            for c in currencies
-            for m in measures
-        ],
+        *currency_columns(measures, currencies),
     )
 
 
+def currency_columns(measures=MEASURES, currencies=CONVERTED_CURRENCIES):
+    """SQL text of the wide columns, the base currency first."""
+    wide = [f"{m} AS {m}_usd" for m in measures]
+    for c in currencies:
+        wide += [f"{converted(m, f'rate_usd_{c}')} AS {m}_{c}" for m in measures]
+    return wide
+
+
 def unpivot_currencies(df, ids, measures=MEASURES, currencies=CURRENCIES):
     """Wide measure-by-currency columns to one row per currency."""
-    return df.select(
-        *ids,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("currency"),
-                        *[F.col(f"{m}_{c}").alias(m) for m in measures],
-                    )
-                    for c in currencies
-                ]
-            )
-        ),
+    names = ", ".join(("currency", *measures))
+    rows = ", ".join(
+        f"'{c}', " + ", ".join(f"{m}_{c}" for m in measures) for c in currencies
     )
+    return df.selectExpr(*ids, f"stack({len(currencies)}, {rows}) AS ({names})")
 
 
 def convert_daily(bars, rates, date, measures, currencies=CONVERTED_CURRENCIES):
@@ -108,6 +102,6 @@ def convert_latest(df, rates, measures, currency, optional=()):
     if currency == "USD":
         return df
     rate = latest_rates(rates).select(F.col(f"rate_usd_{currency.lower()}").alias("_rate"))
-    changed = {m: F.col(m) * F.col("_rate") for m in measures}
-    changed |= {m: F.nullif(F.col(m), F.lit(0.0)) * F.col("_rate") for m in optional}
+    changed = {m: F.expr(f"{m} * _rate") for m in measures}
+    changed |= {m: F.expr(f"nullif({m}, 0D) * _rate") for m in optional}
     return df.crossJoin(F.broadcast(rate)).withColumns(changed).drop("_rate")

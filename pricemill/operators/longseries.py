@@ -8,14 +8,17 @@ window over (series, chunk) sees everything a frame of ``halo`` preceding rows n
 copies are dropped afterwards.
 
 Positions come without a global sort: rows are bucketed by ``floor(order / chunk_rows)``. The
-order key is an integer, unique per series, so a bucket cannot hold more than ``chunk_rows``
-rows however skewed the data. Bucket sizes are a small aggregate whose running sum gives each
-bucket its first position; a sort inside the bucket gives the rest. Everything is a
-deterministic function of the data, so a lost executor recomputes the same chunks.
+order key is an integer (or a date or timestamp), unique per series, so a bucket cannot hold
+more than ``chunk_rows`` rows however skewed the data. Bucket sizes are a small aggregate
+whose running sum gives each bucket its first position; a sort inside the bucket gives the
+rest. The running sum has two levels, so that with sparse keys (many small buckets) it does
+not end up in one task either. Everything is a deterministic function of the data: a lost
+executor recomputes the same chunks.
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricemill.functions.windows import columns
 from pricemill.operators.joins import join_groups
@@ -24,28 +27,64 @@ CHUNK = "_chunk"
 HALO = "_halo"
 POSITION = "_position"
 _BUCKET = "_bucket"
+_REGION = "_region"
 _OFFSET = "_offset"
-_END = "_end"
 
 DEFAULT_CHUNK_ROWS = 1 << 16
+# Buckets per region, the upper level of the running sum.
+_REGION_BUCKETS = 1 << 16
+
+
+def _floor_div(expression, divisor):
+    """Whole-number floor division (``/`` would go through doubles and lose long keys)."""
+    return f"(({expression}) - pmod({expression}, {divisor}L)) div {divisor}L"
+
+
+def _with_bucket(df, order, chunk_rows):
+    data_type = df.schema[order].dataType
+    key = f"CAST(`{order}` AS BIGINT)"
+    if isinstance(data_type, T.DateType):
+        key = f"CAST(unix_date(`{order}`) AS BIGINT)"
+    elif isinstance(data_type, T.TimestampType):
+        key = f"unix_micros(`{order}`)"
+    elif isinstance(data_type, T.TimestampNTZType):
+        key = f"unix_micros(CAST(`{order}` AS TIMESTAMP))"
+    return df.withColumn(_BUCKET, F.expr(_floor_div(key, chunk_rows)))
+
+
+def _with_region(buckets):
+    return buckets.withColumn(_REGION, F.expr(_floor_div(_BUCKET, _REGION_BUCKETS)))
+
+
+def _running(partition, order, last):
+    return (
+        Window.partitionBy(*partition).orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, last)
+    )
 
 
 def with_position(df, series, order, chunk_rows=DEFAULT_CHUNK_ROWS):
     """Add the zero-based position of each row in its series."""
     series = columns(series)
-    bucketed = df.withColumn(_BUCKET, F.floor(F.col(order) / F.lit(chunk_rows)))
-    sizes = bucketed.groupBy(*series, _BUCKET).agg(F.count(F.lit(1)).alias("_rows"))
-    running = (
-        Window.partitionBy(*series).orderBy(_BUCKET)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bucketed = _with_bucket(df, order, chunk_rows)
+    sizes = _with_region(
+        bucketed.groupBy(*series, _BUCKET).agg(F.count(F.lit(1)).alias("_rows"))
     )
-    offsets = sizes.select(
-        *series, _BUCKET, (F.sum("_rows").over(running) - F.col("_rows")).alias(_OFFSET)
+    regions = sizes.groupBy(*series, _REGION).agg(F.sum("_rows").alias("_region_rows"))
+    starts = regions.select(
+        *series, _REGION,
+        (F.sum("_region_rows").over(_running(series, _REGION, 0)) - F.col("_region_rows"))
+        .alias("_start"),
     )
+    in_region = _running([*series, _REGION], _BUCKET, 0)
+    offsets = join_groups(
+        sizes.withColumn("_before", F.sum("_rows").over(in_region) - F.col("_rows")),
+        starts, [*series, _REGION],
+    ).select(*series, _BUCKET, (F.col("_start") + F.col("_before")).alias(_OFFSET))
     in_bucket = Window.partitionBy(*series, _BUCKET).orderBy(order)
+    ranked = bucketed.withColumn(POSITION, F.row_number().over(in_bucket) - F.lit(1))
     return (
-        bucketed.withColumn(POSITION, F.row_number().over(in_bucket) - F.lit(1))
-        .transform(join_groups, offsets, [*series, _BUCKET])
+        join_groups(ranked, offsets, [*series, _BUCKET])
         .withColumn(POSITION, F.col(POSITION) + F.col(_OFFSET))
         .drop(_BUCKET, _OFFSET)
     )
@@ -54,12 +93,13 @@ def with_position(df, series, order, chunk_rows=DEFAULT_CHUNK_ROWS):
 def with_chunks(df, series, order, halo, chunk_rows=DEFAULT_CHUNK_ROWS):
     """Add position, chunk and halo flag; rows near a chunk's end are copied into the next."""
     rows = max(chunk_rows, halo + 1)
-    positioned = with_position(df, series, order, chunk_rows)
-    own = F.floor(F.col(POSITION) / F.lit(rows))
-    last = F.floor((F.col(POSITION) + F.lit(halo)) / F.lit(rows))
     return (
-        positioned.withColumn("_own", own)
-        .withColumn(CHUNK, F.explode(F.sequence(F.col("_own"), last)))
+        with_position(df, series, order, chunk_rows)
+        .withColumn("_own", F.expr(_floor_div(POSITION, rows)))
+        .withColumn(
+            CHUNK,
+            F.explode(F.sequence("_own", F.expr(_floor_div(f"{POSITION} + {halo}", rows)))),
+        )
         .withColumn(HALO, F.col(CHUNK) != F.col("_own"))
         .drop("_own")
     )
@@ -76,36 +116,54 @@ def forward_fill(df, series, order, values, chunk_rows=DEFAULT_CHUNK_ROWS):
     """Fill NULLs with the last value before them, for series of any length.
 
     A fill can reach back without limit, so a halo does not do. Each bucket's last values are
-    a small aggregate; their own forward fill (one row per bucket) is what a bucket starts
-    from.
+    a small aggregate; what a bucket starts from is the last one before it in its region, or
+    else at the end of an earlier region.
     """
     series = columns(series)
-    bucketed = df.withColumn(_BUCKET, F.floor(F.col(order) / F.lit(chunk_rows)))
-    ends = bucketed.groupBy(*series, _BUCKET).agg(
+    bucketed = _with_bucket(df, order, chunk_rows)
+    ends = _with_region(
+        bucketed.groupBy(*series, _BUCKET).agg(
+            *[_last_known(v, order).alias(f"_end_{v}") for v in values]
+        )
+    )
+    region_ends = ends.groupBy(*series, _REGION).agg(
+        *[_last_known(f"_end_{v}", _BUCKET).alias(f"_region_{v}") for v in values]
+    )
+    earlier = region_ends.select(
+        *series, _REGION,
         *[
-            F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(_END + v)
+            F.last(f"_region_{v}", ignorenulls=True).over(_running(series, _REGION, -1))
+            .alias(f"_earlier_{v}")
             for v in values
-        ]
+        ],
     )
-    before = (
-        Window.partitionBy(*series).orderBy(_BUCKET)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = ends.select(
+    in_region = _running([*series, _REGION], _BUCKET, -1)
+    carried = join_groups(
+        ends.select(
+            *series, _REGION, _BUCKET,
+            *[
+                F.last(f"_end_{v}", ignorenulls=True).over(in_region).alias(f"_near_{v}")
+                for v in values
+            ],
+        ),
+        earlier, [*series, _REGION],
+    ).select(
         *series, _BUCKET,
-        *[F.last(_END + v, ignorenulls=True).over(before).alias(_OFFSET + v) for v in values],
-    )
-    inside = (
-        Window.partitionBy(*series, _BUCKET).orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *[F.coalesce(f"_near_{v}", f"_earlier_{v}").alias(f"_carry_{v}") for v in values],
     )
+    inside = _running([*series, _BUCKET], order, 0)
     filled = bucketed.select(
         *[c for c in bucketed.columns if c not in values],
         *[F.last(v, ignorenulls=True).over(inside).alias(v) for v in values],
     )
     return join_groups(filled, carried, [*series, _BUCKET]).select(
         *[
-            F.coalesce(v, _OFFSET + v).alias(v) if v in values else F.col(v)
+            F.coalesce(v, f"_carry_{v}").alias(v) if v in values else F.col(v)
             for v in df.columns
         ]
     )
+
+
+def _last_known(value, order):
+    """The value at the largest order key that has one."""
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order)))

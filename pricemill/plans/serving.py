@@ -93,21 +93,21 @@ def in_range(df, date, days, start, end, as_of):
 
 
 def _history_rows(df, date, volume, status, series):
-    return df.select(
+    return df.withColumn("_status", status).selectExpr(
         series,
-        F.col(date).alias("date"),
-        *[F.col(f"{m}_usd").alias(m) for m in ("open", "high", "low", "close")],
-        volume.cast("double").alias("volume"),
+        f"{date} AS date",
+        *[f"{m}_usd AS {m}" for m in ("open", "high", "low", "close")],
+        f"CAST({volume} AS DOUBLE) AS volume",
         "rsi",
-        status.alias("rsi_status"),
-        *[F.col(f"{m}_usd").alias(m) for m in INDICATORS],
+        "_status AS rsi_status",
+        *[f"{m}_usd AS {m}" for m in INDICATORS],
     )
 
 
 def history_daily(fact, rates, days=30, start=None, end=None, currency="USD", as_of=None,
                   series="series"):
     rows = in_range(fact, "date_prices", days, start, end, as_of)
-    shaped = _history_rows(rows, "date_prices", F.col("volume"), F.col("rsi_status"), series)
+    shaped = _history_rows(rows, "date_prices", "volume", F.col("rsi_status"), series)
     return _served(shaped, rates, currency, series)
 
 
@@ -116,7 +116,7 @@ def history_monthly(month, rates, days, start=None, end=None, currency="USD", as
     """From the month table: no volume, status recomputed from the RSI value."""
     key = PERIOD_KEYS["month"]
     rows = in_range(month, key, days, start, end, as_of)
-    shaped = _history_rows(rows, key, F.lit(0), rsi_label("rsi"), series)
+    shaped = _history_rows(rows, key, "0", rsi_label("rsi"), series)
     return _served(shaped, rates, currency, series)
 
 
@@ -201,10 +201,12 @@ def period_stats(bars, series="series", date="date"):
 def indicator_points(rows, group, series="series", date="date"):
     """A group of indicators as (date, indicator, value) points; NULL points are removed."""
     names = INDICATOR_GROUPS[group]
-    points = F.inline(
-        F.array(*[F.struct(F.lit(n).alias("indicator"), F.col(n).alias("value")) for n in names])
-    )
-    return rows.select(series, date, points).filter(F.col("value").isNotNull())
+    return _points(rows, names, series, date).filter(F.col("value").isNotNull())
+
+
+def _points(rows, names, series, date):
+    cells = ", ".join(f"'{n}', {n}" for n in names)
+    return rows.selectExpr(series, date, f"stack({len(names)}, {cells}) AS (indicator, value)")
 
 
 def repair_lows(bars, date="date"):
@@ -214,15 +216,7 @@ def repair_lows(bars, date="date"):
 def chart_series(rows, groups=("rsi", "macd", "sma", "ema"), series="series", date="date"):
     """Repaired prices and the chosen indicators as points, RSI smoothed for long spans."""
     repaired = repair_lows(rows, date)
-    prices = repaired.select(
-        series, date,
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(m).alias("indicator"), F.col(m).alias("value")) for m in OHLC]
-            )
-        ),
-    )
-    parts = [prices]
+    parts = [_points(repaired, OHLC, series, date)]
     for group in groups:
         if group == "rsi":
             smoothed = indicators.rsi_points(rows, series, date)

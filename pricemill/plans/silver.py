@@ -2,13 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricemill.constants import (
-    CONVERTED_CURRENCIES,
-    INDICATOR_COLUMNS,
-    INDICATORS,
-    MEASURES,
-)
-from pricemill.functions.scalars import converted
+from pricemill.constants import INDICATOR_COLUMNS, INDICATORS, MEASURES
 from pricemill.operators import fx, indicators
 from pricemill.operators.dedupe import dedupe_latest
 from pricemill.operators.incremental import filter_new
@@ -24,10 +18,10 @@ def fact_indicators(raw, batch_id, target=None, processed_at=None, series="serie
         raw = filter_new(raw, target, "ingest_date_time")
     fields = [series, "d", "ingest_date_time", *INDICATOR_COLUMNS]
     latest = dedupe_latest(raw.select(*fields), [series, "d"], "ingest_date_time")
-    shaped = latest.select(
+    shaped = latest.selectExpr(
         series,
-        F.col("d").alias("date_indicators"),
-        *[F.round(src, 2).alias(dst) for src, dst in INDICATOR_COLUMNS.items()],
+        "d AS date_indicators",
+        *[f"round({src}, 2) AS {dst}" for src, dst in INDICATOR_COLUMNS.items()],
     )
     return stamp_batch(shaped, batch_id, processed_at)
 
@@ -68,20 +62,18 @@ def obt_fact_day(raw, fact, rates, batch_id, target=None, processed_at=None, ser
         bars = filter_new(bars, target, "ingest_date_time", mode="lookback")
     daily = fact.select(series, F.to_date("date_indicators").alias("date"), *INDICATORS)
     stamped = stamp_batch(bars.join(daily, [series, "date"], "left"), batch_id, processed_at)
-    return fx.join_rates(stamped, rates, "date").select(
+    wide = fx.currency_columns()
+    base, converted = wide[:len(MEASURES)], wide[len(MEASURES):]
+    return fx.join_rates(stamped, rates, "date").selectExpr(
         series,
-        F.col("date").alias("date_prices"),
-        *[F.col(m).alias(f"{m}_usd") for m in MEASURES],
+        "date AS date_prices",
+        *base,
         "volume",
         "rsi",
         "rsi_status",
         "rate_usd_chf",
         "rate_usd_eur",
-        *[
-            converted(m, f"rate_usd_{c}").alias(f"{m}_{c}")
-            for c in CONVERTED_CURRENCIES
-            for m in MEASURES
-        ],
+        *converted,
         "ingest_date_time",
         "dbt_batch_id",
     )

@@ -3,6 +3,9 @@
 Each function has a twin among the named SQL parts below it.
 """
 
+import functools
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +20,14 @@ PROCESSED_AT = "2001-12-31 00:00:00"
 BATCH = "batch-1"
 
 
+@functools.cache
+def _schema(sf, name):
+    return SparkSession.active().read.parquet(f"{sf}/{name}.parquet").schema
+
+
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the files once per process."""
+    return spark.read.schema(_schema(sf, name)).parquet(f"{sf}/{name}.parquet")
 
 
 def plain(df):
@@ -331,8 +340,11 @@ for _unit, _key in _KEYS.items():
     rsi_parts(f"x_{_unit}", f"x_{_unit}", _key, "close_usd")
 
 
-def gold_tables(spark, sf):
-    return gold.all_periods(obt(spark, sf), BATCH, PROCESSED_AT)
+def gold_table(spark, sf, unit):
+    week = gold.aggregate(obt(spark, sf), "week", BATCH, processed_at=PROCESSED_AT)
+    if unit == "week":
+        return week
+    return gold.aggregate(week, unit, BATCH, processed_at=PROCESSED_AT)
 
 
 def forecasts(spark, sf):

@@ -7,7 +7,7 @@ from pricemill.operators import bars as bar_ops
 from pricemill.operators import indicators
 from pricemill.plans import serving
 from pricemill.registry import inputs
-from pricemill.registry.entries import part, query, rsi_parts
+from pricemill.registry.entries import part, query, rounded, rsi_parts
 from pricemill.registry.market import week_bars
 
 # Rows per chunk of a tick series: small, so the test tables have chunk borders.
@@ -77,10 +77,19 @@ def rsi_status(spark, sf):
     )
 
 
+def _settled(column, digits):
+    """Rounded twice, so that a last-bit difference does not decide a tie."""
+    return F.round(F.round(column, 8), digits)
+
+
+def _settled_sql(expression, digits):
+    return rounded(f"round({expression}, 8)", digits)
+
+
 def _sma_sql(source, order, spans, digits=5):
     return f"SELECT series, {order}, " + ", ".join(
-        f"round(CASE WHEN count(*) OVER w{s} = {s} THEN avg(close) OVER w{s} END, {digits})"
-        f" AS sma_{s}" for s in spans
+        _settled_sql(f"CASE WHEN count(*) OVER w{s} = {s} THEN avg(close) OVER w{s} END", digits)
+        + f" AS sma_{s}" for s in spans
     ) + f" FROM {source} WINDOW " + ", ".join(
         f"w{s} AS (PARTITION BY series ORDER BY {order}"
         f" ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW)" for s in spans
@@ -88,7 +97,7 @@ def _sma_sql(source, order, spans, digits=5):
 
 
 def _rounded(df, keys, names, digits=5):
-    return df.select(*keys, *[F.round(n, digits).alias(n) for n in names])
+    return df.select(*keys, *[_settled(n, digits).alias(n) for n in names])
 
 
 @query("sma", _sma_sql("x_bars", "date", (7, 50, 200)))
@@ -133,7 +142,7 @@ for _source, _order, _tag in (("x_bars", "date", "bar"), ("x_line", "tick", "lin
 
 
 def _ema_sql(tag, order, spans):
-    columns = ", ".join(f"round(e{s}.y, 4) AS ema_{s}" for s in spans)
+    columns = ", ".join(_settled_sql(f"e{s}.y", 4) + f" AS ema_{s}" for s in spans)
     joins = " ".join(
         f"JOIN x_{tag}_ema_{s} e{s} ON e{s}.series = b.series AND e{s}.i = b.i" for s in spans
     )
@@ -142,8 +151,9 @@ def _ema_sql(tag, order, spans):
 
 def _macd_sql(tag, order):
     return (
-        f"SELECT b.series, b.{order}, round(macd, 4) AS macd, round(y, 4) AS macd_signal,"
-        f" round(macd - y, 4) AS macd_hist, macd >= y AS positive"
+        f"SELECT b.series, b.{order}, {_settled_sql('macd', 4)} AS macd,"
+        f" {_settled_sql('y', 4)} AS macd_signal, {_settled_sql('macd - y', 4)} AS macd_hist,"
+        " macd >= y AS positive"
         f" FROM x_{tag}_signal_i b JOIN x_{tag}_signal s ON s.series = b.series AND s.i = b.i"
     )
 
@@ -165,7 +175,7 @@ def ema_ticks(spark, sf):
 def _macd_rows(df, order):
     return df.select(
         "series", order,
-        *[F.round(n, 4).alias(n) for n in ("macd", "macd_signal", "macd_hist")],
+        *[_settled(n, 4).alias(n) for n in ("macd", "macd_signal", "macd_hist")],
         (F.col("macd_hist") >= 0).alias("positive"),
     )
 

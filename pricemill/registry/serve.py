@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricemill.constants import INDICATORS, OHLC
+from pricemill.constants import INDICATORS, MONTHLY_HISTORY_DAYS, OHLC
 from pricemill.functions import scalars
 from pricemill.plans import serving
 from pricemill.registry import inputs
@@ -66,8 +66,10 @@ _LABEL = (
 
 
 def _history(spark, sf, **how):
+    monthly = how.get("days", 0) >= MONTHLY_HISTORY_DAYS
     return serving.history(
-        inputs.obt(spark, sf), inputs.gold_tables(spark, sf)["month"],
+        None if monthly else inputs.obt(spark, sf),
+        inputs.gold_table(spark, sf, "month") if monthly else None,
         inputs.usd_rates(spark, sf), as_of=inputs.AS_OF, **how,
     )
 
@@ -117,17 +119,17 @@ def _last12_sql(unit, key):
 
 @query("agg_last12_week", _last12_sql("week", "iso_week_start_date"))
 def agg_last12_week(spark, sf):
-    return serving.aggregated(inputs.gold_tables(spark, sf), "weekly")
+    return serving.aggregated({"week": inputs.gold_table(spark, sf, "week")}, "weekly")
 
 
 @query("agg_last12_month", _last12_sql("month", "month_start_date"))
 def agg_last12_month(spark, sf):
-    return serving.aggregated(inputs.gold_tables(spark, sf), "monthly")
+    return serving.aggregated({"month": inputs.gold_table(spark, sf, "month")}, "monthly")
 
 
 @query("agg_last12_quarter", _last12_sql("quarter", "quarter_start_date"))
 def agg_last12_quarter(spark, sf):
-    return serving.aggregated(inputs.gold_tables(spark, sf), "quarterly")
+    return serving.aggregated({"quarter": inputs.gold_table(spark, sf, "quarter")}, "quarterly")
 
 
 def _forecast(spark, sf, currency="USD"):
@@ -208,9 +210,9 @@ def _points_sql(names):
 
 
 def _chart_rows(spark, sf):
-    return inputs.obt(spark, sf).select(
-        "series", F.col("date_prices").alias("date"), "volume", "rsi",
-        *[F.col(f"{m}_usd").alias(m) for m in (*OHLC, *INDICATORS)],
+    return inputs.obt(spark, sf).selectExpr(
+        "series", "date_prices AS date", "volume", "rsi",
+        *[f"{m}_usd AS {m}" for m in (*OHLC, *INDICATORS)],
     )
 
 

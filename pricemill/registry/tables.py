@@ -35,22 +35,22 @@ def _gold_sql(unit):
 
 @query("gold_week", _gold_sql("week"))
 def gold_week(spark, sf):
-    return inputs.plain(inputs.gold_tables(spark, sf)["week"])
+    return inputs.plain(inputs.gold_table(spark, sf, "week"))
 
 
 @query("gold_month", _gold_sql("month"))
 def gold_month(spark, sf):
-    return inputs.plain(inputs.gold_tables(spark, sf)["month"])
+    return inputs.plain(inputs.gold_table(spark, sf, "month"))
 
 
 @query("gold_quarter", _gold_sql("quarter"))
 def gold_quarter(spark, sf):
-    return inputs.plain(inputs.gold_tables(spark, sf)["quarter"])
+    return inputs.plain(inputs.gold_table(spark, sf, "quarter"))
 
 
 @query("gold_year", _gold_sql("year"))
 def gold_year(spark, sf):
-    return inputs.plain(inputs.gold_tables(spark, sf)["year"])
+    return inputs.plain(inputs.gold_table(spark, sf, "year"))
 
 
 @query(
