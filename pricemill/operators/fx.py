@@ -101,7 +101,7 @@ def convert_latest(df, rates, measures, currency, optional=()):
         raise ValueError(f"unknown currency {currency}")
     if currency == "USD":
         return df
-    rate = latest_rates(rates).select(F.col(f"rate_usd_{currency.lower()}").alias("_rate"))
+    rate = latest_rates(rates).select(f"rate_usd_{currency.lower()}").scalar()
     changed = {m: F.expr(f"{m} * _rate") for m in measures}
     changed |= {m: F.expr(f"nullif({m}, 0D) * _rate") for m in optional}
-    return df.crossJoin(F.broadcast(rate)).withColumns(changed).drop("_rate")
+    return df.withColumn("_rate", rate).withColumns(changed).drop("_rate")

@@ -10,8 +10,8 @@ from pricemill.registry import inputs
 from pricemill.registry.entries import part, query, rounded, rsi_parts
 from pricemill.registry.market import week_bars
 
-# Rows per chunk of a tick series: small, so the test tables have chunk borders.
-CHUNK_ROWS = 4096
+# Rows per chunk of a tick series.
+CHUNK_ROWS = 1 << 14
 
 rsi_parts("x_line", "x_line", "tick", "close")
 rsi_parts("x_bar_week", "x_bar_week", "iso_week_start_date", "close")
