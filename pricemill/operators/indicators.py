@@ -102,16 +102,12 @@ def ema(df, series, order, price, spans=AVERAGE_SPANS, names=None, chunk_rows=No
     if chunk_rows is None:
         counted = _with_price_position(df, columns(series), order, price)
         return _ema_columns(counted, columns(series), order, price, spans, names).drop(POSITION)
-    priced = df.filter(F.col(price).isNotNull())
 
     def build(frame, partition):
         return _ema_columns(frame, partition, order, price, spans, names)
 
-    averaged = over_chunks(priced, series, order, _fade_rows(max(spans)), chunk_rows, build)
-    if not df.schema[price].nullable:
-        return averaged
-    unpriced = df.filter(F.col(price).isNull())
-    return averaged.unionByName(unpriced, allowMissingColumns=True)
+    halo = _fade_rows(max(spans))
+    return over_chunks(df, series, order, halo, chunk_rows, build, counted=price)
 
 
 def macd(df, series, order, price, fast=MACD_FAST, slow=MACD_SLOW, signal=MACD_SIGNAL,
@@ -128,12 +124,7 @@ def macd(df, series, order, price, fast=MACD_FAST, slow=MACD_SLOW, signal=MACD_S
         counted = _with_price_position(df, columns(series), order, price)
         return build(counted, columns(series)).drop(POSITION)
     halo = _fade_rows(slow) + _fade_rows(signal)
-    priced = df.filter(F.col(price).isNotNull())
-    averaged = over_chunks(priced, series, order, halo, chunk_rows, build)
-    if not df.schema[price].nullable:
-        return averaged
-    unpriced = df.filter(F.col(price).isNull())
-    return averaged.unionByName(unpriced, allowMissingColumns=True)
+    return over_chunks(df, series, order, halo, chunk_rows, build, counted=price)
 
 
 def _with_price_position(df, partition, order, price):

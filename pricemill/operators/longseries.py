@@ -29,6 +29,7 @@ POSITION = "_position"
 _BUCKET = "_bucket"
 _REGION = "_region"
 _OFFSET = "_offset"
+_IS_ROW = "_is_row"
 
 DEFAULT_CHUNK_ROWS = 1 << 16
 # Buckets per region, the upper level of the running sum.
@@ -58,18 +59,21 @@ def _with_region(buckets):
 
 def _running(partition, order, last):
     return (
-        Window.partitionBy(*partition).orderBy(order)
+        Window.partitionBy(*partition).orderBy(*columns(order))
         .rowsBetween(Window.unboundedPreceding, last)
     )
 
 
 def with_position(df, series, order, chunk_rows=DEFAULT_CHUNK_ROWS):
     """Add the zero-based position of each row in its series."""
-    series = columns(series)
+    return _positioned(df, columns(series), order, chunk_rows).drop(_BUCKET)
+
+
+def _positioned(df, series, order, chunk_rows, counted=None):
+    """Positions and buckets; with ``counted``, only rows that have this value advance."""
     bucketed = _with_bucket(df, order, chunk_rows)
-    sizes = _with_region(
-        bucketed.groupBy(*series, _BUCKET).agg(F.count(F.lit(1)).alias("_rows"))
-    )
+    size = F.count(F.lit(1) if counted is None else counted)
+    sizes = _with_region(bucketed.groupBy(*series, _BUCKET).agg(size.alias("_rows")))
     regions = sizes.groupBy(*series, _REGION).agg(F.sum("_rows").alias("_region_rows"))
     starts = regions.select(
         *series, _REGION,
@@ -81,33 +85,50 @@ def with_position(df, series, order, chunk_rows=DEFAULT_CHUNK_ROWS):
         sizes.withColumn("_before", F.sum("_rows").over(in_region) - F.col("_rows")),
         starts, [*series, _REGION],
     ).select(*series, _BUCKET, (F.col("_start") + F.col("_before")).alias(_OFFSET))
-    in_bucket = Window.partitionBy(*series, _BUCKET).orderBy(order)
-    ranked = bucketed.withColumn(POSITION, F.row_number().over(in_bucket) - F.lit(1))
-    return (
-        join_groups(ranked, offsets, [*series, _BUCKET])
-        .withColumn(POSITION, F.col(POSITION) + F.col(_OFFSET))
-        .drop(_BUCKET, _OFFSET)
+    marked = _with_markers(bucketed, offsets)
+    in_bucket = _running([*series, _BUCKET], [_IS_ROW, order], 0)
+    seen = F.count(F.when(F.col(_IS_ROW), F.lit(1)) if counted is None else counted)
+    position = F.first(_OFFSET).over(in_bucket) + seen.over(in_bucket) - F.lit(1)
+    return marked.withColumn(POSITION, position).filter(_IS_ROW).drop(_OFFSET, _IS_ROW)
+
+
+def _with_markers(bucketed, per_bucket):
+    """Add one row per bucket, sorted before its other rows, that brings in its summary.
+
+    Rows and summaries meet in the shuffle the bucket's window needs anyway; a join would
+    have to move the rows once more.
+    """
+    return bucketed.withColumn(_IS_ROW, F.lit(True)).unionByName(
+        per_bucket.withColumn(_IS_ROW, F.lit(False)), allowMissingColumns=True
     )
 
 
-def with_chunks(df, series, order, halo, chunk_rows=DEFAULT_CHUNK_ROWS):
-    """Add position, chunk and halo flag; rows near a chunk's end are copied into the next."""
+def with_chunks(df, series, order, halo, chunk_rows=DEFAULT_CHUNK_ROWS, counted=None):
+    """Add position, chunk and halo flag; rows near a chunk's end are copied into the next.
+
+    With ``counted``, chunks and halo are made of the rows that have this value; the others
+    belong to no window and are put into negative chunks, one per bucket. Partitioned by
+    chunk, which also serves windows over parts of a chunk.
+    """
     rows = max(chunk_rows, halo + 1)
+    own = _floor_div(POSITION, rows)
+    last = _floor_div(f"{POSITION} + {halo}", rows)
+    if counted is not None:
+        aside = f"IF({_BUCKET} >= 0, -1 - 2 * {_BUCKET}, 2 * {_BUCKET})"
+        own, last = (f"IF(`{counted}` IS NULL, {aside}, {e})" for e in (own, last))
     return (
-        with_position(df, series, order, chunk_rows)
-        .withColumn("_own", F.expr(_floor_div(POSITION, rows)))
-        .withColumn(
-            CHUNK,
-            F.explode(F.sequence("_own", F.expr(_floor_div(f"{POSITION} + {halo}", rows)))),
-        )
+        _positioned(df, columns(series), order, chunk_rows, counted)
+        .withColumn("_own", F.expr(own))
+        .withColumn(CHUNK, F.explode(F.sequence("_own", F.expr(last))))
         .withColumn(HALO, F.col(CHUNK) != F.col("_own"))
-        .drop("_own")
+        .drop("_own", _BUCKET)
+        .repartition(*columns(series), CHUNK)
     )
 
 
-def over_chunks(df, series, order, halo, chunk_rows, build):
+def over_chunks(df, series, order, halo, chunk_rows, build, counted=None):
     """Run ``build(frame, partition_columns)`` chunk by chunk and drop the halo rows."""
-    chunked = with_chunks(df, series, order, halo, chunk_rows)
+    chunked = with_chunks(df, series, order, halo, chunk_rows, counted)
     built = build(chunked, [*columns(series), CHUNK])
     return built.filter(~F.col(HALO)).drop(CHUNK, HALO, POSITION)
 
@@ -149,19 +170,16 @@ def forward_fill(df, series, order, values, chunk_rows=DEFAULT_CHUNK_ROWS):
         earlier, [*series, _REGION],
     ).select(
         *series, _BUCKET,
-        *[F.coalesce(f"_near_{v}", f"_earlier_{v}").alias(f"_carry_{v}") for v in values],
-    )
-    inside = _running([*series, _BUCKET], order, 0)
-    filled = bucketed.select(
-        *[c for c in bucketed.columns if c not in values],
-        *[F.last(v, ignorenulls=True).over(inside).alias(v) for v in values],
+        *[F.coalesce(f"_near_{v}", f"_earlier_{v}").alias(v) for v in values],
     )
-    return join_groups(filled, carried, [*series, _BUCKET]).select(
+    inside = _running([*series, _BUCKET], [_IS_ROW, order], 0)
+    marked = _with_markers(bucketed, carried)
+    return marked.select(
         *[
-            F.coalesce(v, f"_carry_{v}").alias(v) if v in values else F.col(v)
-            for v in df.columns
+            F.last(v, ignorenulls=True).over(inside).alias(v) if v in values else F.col(v)
+            for v in (*df.columns, _IS_ROW)
         ]
-    )
+    ).filter(_IS_ROW).drop(_IS_ROW)
 
 
 def _last_known(value, order):
