@@ -163,7 +163,7 @@ def _ema_columns(frame, partition, order, price, spans, names):
             }
         )
         weight = F.when(F.col(POSITION) == 0, 1.0).otherwise(1 - keep)
-        in_block = ordered([*partition, block], order).rowsBetween(*running)
+        in_block = ordered([block, *partition], order).rowsBetween(*running)
         scaled = weight * value * F.pow(F.lit(keep), -F.col(offset))
         frame = frame.withColumn(
             local, F.sum(scaled).over(in_block) * F.pow(F.lit(keep), F.col(offset))

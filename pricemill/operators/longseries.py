@@ -14,6 +14,9 @@ whose running sum gives each bucket its first position; a sort inside the bucket
 rest. The running sum has two levels, so that with sparse keys (many small buckets) it does
 not end up in one task either. Everything is a deterministic function of the data: a lost
 executor recomputes the same chunks.
+
+Window keys start with the number, not the series: it sorts by an eight-byte prefix, while
+rows of one long series would all compare equal by theirs.
 """
 
 from pyspark.sql import Window
@@ -86,7 +89,7 @@ def _positioned(df, series, order, chunk_rows, counted=None):
         starts, [*series, _REGION],
     ).select(*series, _BUCKET, (F.col("_start") + F.col("_before")).alias(_OFFSET))
     marked = _with_markers(bucketed, offsets)
-    in_bucket = _running([*series, _BUCKET], [_IS_ROW, order], 0)
+    in_bucket = _running([_BUCKET, *series], [_IS_ROW, order], 0)
     seen = F.count(F.when(F.col(_IS_ROW), F.lit(1)) if counted is None else counted)
     position = F.first(_OFFSET).over(in_bucket) + seen.over(in_bucket) - F.lit(1)
     return marked.withColumn(POSITION, position).filter(_IS_ROW).drop(_OFFSET, _IS_ROW)
@@ -129,7 +132,7 @@ def with_chunks(df, series, order, halo, chunk_rows=DEFAULT_CHUNK_ROWS, counted=
 def over_chunks(df, series, order, halo, chunk_rows, build, counted=None):
     """Run ``build(frame, partition_columns)`` chunk by chunk and drop the halo rows."""
     chunked = with_chunks(df, series, order, halo, chunk_rows, counted)
-    built = build(chunked, [*columns(series), CHUNK])
+    built = build(chunked, [CHUNK, *columns(series)])
     return built.filter(~F.col(HALO)).drop(CHUNK, HALO, POSITION)
 
 
@@ -172,7 +175,7 @@ def forward_fill(df, series, order, values, chunk_rows=DEFAULT_CHUNK_ROWS):
         *series, _BUCKET,
         *[F.coalesce(f"_near_{v}", f"_earlier_{v}").alias(v) for v in values],
     )
-    inside = _running([*series, _BUCKET], [_IS_ROW, order], 0)
+    inside = _running([_BUCKET, *series], [_IS_ROW, order], 0)
     marked = _with_markers(bucketed, carried)
     return marked.select(
         *[
