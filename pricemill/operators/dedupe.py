@@ -35,18 +35,22 @@ def dedupe_latest(df, keys, latest, tie_breakers=()):
     return keep_top(df, keys, order, 1)
 
 
+# A value below any real one, by type.
+_SMALLEST = {
+    T.DoubleType: "double('-infinity')",
+    T.FloatType: "float('-infinity')",
+    T.DateType: "DATE'0001-01-01'",
+    T.TimestampType: "TIMESTAMP'0001-01-01 00:00:00'",
+    T.TimestampNTZType: "TIMESTAMP_NTZ'0001-01-01 00:00:00'",
+}
+
+
 def _never_null(name, data_type):
     """SQL for the order key; ``max_by`` skips NULL keys, so they become the smallest."""
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return f"coalesce(`{name}`, double('-infinity'))"
-    key = f"`{name}`"
-    if isinstance(data_type, T.TimestampType):
-        key = f"unix_micros(`{name}`)"
-    elif isinstance(data_type, T.TimestampNTZType):
-        key = f"unix_micros(CAST(`{name}` AS TIMESTAMP))"
-    elif isinstance(data_type, T.DateType):
-        key = f"unix_date(`{name}`)"
-    return f"coalesce(CAST({key} AS BIGINT), {-(2**63) + 1}L)"
+    smallest = _SMALLEST.get(type(data_type))
+    if smallest is None:
+        return f"coalesce(CAST(`{name}` AS BIGINT), {-(2**63) + 1}L)"
+    return f"coalesce(`{name}`, {smallest})"
 
 
 def keep_top(df, keys, order, rows):

@@ -73,21 +73,24 @@ def upsert(target, updates, keys):
 def upsert_partitions(spark, path, updates, keys, partition):
     """Upsert into a Parquet table, rewriting only the partitions the updates touch.
 
-    The new content is first written beside the table, then swapped in with a dynamic
-    partition overwrite, so a failed job leaves the table as it was. The touched partitions
-    are the only thing brought to the driver: one value each.
+    The updates are written beside the table first, so their plan runs once and may itself
+    read the table. The merge is then written with a dynamic partition overwrite, whose files
+    replace the old ones only when the whole job has succeeded. The partition must follow
+    from the key. The touched partition values are all that comes to the driver.
     """
-    touched = [row[0] for row in updates.select(partition).distinct().collect()]
+    staged = f"{path.rstrip('/')}__updates"
+    (
+        updates.hint("rebalance", F.col(partition))
+        .write.mode("overwrite").partitionBy(partition).parquet(staged)
+    )
+    fresh = spark.read.schema(updates.schema).parquet(staged)
+    touched = [row[0] for row in fresh.select(partition).distinct().collect()]
     if not touched:
         return
     target = spark.read.option("mergeSchema", True).parquet(path)
-    affected = target.filter(F.col(partition).isin(touched))
-    merged = upsert(affected, updates, keys)
-    staging = f"{path.rstrip('/')}__staging"
-    merged.write.mode("overwrite").parquet(staging)
+    merged = upsert(target.filter(F.col(partition).isin(touched)), fresh, keys)
     (
-        spark.read.parquet(staging)
-        .hint("rebalance", F.col(partition))
+        merged.hint("rebalance", F.col(partition))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

@@ -52,7 +52,12 @@ def _with_bucket(df, order, chunk_rows):
     elif isinstance(data_type, T.TimestampType):
         key = f"unix_micros(`{order}`)"
     elif isinstance(data_type, T.TimestampNTZType):
-        key = f"unix_micros(CAST(`{order}` AS TIMESTAMP))"
+        # Field by field: a cast to TIMESTAMP would depend on the session's time zone.
+        key = (
+            f"unix_date(CAST(`{order}` AS DATE)) * 86400000000L + hour(`{order}`) * 3600000000L"
+            f" + minute(`{order}`) * 60000000L"
+            f" + CAST(extract(SECOND FROM `{order}`) * 1000000 AS BIGINT)"
+        )
     return df.withColumn(_BUCKET, F.expr(_floor_div(key, chunk_rows)))
 
 

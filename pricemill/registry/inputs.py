@@ -236,7 +236,7 @@ def raw_indicators(spark, sf):
     return candles.select(
         "series",
         F.date_format("date", "yyyy-MM-dd").alias("d"),
-        F.unix_timestamp(F.col("date").cast("timestamp")).cast("string").alias("unixTs"),
+        (F.unix_date("date").cast("long") * 86400).cast("string").alias("unixTs"),
         *[F.expr(e).alias(n) for n, e in _SUPPLIED.items()],
         "ingest_date_time",
     )

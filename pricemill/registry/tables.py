@@ -1,14 +1,18 @@
 """Silver and gold tables, incremental loading and writing."""
 
+import functools
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pricemill.constants import INDICATOR_COLUMNS, PERIOD_KEYS
 from pricemill.functions import scalars
 from pricemill.operators import incremental
 from pricemill.operators.dedupe import dedupe_latest
-from pricemill.plans import gold, silver
+from pricemill.plans import bronze, gold, refresh, silver
 from pricemill.registry import inputs
 from pricemill.registry.entries import query, rounded
+from pricemill.registry.parsing import candle_payloads
 from pricemill.session import scratch_path
 from pricemill.sources import planning, tables
 from pricemill.sources.payloads import empty
@@ -346,3 +350,78 @@ def gold_incremental(spark, sf):
     )
     merged = incremental.upsert(first, second, ["series", PERIOD_KEYS["week"]])
     return merged.drop("ingest_date_time", "dbt_batch_id")
+
+
+@functools.cache
+def _refreshed(sf):
+    """Two refreshes: one that sees two of the three loads, one that sees all.
+
+    Returns the folder of the stored tables; made once per process and data folder.
+    """
+    spark = SparkSession.active()
+    root = scratch_path(spark, "tables")
+    raw, supplied = inputs.raw_candles(spark, sf), inputs.raw_indicators(spark, sf)
+    rates = (inputs.raw_rates(spark, sf, "R"), inputs.raw_rates(spark, sf, "A"))
+    days = inputs.days(spark, sf)
+    early = F.col("ingest_date_time") < "2001-09-03"
+    refresh.refresh(
+        spark, root, raw.filter(early), supplied.filter(early), *rates, days,
+        "batch-0", "2001-09-02 12:00:00", daily_partition="year",
+    )
+    refresh.refresh(
+        spark, root, raw, supplied, *rates, days, inputs.BATCH, inputs.PROCESSED_AT,
+        daily_partition="year",
+    )
+    return root
+
+
+@query("refresh_daily", "SELECT * EXCLUDE (ingest_date_time, dbt_batch_id) FROM x_obt")
+def refresh_daily(spark, sf):
+    daily = refresh.read_table(spark, _refreshed(sf), "daily")
+    return daily.drop("ingest_date_time", "dbt_batch_id")
+
+
+@query(
+    "refresh_quarter",
+    "SELECT * EXCLUDE (change, avg_gain, avg_loss, raw) FROM x_quarter_rsi",
+)
+def refresh_quarter(spark, sf):
+    quarter = refresh.read_table(spark, _refreshed(sf), "quarter")
+    return quarter.drop("ingest_date_time", "dbt_batch_id")
+
+
+@query(
+    "load_candles",
+    "SELECT series, CAST(date AS TIMESTAMP) AS time, low, high, open, close, volume, date,"
+    f" TIMESTAMP '{inputs.PROCESSED_AT}' AS ingest_date_time FROM x_bars",
+)
+def load_candles(spark, sf):
+    """Responses landed in two deliveries, loaded into one bronze table."""
+    target = scratch_path(spark, "bronze")
+    responses = candle_payloads(spark, sf)
+    for delivery in ("month < '1998-01-01'", "month >= '1998-01-01'"):
+        bronze.load_candles(spark, responses.filter(delivery), target, inputs.PROCESSED_AT)
+    return inputs.plain(tables.scan_table(spark, target).drop("month"))
+
+
+@query(
+    "plan_requests",
+    "SELECT table_name, CAST(s AS DATE) AS window_start, least(CAST(s + INTERVAL 200 DAY AS"
+    " DATE), DATE '2002-01-01') AS window_end FROM (SELECT table_name,"
+    " unnest(generate_series(lo, DATE '2002-01-01', INTERVAL 200 DAY)) AS s FROM (SELECT"
+    " lower(series) || '_usd_ohlcv' AS table_name, max(date) AS lo FROM x_bars"
+    " WHERE volume >= 2 GROUP BY series)) WHERE s < DATE '2002-01-01'",
+)
+def plan_requests(spark, sf):
+    """What to ask for next, from what is loaded."""
+    bars = inputs.bars(spark, sf)
+    pairs = bars.select(F.col("series").alias("base"), F.lit("USD").alias("quote")).distinct()
+    pairs = pairs.withColumn("feed", scalars.feed_kind("base", "quote")).withColumn(
+        "table_name", scalars.series_table_name("base", "quote")
+    )
+    loaded = bars.filter("volume >= 2").select(
+        scalars.series_table_name("series", F.lit("USD")).alias("table_name"), "date"
+    )
+    return planning.plan_requests(pairs, loaded, "2002-01-01").select(
+        "table_name", "window_start", "window_end"
+    )

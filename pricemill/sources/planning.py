@@ -2,7 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from pricemill.constants import CANDLE_WINDOW_DAYS, CONFIGURED_PAIRS, FX_WINDOW_DAYS
+from pricemill.constants import (
+    CANDLE_HISTORY_DAYS,
+    CANDLE_WINDOW_DAYS,
+    CONFIGURED_PAIRS,
+    FX_HISTORY_START,
+    FX_WINDOW_DAYS,
+)
 from pricemill.functions.scalars import feed_kind, series_table_name
 
 
@@ -36,3 +42,24 @@ def configured_pairs(spark):
     return pairs.withColumn("feed", feed_kind("base", "quote")).withColumn(
         "table_name", series_table_name("base", "quote")
     )
+
+
+def plan_requests(pairs, loaded, as_of):
+    """Windows to request for each pair up to ``as_of``.
+
+    ``loaded`` has a ``table_name`` and the latest ``date`` loaded into it. A pair starts
+    there, or with its feed's full history when nothing is loaded.
+    """
+    today = F.lit(as_of).cast("date")
+    history = F.when(F.col("feed") == "fx", F.lit(FX_HISTORY_START).cast("date")).otherwise(
+        F.date_sub(today, CANDLE_HISTORY_DAYS)
+    )
+    latest = loaded.groupBy("table_name").agg(F.max("date").alias("_latest"))
+    starts = (
+        pairs.join(latest, "table_name", "left")
+        .withColumn("start", F.coalesce("_latest", history))
+        .withColumn("end", today)
+        .drop("_latest")
+    )
+    candles = plan_windows(starts.filter("feed = 'candles'"), "start", "end")
+    return candles.unionByName(plan_fx_windows(starts.filter("feed = 'fx'"), "start", "end"))

@@ -57,6 +57,12 @@ def scan_evolving(spark, path):
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def path_exists(spark, path):
+    """Whether a table was completely written at a path."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def inventory(tables):
     """Row count and columns of each named frame, as one result."""
     parts = [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pricemill.constants import LOOKBACK_DAYS
 from pricemill.operators.dedupe import dedupe_latest
 from pricemill.operators.incremental import upsert_partitions
-from pricemill.sources.tables import stamp_load
+from pricemill.sources.tables import path_exists, stamp_load
 
 WATERMARK = f"{LOOKBACK_DAYS} days"
 
@@ -81,7 +81,7 @@ def upsert(stream, target, checkpoint, keys, latest=None, mode="update"):
         if latest is not None:
             rows = dedupe_latest(rows, [*keys, "month"], latest)
         rows = rows.persist()
-        if not _exists(spark, target):
+        if not path_exists(spark, target):
             (
                 rows.hint("rebalance", F.col("month"))
                 .write.mode("overwrite").partitionBy("month").parquet(target)
@@ -99,8 +99,3 @@ def upsert(stream, target, checkpoint, keys, latest=None, mode="update"):
 
     drain(stream.writeStream.outputMode(mode).foreachBatch(merge), checkpoint)
 
-
-def _exists(spark, path):
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(hadoop.suffix("/_SUCCESS"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricemill.functions import scalars
+from pricemill.plans import bronze
 from pricemill.schemas import BAR
 from pricemill.session import scratch_path
 from pricemill.sources import files, payloads, planning
@@ -112,3 +113,26 @@ def test_configured_pairs(spark):
 )
 def test_schema_names(path, custom, schema):
     assert scalars.schema_for(path, custom) == schema
+
+
+def test_requests_start_at_the_watermark_or_full_history(spark):
+    pairs = planning.configured_pairs(spark)
+    loaded = spark.createDataFrame(
+        [("btc_usd_ohlcv", D(2020, 1, 1)), ("btc_usd_ohlcv", D(2020, 1, 5))],
+        "table_name string, date date",
+    )
+    got = planning.plan_requests(pairs, loaded, "2020-01-10")
+    first = {r.table_name: r.s for r in got.groupBy("table_name").agg(F.min("window_start").alias("s")).collect()}
+    assert first["btc_usd_ohlcv"] == D(2020, 1, 5)
+    assert first["usd_chf_rates"] == D(2010, 1, 1)
+    assert first["eth_usd_ohlcv"] == D(2020, 1, 10) - datetime.timedelta(days=365 * 13)
+    assert got.filter("table_name = 'btc_usd_ohlcv'").count() == 1
+
+
+def test_bronze_loads_create_then_append(spark):
+    target = scratch_path(spark, "bronze")
+    one = payload(spark, '[[1640995200,1,4,2,3,10]]')
+    assert bronze.load_candles(spark, payload(spark, "[]"), target) == 0
+    assert bronze.load_candles(spark, one, target) == 1
+    assert bronze.load_candles(spark, one, target) == 1
+    assert spark.read.parquet(target).count() == 2
