@@ -19,14 +19,14 @@ def calendar(spark, start, end):
 
 
 def calendar_between(df, date):
-    """The calendar from the first to the last date of a frame."""
+    """The calendar from the first to the last date of a frame: one row per day between."""
     bounds = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("date"))
     return with_period_keys(days, "date")
 
 
 def join_calendar(df, days, date):
-    """Add period keys by a left join with the calendar (broadcast: its size is fixed)."""
+    """Add period keys by a left join with the calendar (broadcast: one row per day)."""
     return df.join(F.broadcast(days.withColumnRenamed("date", date)), date, "left")
 
 

@@ -156,10 +156,9 @@ def validate_rejected(spark, sf):
 
 @query(
     "validate_requests",
-    "SELECT event_type, k AS days, 'weekly' AS period FROM (SELECT event_type,"
-    " CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE false"
-    " UNION ALL SELECT 'metrics', CAST(json_extract_string(props, '$.k') AS INTEGER),"
-    " CASE WHEN event_type = 'view' THEN 'monthly' ELSE 'weekly' END"
+    "SELECT 'metrics' AS request_type,"
+    " CAST(json_extract_string(props, '$.k') AS INTEGER) AS days,"
+    " CASE WHEN event_type = 'view' THEN 'monthly' ELSE 'weekly' END AS period"
     " FROM events WHERE event_type IN ('view', 'click')",
 )
 def validate_requests(spark, sf):
@@ -171,4 +170,4 @@ def validate_requests(spark, sf):
         F.when(kind == "view", "monthly").alias("period"),
     )
     valid, _ = quality.validate(requests, quality.REQUEST_CONTRACT)
-    return valid.withColumnRenamed("type", "event_type")
+    return valid.withColumnRenamed("type", "request_type")

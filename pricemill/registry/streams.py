@@ -32,7 +32,9 @@ def stream_ingest_bars(spark, sf):
 @query("stream_daily_bars", "SELECT * FROM x_event_bars")
 def stream_daily_bars(spark, sf):
     target = scratch_path(spark, "stream-bars")
-    bars = loads.daily_bars(_events(spark, sf), "event_type", "ts", "value")
+    utc = F.expr("CAST(concat(CAST(CAST(ts AS TIMESTAMP_NTZ) AS STRING), 'Z') AS TIMESTAMP)")
+    events = _events(spark, sf).withColumn("ts", utc)
+    bars = loads.daily_bars(events, "event_type", "ts", "value")
     loads.upsert(bars, target, scratch_path(spark, "checkpoint"), ["series", "date"])
     return spark.read.parquet(target).drop("month")
 

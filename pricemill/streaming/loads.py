@@ -43,8 +43,10 @@ def ingest(stream, target, checkpoint, loaded_at=None):
 def daily_bars(stream, series, time, price, watermark=WATERMARK):
     """Bars over one-day tumbling windows; rows later than the watermark are for batch repair.
 
-    The event time must be a TIMESTAMP and unique within a series.
+    The event time must be a TIMESTAMP and unique within a series. Days are UTC days, as
+    tumbling windows are, whatever the session's time zone.
     """
+    utc_day = "date_from_unix_date(CAST(unix_seconds(day.start) div 86400 AS INT))"
     return (
         stream.withWatermark(time, watermark)
         .groupBy(F.col(series).alias("series"), F.window(time, "1 day").alias("day"))
@@ -56,7 +58,7 @@ def daily_bars(stream, series, time, price, watermark=WATERMARK):
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .select(
-            "series", F.to_date("day.start").alias("date"),
+            "series", F.expr(utc_day).alias("date"),
             "low", "high", "open", "close", "volume",
         )
     )
