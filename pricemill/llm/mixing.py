@@ -1,21 +1,27 @@
 """Mixing to target weights with soft domains.
 
-A naive Bayes classifier over hashed words, trained on the labelled table, gives every document a
-posterior over the domains junk, clean and toxic. Then document rates are fitted: nonnegative
-numbers, as near to one as the first step leaves them, such that the expected tokens of each
-domain, summed over documents by posterior and rate, match the targets. The fit is projected
-gradient descent on the squared misses, with momentum. Each step adds up the misses of the
-domains in one pass over (tokens, posteriors); a document's rate follows from its posteriors and
-the steps so far, so there is no state to lose.
-
-Tokens are words. Defined cases: a null or empty text has no tokens and the classifier's prior as
-posterior; label rows with null values are ignored, of several labels of a document the smallest
-count; a domain without labelled rows has posterior zero; the target of a domain without expected
-tokens is dealt to the others in proportion; without labels all documents are of the first domain;
-repeated rows are rated each on its own; empty tables give no rows; other columns are ignored.
+A classifier trained on the labelled table gives every document a posterior over the domains junk,
+clean and toxic. Its features are hashed distinct words and a few levels of repetition and form.
+Over all labelled documents, each domain's ``FEATURES`` buckets are chosen that differ most, in
+deviations, from their expected number of documents. A logistic regression on these is fitted on
+``SAMPLE`` labelled documents at most, those of the smallest hashes.
+
+Then document rates are fitted: nonnegative numbers such that the expected tokens of each domain, summed over documents by posterior and rate,
+match the targets. The fit is projected gradient descent on the squared misses, from rates of one,
+in the metric of the token-weighted posteriors; a step that does not lessen the misses is halved.
+Each step adds up the misses of the domains in one pass over (tokens, posteriors); a document's
+rate follows from its posteriors and the steps so far, so there is no state to lose.
+
+Tokens are words. Defined cases: a null or empty text has no tokens and the posterior of the
+classifier's constant; label rows with null values are ignored, and of several labels of a
+document toxic comes before junk before clean; a domain without labelled rows has posterior zero;
+the target of a domain without expected tokens is dealt to the others in proportion; without
+labels all documents are clean; repeated rows are rated each on its own; empty tables give no
+rows; other columns are ignored.
 """
 
 import zlib
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +31,30 @@ from pricemill.llm.common import documents_columns, stored
 
 DOMAINS = ("junk", "clean", "toxic")
 TARGETS = {"junk": 0.02, "clean": 0.96, "toxic": 0.02}
-BUCKETS = 1 << 15
-SMOOTHING = 0.1
-STEPS = 60
+BUCKETS = 1 << 16
+FEATURES = 300
+SAMPLE = 16384
+ROUNDS = 200
+RIDGE = 1e-5
+STEPS = 30
 TOLERANCE = 1e-4
 
 
 def word_buckets(text):
-    """(number of words, distinct hashed words) of one text."""
+    """(number of words, packed distinct buckets) of one text."""
     words = (text or "").encode().split()
-    found = {zlib.crc32(w) & (BUCKETS - 1) for w in set(words)}
-    return len(words), np.fromiter(sorted(found), dtype="<u2", count=len(found)).tobytes()
+    n, distinct = len(words), set(words)
+    features = [zlib.crc32(w) for w in distinct]
+    if n:
+        levels = (
+            8 * len(distinct) // n,
+            8 * sum(map(eq, words, words[1:])) // n,
+            8 * sum(map(bytes.isupper, words)) // n,
+            8 * sum(not w.isalnum() and w.isascii() for w in words) // n,
+        )
+        features += [zlib.crc32(b" %d %d" % level) for level in enumerate(levels)]
+    found = sorted({f & (BUCKETS - 1) for f in features})
+    return n, np.array(found, dtype="<u2").tobytes()
 
 
 def hashed_documents(docs):
@@ -74,10 +93,16 @@ def domain_labels(labels):
     )
 
 
-def bucket_weights(hashed, labels):
-    """(log priors, domains x BUCKETS log weights), from sums over all labelled documents."""
+def labelled(hashed, labels):
+    """(label_doc, domain, buckets) of the labelled documents."""
     wanted = domain_labels(labels)
-    rows = hashed.join(wanted, hashed.doc_id == wanted.label_doc).select("domain", "buckets")
+    return hashed.join(wanted, hashed.doc_id == wanted.label_doc).select(
+        "label_doc", "domain", "buckets"
+    )
+
+
+def bucket_counts(rows):
+    """domains x (BUCKETS + 1) numbers of documents with each bucket; the last column is of all."""
 
     def add(batches):
         totals = np.zeros((len(DOMAINS), BUCKETS + 1))
@@ -91,55 +116,100 @@ def bucket_weights(hashed, labels):
             [pa.array(used.astype(np.int32)), pa.array(cells[used])], names=["cell", "n"]
         )
 
-    sums = rows.mapInArrow(add, "cell int, n double").groupBy("cell").agg(F.sum("n")).collect()
+    sums = (
+        rows.select("domain", "buckets").mapInArrow(add, "cell int, n double")
+        .groupBy("cell").agg(F.sum("n")).collect()
+    )
     totals = np.zeros(len(DOMAINS) * (BUCKETS + 1))
     for cell, n in sums:
         totals[cell] = n
-    totals = totals.reshape(len(DOMAINS), BUCKETS + 1)
-    documents = totals[:, BUCKETS]
-    counts = totals[:, :BUCKETS] + SMOOTHING
-    weights = np.log(counts / counts.sum(axis=1, keepdims=True))
-    if documents.sum() == 0:
-        documents = np.eye(len(DOMAINS))[0]
-    with np.errstate(divide="ignore"):
-        priors = np.log(documents / documents.sum())
-    return priors, weights.astype(np.float32)
-
-
-def posterior(data, priors, weights):
-    """Domain posteriors of one document; evidence counts per root of its distinct words."""
-    buckets = np.frombuffer(data, dtype="<u2")
-    evidence = priors.copy()
-    if len(buckets):
-        evidence = evidence + weights[:, buckets].sum(axis=1, dtype=np.float64) / np.sqrt(
-            len(buckets)
-        )
-    evidence = np.exp(evidence - evidence.max())
-    return evidence / evidence.sum()
+    return totals.reshape(len(DOMAINS), BUCKETS + 1)
+
+
+def telling_buckets(counts):
+    """The buckets that differ most between domains, at most FEATURES for each."""
+    documents, found = counts[:, BUCKETS], counts[:, :BUCKETS]
+    expected = np.outer(documents, found.sum(axis=0) / max(1.0, documents.sum()))
+    deviations = np.abs(found - expected) / np.sqrt(expected + 2)
+    return np.unique(np.argsort(-deviations, axis=1, kind="stable")[:, :FEATURES])
+
+
+def design(packed, chosen):
+    """Presence of the chosen buckets in each document, and a constant."""
+    place = np.full(BUCKETS, -1)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(packed), len(chosen) + 1), dtype=np.float32)
+    x[:, -1] = 1
+    for row, data in zip(x, packed):
+        at = place[np.frombuffer(data, dtype="<u2")]
+        row[at[at >= 0]] = 1
+    return x
+
+
+def logistic(x, domain, present, rounds=ROUNDS, ridge=RIDGE):
+    """Multinomial logistic weights by accelerated gradient descent; absent domains get none."""
+    weights = ahead = np.zeros((x.shape[1], len(DOMAINS)), dtype=np.float32)
+    truth = np.eye(len(DOMAINS), dtype=np.float32)[domain]
+    step = np.float32(2) / max(np.linalg.eigvalsh(x.T @ x / len(x)).max(), 1e-6)
+    t = 1.0
+    for _ in range(rounds):
+        miss = softmax(x @ ahead, present) - truth
+        following = ahead - step * (x.T @ miss / len(x) + np.float32(ridge) * ahead)
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = following + np.float32((t - 1) / later) * (following - weights)
+        weights, t = following, later
+    return weights
+
+
+def softmax(values, present):
+    values = np.where(present, values, -np.inf)
+    values = np.exp(values - values.max(axis=1, keepdims=True))
+    return values / values.sum(axis=1, keepdims=True)
+
+
+def train(hashed, labels):
+    """(chosen buckets, weights, domains with labels)."""
+    rows = stored(labelled(hashed, labels))
+    counts = bucket_counts(rows)
+    present = counts[:, BUCKETS] > 0
+    if not present.any():
+        clean = np.arange(len(DOMAINS)) == DOMAINS.index("clean")
+        return np.zeros(0, dtype=np.int64), np.zeros((1, len(DOMAINS))), clean
+    chosen = telling_buckets(counts)
+    sample = (
+        rows.orderBy(F.xxhash64("label_doc"), "label_doc", "buckets").limit(SAMPLE).collect()
+    )
+    x = design([row["buckets"] for row in sample], chosen)
+    return chosen, logistic(x, [row["domain"] for row in sample], present), present
+
+
+def posteriors(packed, chosen, weights, present):
+    """Domain posteriors of documents, by rows."""
+    return softmax(design(packed, chosen) @ weights, present)
 
 
-def with_posteriors(hashed, priors, weights):
+def with_posteriors(hashed, model):
     """doc_id, n_tokens and p, the posteriors."""
 
     def predict(batches):
         for batch in batches:
-            p = [posterior(d, priors, weights).tolist() for d in batch.column(2).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(p, type=pa.list_(pa.float64()))],
-                names=["doc_id", "n_tokens", "p"],
-            )
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                p = posteriors(part.column(2).to_pylist(), *model).tolist()
+                yield pa.record_batch(
+                    [part.column(0), part.column(1), pa.array(p, type=pa.list_(pa.float64()))],
+                    names=["doc_id", "n_tokens", "p"],
+                )
 
     return hashed.mapInArrow(predict, "doc_id long, n_tokens long, p array<double>")
 
 
 def rates_after(p, steps):
-    """Rates of documents with posteriors ``p`` after (gradient, momentum) steps from one."""
-    rate = ahead = np.ones(len(p))
-    for gradient, momentum in steps:
-        following = np.maximum(0.0, ahead - p @ gradient)
-        ahead = following + momentum * (following - rate)
-        rate = following
-    return rate, ahead
+    """Rates of documents with posteriors ``p`` after the steps, starting from one."""
+    rate = np.ones(len(p))
+    for step in steps:
+        rate = np.maximum(0.0, rate - p @ step)
+    return rate
 
 
 def _matrix(column):
@@ -177,22 +247,22 @@ def fit_rates(documents, targets=None, steps=STEPS, tolerance=TOLERANCE):
     if total == 0 or share.sum() == 0:
         return []
     goal = share / share.sum() * total
-    # steps are measured per token, so the curvature is that of the token-weighted posteriors
-    curvature = np.linalg.eigvalsh(products / total).max()
-    taken, t = [], 1.0
+    metric = np.linalg.pinv(products / total, rcond=1e-9, hermitian=True)
+    taken, best, miss = [], np.inf, (expected - goal) / total
     for _ in range(steps):
-        history = list(taken)
+        if np.abs(miss).max() >= best:
+            taken[-1] = taken[-1] / 2
+        else:
+            best = np.abs(miss).max()
+            if best <= tolerance:
+                break
+            taken.append(metric @ miss)
+        tried = list(taken)
 
         def achieved(tokens, p):
-            rate, ahead = rates_after(p, history)
-            return np.concatenate([(tokens * rate) @ p, (tokens * ahead) @ p])
-
-        sums = _sums(documents, achieved, 2 * k)
-        if np.abs(sums[:k] - goal).max() <= tolerance * total:
-            break
-        following = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        taken.append(((sums[k:] - goal) / total / curvature, (t - 1) / following))
-        t = following
+            return (tokens * rates_after(p, tried)) @ p
+
+        miss = (_sums(documents, achieved, k) - goal) / total
     return taken
 
 
@@ -203,7 +273,7 @@ def rated(documents, steps):
     def rate(batches):
         for batch in batches:
             p = _matrix(batch.column(2))
-            found = rates_after(p, steps)[0]
+            found = rates_after(p, steps)
             columns = [pa.array(np.ascontiguousarray(c)) for c in (*p.T, found)]
             yield pa.record_batch([batch.column(0), batch.column(1)] + columns, names=names)
 
@@ -215,7 +285,7 @@ def rated(documents, steps):
 def mix(docs, labels, targets=None):
     """doc_id, n_tokens, posteriors and rate of every document."""
     hashed = stored(hashed_documents(docs))
-    documents = stored(with_posteriors(hashed, *bucket_weights(hashed, labels)))
+    documents = stored(with_posteriors(hashed, train(hashed, labels)))
     return rated(documents, fit_rates(documents, targets))
 
 
@@ -225,8 +295,8 @@ def resample(docs, labels, targets=None):
     The fraction of a rate is settled by a hash of the row, so the same rows come out each time.
     """
     hashed = stored(hashed_documents(docs))
-    priors, weights = bucket_weights(hashed, labels)
-    documents = stored(with_posteriors(hashed, priors, weights))
+    model = train(hashed, labels)
+    documents = stored(with_posteriors(hashed, model))
     steps = fit_rates(documents, targets)
     at = (docs.columns.index("doc_id"), docs.columns.index("text"))
 
@@ -235,8 +305,8 @@ def resample(docs, labels, targets=None):
             ids, texts = (batch.column(i).to_pylist() for i in at)
             if not ids:
                 continue
-            p = np.array([posterior(word_buckets(t)[1], priors, weights) for t in texts])
-            rate = rates_after(p, steps)[0]
+            p = posteriors([word_buckets(t)[1] for t in texts], *model)
+            rate = rates_after(p, steps)
             chance = np.array([zlib.crc32(f"mix{i}".encode()) / 2**32 for i in ids])
             times = np.floor(rate + chance).astype(np.int64)
             yield batch.take(pa.array(np.repeat(np.arange(len(ids)), times)))

@@ -28,6 +28,8 @@ FEATURES = 11
 TO_POOLED = 0.1
 TO_SPHERE = 0.05
 THRESHOLD = 0.7
+# Rates are drawn towards ordinary ones by so many words, as short texts vary more
+PRIOR_WORDS = 20
 HELD_OUT = (4, 2)
 
 
@@ -57,18 +59,19 @@ def statistics(text):
     beside = sum(map(eq, words, words[1:]))
     windows = len(set(zip(words, words[1:], words[2:])))
     lines = [line for line in raw.split(b"\n") if line.strip()]
+    size = n + PRIOR_WORDS
     return (
-        math.log1p(n),
-        math.log1p(letters / (n + 1)),
-        math.log1p(distinct) / (1 + math.log1p(n)),
-        math.sqrt(beside / (n + 1)),
-        math.sqrt(max(0, n - 2 - windows) / (n + 1)),
-        math.sqrt(upper / (letters + 1)),
-        math.log1p(10 * symbols / (n + 1)),
-        math.sqrt(digits / (len(raw) + 1)),
-        math.log1p(marks / (n + 1)),
-        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 1)),
-        math.log1p(n / (len(lines) + 1)),
+        math.log(size),
+        math.log((letters + 5 * PRIOR_WORDS) / size),
+        math.log((distinct + PRIOR_WORDS) / size),
+        math.sqrt(beside / size),
+        math.sqrt(max(0, n - 2 - windows) / size),
+        math.sqrt(upper / (letters + 5 * PRIOR_WORDS)),
+        math.log1p(10 * symbols / size),
+        math.sqrt(digits / (len(raw) + 6 * PRIOR_WORDS)),
+        math.log((marks + 0.15 * PRIOR_WORDS) / size),
+        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 2)),
+        math.log(size / (len(lines) + 2)),
     )
 
 

@@ -2,10 +2,10 @@
 
 Known formats (``assign``, ``access``, ``hex``) are found by pattern. Any other run of 20 or more
 characters that an encoding could have produced is a candidate. Its encoding is inferred (hex,
-base32, base62, base64), its characters become digits of that alphabet, and three tests ask
-whether the digits are uniform and independent: chi-squared over the alphabet, runs about the
-middle, and serial correlation. The smallest of the three probabilities, times three, is the
-candidate's p-value for being random. Words and paths fail clearly; keys do not.
+base32, base62, base64), its characters become digits of that alphabet, and four tests ask
+whether the digits are uniform and independent: chi-squared over the alphabet and over its
+quarters, runs about the middle, and serial correlation. The smallest of the four probabilities,
+times four, is the candidate's p-value for being random. Words and paths fail clearly; keys do not.
 
 Candidates that are not random are dismissed by the Benjamini-Hochberg rule, within strata of
 encoding and length, since short runs give weaker evidence and must not share a threshold with
@@ -140,12 +140,17 @@ def _digits(s):
 def _statistics(s):
     digits, size = s["digits"], s["size"].cast("double")
     n = F.size(digits).cast("double")
-    squares = F.aggregate(
-        F.sequence(F.lit(0), s["size"] - 1),
-        F.lit(0.0),
-        lambda total, v: total
-        + F.pow(F.size(F.filter(digits, lambda d: d == v)).cast("double"), F.lit(2.0)),
-    )
+
+    def squared(classes, of):
+        """The squared numbers of digits in each class, summed."""
+        return F.aggregate(
+            F.sequence(F.lit(0), classes - 1), F.lit(0.0),
+            lambda total, v: total
+            + F.pow(F.size(F.filter(digits, lambda d: of(d) == v)).cast("double"), F.lit(2.0)),
+        )
+
+    squares = squared(s["size"], lambda d: d)
+    quarters = squared(F.lit(4), lambda d: F.floor(d * 4 / size).cast("int"))
     pairs = F.arrays_zip(
         F.slice(digits, 1, F.size(digits) - 1).alias("a"),
         F.slice(digits, 2, F.size(digits) - 1).alias("b"),
@@ -159,6 +164,7 @@ def _statistics(s):
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
         s["encoding"].alias("encoding"), n.alias("n"), (size - 1).alias("freedom"),
         (squares * size / n - n).alias("chi"),
+        (quarters * 4 / n - n).alias("coarse"),
         ((2.0 * changes - (n - 1)) / F.sqrt(n - 1)).alias("runs"),
         (products * 12 / (size * size - 1) / F.sqrt(n - 1)).alias("serial"),
     )
@@ -176,12 +182,18 @@ def upper_tail(z):
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def chi_tail(chi, freedom):
+    """The upper tail of chi-squared, by Wilson and Hilferty."""
+    ratio = 2 / (9 * freedom)
+    root = F.pow(F.greatest(chi, F.lit(0.0)) / freedom, F.lit(1 / 3))
+    return upper_tail((root - (1 - ratio)) / F.sqrt(ratio))
+
+
 def _judged(s):
-    ratio = 2 / (9 * s["freedom"])
-    chi = (F.pow(s["chi"] / s["freedom"], F.lit(1 / 3)) - (1 - ratio)) / F.sqrt(ratio)
     p = F.least(
         F.lit(1.0),
-        3 * upper_tail(chi), 6 * upper_tail(F.abs(s["runs"])), 6 * upper_tail(F.abs(s["serial"])),
+        4 * chi_tail(s["chi"], s["freedom"]), 4 * chi_tail(s["coarse"], F.lit(3.0)),
+        8 * upper_tail(F.abs(s["runs"])), 8 * upper_tail(F.abs(s["serial"])),
     )
     level = F.least(
         F.lit(float(LAST_BIN)),
