@@ -5,14 +5,15 @@ Pieces are dealt into groups of about ``group_pieces`` by a hash, and each group
 own: pieces by falling length, each into the first sequence with room, which a tournament tree
 over the free places finds in logarithmic time. A group leaves about one sequence part-empty.
 
-The tokenizer drops white space and never joins across it, so ids are found once per distinct
-word and task, in a cache of bounded size.
+The tokenizer drops white space and never joins across it, nor across the end of a run of letters,
+so ids are found once per distinct word and task, in caches of bounded size.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed each on its own;
 a null doc_id stays null; empty tables give no rows; other columns are ignored. ``docs`` must be a
 scan or a stored table, so that a task that runs again sees the same rows in the same order.
 """
 
+import re
 import zlib
 
 import numpy as np
@@ -26,34 +27,81 @@ VOCABULARY = "word_bpe_49k.json"
 SEQUENCE_LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 1024
-_CACHED_WORDS = 150_000
+# Latin letters up to a mark of ASCII punctuation or the end: the tokenizer cuts there too
+LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]++(?![^!-/:-@\[-`{-~])")
+_CACHED_WORDS = 300_000
+_WORDS_AT_ONCE = 2000
 _DOCS_AT_ONCE = 256
 _BINS_PER_GROUP = 1 << 24
 
 
 class WordIds:
-    """Little-endian ids of words, kept up to a number of words."""
+    """Little-endian ids of words, in a cache of two generations of bounded size."""
 
     def __init__(self, path):
         self.tokenizer = load_tokenizer(path)
-        self.known = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known, self.before = {}, {}
+        self.parts, self.parts_before = {}, {}
+
+    def encoded(self, texts):
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(encoding.ids, dtype="<u4") for encoding in found]
+
+    def encoded_letters(self, words):
+        """Ids of words of letters only: many at once, cut at the ends of words."""
+        cut = []
+        for i in range(0, len(words), _WORDS_AT_ONCE):
+            block = words[i:i + _WORDS_AT_ONCE]
+            ids = self.encoded([" ".join(block)])[0]
+            stops = np.nonzero(self.ends[ids])[0] + 1
+            if len(stops) != len(block):  # a letter that the normalizer takes apart
+                cut += [ids.tobytes() for ids in self.encoded(block)]
+                continue
+            data, at = ids.tobytes(), 0
+            for stop in (4 * stops).tolist():
+                cut.append(data[at:stop])
+                at = stop
+        return cut
 
     def learn(self, words):
         if len(self.known) > _CACHED_WORDS:
-            self.known = {}
-        new = list(set(words).difference(self.known))
-        texts = [word.decode() for word in new]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        for word, encoding in zip(new, found):
-            self.known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+            self.known, self.before = {}, self.known
+            self.parts, self.parts_before = {}, self.parts
+        pairs, letters, others = {}, [], []
+        for word in set(words).difference(self.known):
+            if word in self.before:
+                self.known[word] = self.before[word]
+                continue
+            text = word.decode()
+            stem = LETTERS.match(text)
+            if stem:
+                parts = (word[:len(stem[0].encode())].lower().decode(), text[stem.end():])
+            else:
+                parts = ("", text)
+            pairs[word] = parts
+            for part, new in zip(parts, (letters, others)):
+                if part and part not in self.parts:
+                    if part in self.parts_before:
+                        self.parts[part] = self.parts_before[part]
+                    else:
+                        self.parts[part] = None
+                        new.append(part)
+        self.parts.update(zip(letters, self.encoded_letters(letters)))
+        self.parts.update(zip(others, [ids.tobytes() for ids in self.encoded(others)]))
+        self.parts[""] = b""
+        for word, (stem, rest) in pairs.items():
+            self.known[word] = self.parts[stem] + self.parts[rest]
 
     def of(self, texts):
         """The ids of each text with the end id, as bytes."""
         split = [(text or "").encode().split() for text in texts]
         self.learn([word for words in split for word in words])
         end = END_ID.to_bytes(4, "little")
-        known = self.known
-        return [b"".join([known[word] for word in words]) + end for words in split]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, words)) + end for words in split]
 
 
 def token_pieces(docs, path=None, length=SEQUENCE_LENGTH, with_ids=False):
