@@ -20,7 +20,7 @@ def stored(frame):
     """The frame as a table in the shared folder: lineage ends here, nothing is computed twice."""
     spark = frame.sparkSession
     path = scratch_path(spark, "step")
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

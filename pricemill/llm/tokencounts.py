@@ -1,7 +1,8 @@
 """Token counts without ids: distinct pre-tokens are counted once and weighted by frequency.
 
-A pre-token is a run of white space and the run of other characters after it: the library always
-cuts where white space begins, so the pieces of a text are the pieces of its pre-tokens. Texts are
+A pre-token is a run of white space with the letters and digits after it, or what follows up to
+the next white space. The library always cuts where white space begins, and where punctuation
+follows a letter or digit, so the pieces of a text are the pieces of its pre-tokens. Texts are
 read in chunks. A chunk holds its distinct pre-tokens once, and per document the numbers of its
 pre-tokens with their frequencies, packed. The pre-tokens of all chunks meet by value, each
 distinct one is counted once, and the counts go back to their chunk, where frequencies weigh them.
@@ -26,13 +27,19 @@ from pricemill.llm.common import documents_columns, load_tokenizer, stored, voca
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 32 << 20
 
 # Fixed value: the characters Unicode calls white space
 WHITE_SPACE = (
     "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 )
-PRE_TOKEN = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+# Letters and digits that a mark of ASCII punctuation surely ends
+PLAIN = "A-Za-z0-9\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f"
+MARKS = "!-/:-@\\[-`{-~"
+PRE_TOKEN = re.compile(
+    f"[{WHITE_SPACE}]*+[{PLAIN}]++(?![^{WHITE_SPACE}{MARKS}])"
+    f"|[{WHITE_SPACE}]*+[^{WHITE_SPACE}]++|[{WHITE_SPACE}]++"
+)
 
 _CHUNK = (
     "chunk long, doc_ids array<long>, n_bytes array<long>, lengths array<int>,"
