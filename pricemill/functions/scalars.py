@@ -20,9 +20,14 @@ def as_column(column):
     return F.col(column) if isinstance(column, str) else column
 
 
+# What counts as a number in text: no type suffixes, no names
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def coerce_double(column):
-    """A number, or NULL where the value is not one."""
-    return as_column(column).try_cast("double")
+    """A number, or NULL where the value is not one (``1d``, ``NaN`` and empty text are not)."""
+    value = as_column(column)
+    return F.when(value.cast("string").rlike(NUMBER), value.try_cast("double"))
 
 
 def epoch_to_timestamp(column):

@@ -26,8 +26,8 @@ def calendar_between(df, date):
 
 
 def join_calendar(df, days, date):
-    """Add period keys by a left join with the calendar (broadcast: one row per day)."""
-    return df.join(F.broadcast(days.withColumnRenamed("date", date)), date, "left")
+    """Add period keys by a left join with the calendar ; Spark broadcasts it while it is small."""
+    return df.join(days.withColumnRenamed("date", date), date, "left")
 
 
 # Preset name -> (start, end) as a function of "today".

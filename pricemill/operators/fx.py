@@ -1,7 +1,6 @@
 """Exchange rates: merging, filling, as-of lookup and conversion.
 
-A rate table has one row per calendar day, so its size is fixed by its date range; that is
-the bound behind each broadcast here.
+A rate table has one row per calendar day. Spark checks its size before it broadcasts one.
 """
 
 from pyspark.sql import functions as F
@@ -46,15 +45,15 @@ def asof_rates(df, rates, days, date, values=("rate_usd_chf", "rate_usd_eur")):
     question without sorting or shuffling ``df``.
     """
     filled = spine_fill(rates, days, values).withColumnRenamed("date_rates", "_rate_date")
-    return df.join(F.broadcast(filled), F.col(date) == F.col("_rate_date"), "left").drop(
+    return df.join(filled, F.col(date) == F.col("_rate_date"), "left").drop(
         "_rate_date"
     )
 
 
 def join_rates(bars, rates, date):
-    """Add the rates of the day (left join; rates cover a calendar, so they broadcast)."""
+    """Add the rates of the day by a left join; Spark broadcasts them while they are small."""
     daily = rates.select(F.col("date_rates").alias(date), "rate_usd_chf", "rate_usd_eur")
-    return bars.join(F.broadcast(daily), date, "left")
+    return bars.join(daily, date, "left")
 
 
 def latest_rates(rates):

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from pricemill.constants import LOOKBACK_DAYS
 from pricemill.functions.windows import columns
+from pricemill.session import scratch_path
 
 
 def high_watermark(df, column, name="high_watermark"):
@@ -63,32 +64,39 @@ def sync_columns(target, updates):
 def upsert(target, updates, keys):
     """The target with rows replaced or added by key, in the columns of the updates.
 
-    The anti join compares keys only, so a small batch of updates is broadcast by Spark's own
-    size check and the target is not shuffled.
+    The anti join compares keys only, NULL keys as equal, so a small batch of updates is
+    broadcast by Spark's own size check and the target is not shuffled.
     """
-    kept = target.join(updates.select(*columns(keys)), columns(keys), "left_anti")
+    names = columns(keys)
+    changed = updates.select(*[F.col(k).alias(f"_changed_{k}") for k in names])
+    same = reduce(
+        lambda a, b: a & b, [target[k].eqNullSafe(changed[f"_changed_{k}"]) for k in names]
+    )
+    kept = target.join(changed, same, "left_anti")
     return sync_columns(kept, updates).unionByName(updates)
 
 
 def upsert_partitions(spark, path, updates, keys, partition):
     """Upsert into a Parquet table, rewriting only the partitions the updates touch.
 
-    The updates are written beside the table first, so their plan runs once and may itself
+    The updates are written to the scratch folder first, so their plan runs once and may itself
     read the table. The merge is then written with a dynamic partition overwrite, whose files
     replace the old ones only when the whole job has succeeded. The partition must follow
-    from the key. The touched partition values are all that comes to the driver.
+    from the key. Rows of the NULL partition are merged like any other. Two updates of one key
+    are an error, as no order decides between them.
     """
-    staged = f"{path.rstrip('/')}__updates"
-    (
-        updates.hint("rebalance", F.col(partition))
-        .write.mode("overwrite").partitionBy(partition).parquet(staged)
-    )
+    staged = scratch_path(spark, "updates")
+    updates.hint("rebalance", F.col(partition)).write.partitionBy(partition).parquet(staged)
     fresh = spark.read.schema(updates.schema).parquet(staged)
-    touched = [row[0] for row in fresh.select(partition).distinct().collect()]
-    if not touched:
-        return
-    target = spark.read.option("mergeSchema", True).parquet(path)
-    merged = upsert(target.filter(F.col(partition).isin(touched)), fresh, keys)
+    repeated = fresh.groupBy(*columns(keys)).agg(F.count("*").alias("_n")).where("_n > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"updates repeat a key of {columns(keys)}")
+    target = spark.read.schema(updates.schema).parquet(path)
+    # an equality join prunes partitions at run time; NULL needs a filter of its own
+    touched = target.join(fresh.select(partition).distinct(), partition, "left_semi")
+    if not fresh.where(F.col(partition).isNull()).isEmpty():
+        touched = touched.unionByName(target.where(F.col(partition).isNull()))
+    merged = upsert(touched, fresh, keys)
     (
         merged.hint("rebalance", F.col(partition))
         .write.mode("overwrite")

@@ -27,14 +27,18 @@ def read_table(spark, root, name):
 
 
 def store(spark, root, name, rows, keys, date, unit):
-    """Write or upsert a table partitioned by a period of its date."""
+    """Write or upsert a table partitioned by a period of its date.
+
+    A first load of no rows leaves no table; the typed empty rows stand for it until one comes.
+    """
     path = table_path(root, name)
     dated = rows.withColumn(_PERIOD, F.trunc(F.col(date).cast("date"), unit))
     if path_exists(spark, path):
         upsert_partitions(spark, path, dated, keys, _PERIOD)
     else:
         _write(dated, path)
-    return read_table(spark, root, name)
+    found = read_table(spark, root, name)
+    return rows.limit(0) if found is None else found
 
 
 def _write(dated, path):
@@ -63,7 +67,8 @@ def refresh(spark, root, candles, indicators, chf, eur, days, batch_id, processe
     )
     rates = silver.usd_to_other(chf, eur, days, **stamps)
     _write(rates.withColumn(_PERIOD, F.trunc("date_rates", "year")), table_path(root, "rates"))
-    rates = read_table(spark, root, "rates")
+    written = read_table(spark, root, "rates")
+    rates = rates.limit(0) if written is None else written
     daily = store(
         spark, root, "daily",
         silver.obt_fact_day(candles, fact, rates, target=stored("daily"), **stamps),

@@ -14,7 +14,6 @@ from pricemill.constants import (
     PERIOD_KEYS,
     PERIOD_UNITS,
     REQUEST_TYPES,
-    RESULT_ROW_CAP,
     SLICE_ROWS,
 )
 from pricemill.functions.scalars import (
@@ -238,8 +237,8 @@ def newest_rows(df, order, rows):
     return df.orderBy(*[F.col(c).desc() for c in columns(order)]).limit(rows)
 
 
-def capped(df, order, rows=RESULT_ROW_CAP):
-    """The row cap at the serving boundary."""
+def capped(df, order, rows):
+    """The first ``rows`` rows, where a caller asks for a cap."""
     return df.orderBy(*columns(order)).limit(rows)
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricemill.constants import INDICATORS, MONTHLY_HISTORY_DAYS, OHLC
+from pricemill.constants import INDICATORS, MONTHLY_HISTORY_DAYS, OHLC, RESULT_ROW_CAP
 from pricemill.functions import scalars
 from pricemill.plans import serving
 from pricemill.registry import inputs
@@ -257,7 +257,8 @@ def top_n_latest(spark, sf):
 )
 def serve_cap(spark, sf):
     names = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return serving.capped(inputs.table(spark, sf, "lineitem").select(*names), names)
+    rows = inputs.table(spark, sf, "lineitem").select(*names)
+    return serving.capped(rows, names, RESULT_ROW_CAP)
 
 
 @query(

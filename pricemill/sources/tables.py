@@ -58,9 +58,16 @@ def scan_evolving(spark, path):
 
 
 def path_exists(spark, path):
-    """Whether a table was completely written at a path."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """Whether a table with rows was completely written at a path.
+
+    A write of no rows leaves a marker and no files, so no schema to read: not yet a table.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return False
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return "_SUCCESS" in names and any(name[0] not in "_." for name in names)
 
 
 def inventory(tables):
