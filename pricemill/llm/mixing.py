@@ -146,6 +146,25 @@ def design(packed, chosen):
     return x
 
 
+def chosen_places(rows, chosen):
+    """(label_doc, domain, places): which of the chosen buckets a document has, two bytes each."""
+    place = np.full(BUCKETS, -1)
+    place[chosen] = np.arange(len(chosen))
+
+    def find(batches):
+        for batch in batches:
+            at = [place[np.frombuffer(b, dtype="<u2")] for b in batch.column(2).to_pylist()]
+            found = [a[a >= 0].astype("<u2").tobytes() for a in at]
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(found, type=pa.binary())],
+                names=["label_doc", "domain", "places"],
+            )
+
+    return rows.select("label_doc", "domain", "buckets").mapInArrow(
+        find, "label_doc long, domain int, places binary"
+    )
+
+
 def logistic(x, domain, present, rounds=ROUNDS, ridge=RIDGE):
     """Multinomial logistic weights by accelerated gradient descent; absent domains get none."""
     weights = ahead = np.zeros((x.shape[1], len(DOMAINS)), dtype=np.float32)
@@ -176,10 +195,12 @@ def train(hashed, labels):
         clean = np.arange(len(DOMAINS)) == DOMAINS.index("clean")
         return np.zeros(0, dtype=np.int64), np.zeros((1, len(DOMAINS))), clean
     chosen = telling_buckets(counts)
+    # at most SAMPLE rows of len(DOMAINS) * FEATURES places reach the driver, however long the texts
     sample = (
-        rows.orderBy(F.xxhash64("label_doc"), "label_doc", "buckets").limit(SAMPLE).collect()
+        chosen_places(rows, chosen)
+        .orderBy(F.xxhash64("label_doc"), "label_doc", "places").limit(SAMPLE).collect()
     )
-    x = design([row["buckets"] for row in sample], chosen)
+    x = design([row["places"] for row in sample], np.arange(len(chosen)))
     return chosen, logistic(x, [row["domain"] for row in sample], present), present
 
 
