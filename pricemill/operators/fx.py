@@ -30,8 +30,8 @@ def on_spine(rates, days, date="date_rates"):
 def spine_fill(rates, days, values, date="date_rates"):
     """Every calendar day with each column filled forward on its own.
 
-    The window runs per ``base`` currency: its rows are the days of a calendar whose range
-    is literal, whatever the size of the data behind the rates.
+    The window is one task. Its rows are distinct days, of which Spark's dates have 3.65
+    million (years 1 to 9999), however many rates and prices there are.
     """
     spine = on_spine(rates, days, date).withColumn("base", F.lit("USD"))
     window = ordered("base", date)

@@ -22,10 +22,10 @@ from pricemill.constants import (
 from pricemill.functions.scalars import as_column, rsi_or_default, rsi_status
 from pricemill.functions.windows import change_from_previous, columns, ordered, trailing
 from pricemill.operators.joins import join_groups
-from pricemill.operators.longseries import POSITION, over_chunks
+from pricemill.operators.longseries import CHUNK, HALO, POSITION, over_chunks, with_chunks
 
-# Weight below which older rows cannot change a double any more.
-_FADED = 1e-18
+# Below the smallest double a weight is zero, however the average is written.
+_LEAST_WEIGHT = 1e-308
 # Largest factor a block of the moving-average scan may scale by.
 _BLOCK_SCALE = 1e100
 
@@ -97,34 +97,80 @@ def ema(df, series, order, price, spans=AVERAGE_SPANS, names=None, chunk_rows=No
     ``sum(a*x*q^-j) * q^j``, plus the previous block's end faded by ``q^(j+1)``. Blocks are
     long enough that what lies two blocks back weighs less than 1e-100, and short enough that
     ``q^-j`` stays far from overflow. A row without price has no average and does not move it.
+    Chunks carry their ends on in the same way, over all chunks that have a weight at all.
     """
     names = names or [f"ema_{span}" for span in spans]
     if chunk_rows is None:
         counted = _with_price_position(df, columns(series), order, price)
         return _ema_columns(counted, columns(series), order, price, spans, names).drop(POSITION)
-
-    def build(frame, partition):
-        return _ema_columns(frame, partition, order, price, spans, names)
-
-    halo = _fade_rows(max(spans))
-    return over_chunks(df, series, order, halo, chunk_rows, build, counted=price)
+    chunked = with_chunks(df, series, order, 0, chunk_rows, price)
+    averaged = _carried_ema(chunked, columns(series), order, price, spans, names, chunk_rows)
+    return averaged.drop(CHUNK, HALO, POSITION)
 
 
 def macd(df, series, order, price, fast=MACD_FAST, slow=MACD_SLOW, signal=MACD_SIGNAL,
          chunk_rows=None):
     """Line (fast minus slow average), its own average as signal, and their difference."""
+    if chunk_rows is None:
+        frame = _with_price_position(df, columns(series), order, price)
 
-    def build(frame, partition):
-        lines = _ema_columns(frame, partition, order, price, (fast, slow), ("_fast", "_slow"))
-        line = lines.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-        averaged = _ema_columns(line, partition, order, "macd", (signal,), ("macd_signal",))
-        return averaged.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+        def average(frame, value, spans, names):
+            return _ema_columns(frame, columns(series), order, value, spans, names)
+    else:
+        frame = with_chunks(df, series, order, 0, chunk_rows, price)
 
-    if chunk_rows is None:
-        counted = _with_price_position(df, columns(series), order, price)
-        return build(counted, columns(series)).drop(POSITION)
-    halo = _fade_rows(slow) + _fade_rows(signal)
-    return over_chunks(df, series, order, halo, chunk_rows, build, counted=price)
+        def average(frame, value, spans, names):
+            return _carried_ema(frame, columns(series), order, value, spans, names, chunk_rows)
+
+    lines = average(frame, price, (fast, slow), ("_fast", "_slow"))
+    line = lines.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    averaged = average(line, "macd", (signal,), ("macd_signal",))
+    return averaged.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop(
+        CHUNK, HALO, POSITION
+    )
+
+
+def _carried_ema(chunked, series, order, price, spans, names, chunk_rows):
+    """Averages inside chunks, plus the average at the end of the chunk before, faded.
+
+    A chunk's own share of its end is a plain sum over its rows, so the ends are one small
+    aggregate. They are folded over as many chunks as have a weight at all: nothing is cut.
+    """
+    keys = [*series, CHUNK]
+    own = [f"_own_{name}" for name in names]
+    carries = _chunk_carries(chunked, series, price, spans, names, chunk_rows)
+    local = _ema_columns(chunked, [CHUNK, *series], order, price, spans, own)
+    joined = join_groups(local, carries, keys, "left")
+    since = F.col(POSITION) - F.col(CHUNK) * F.lit(chunk_rows) + F.lit(1)
+    results = [
+        (
+            F.col(part)
+            + F.coalesce(F.col(f"_carry_{name}"), F.lit(0.0)) * F.pow(F.lit(_keep(span)), since)
+        ).alias(name)
+        for span, name, part in zip(spans, names, own)
+    ]
+    return joined.select(*chunked.columns, *results)
+
+
+def _chunk_carries(chunked, series, price, spans, names, chunk_rows):
+    """What each chunk starts from; all chunks but the last have ``chunk_rows`` priced rows."""
+    left = F.lit(chunk_rows - 1) - (F.col(POSITION) - F.col(CHUNK) * F.lit(chunk_rows))
+    ends, carries = [], []
+    for span, name in zip(spans, names):
+        keep = _keep(span)
+        weight = F.when(F.col(POSITION) == 0, 1.0).otherwise(1 - keep)
+        ends.append(F.sum(weight * F.col(price) * F.pow(F.lit(keep), left)).alias(f"_end_{name}"))
+        faded = keep**chunk_rows
+        reach = 1 if faded == 0 else math.ceil(math.log(_LEAST_WEIGHT) / math.log(faded))
+        before = ordered(series, CHUNK).rowsBetween(-reach, -1)
+        earlier = F.collect_list(f"_end_{name}").over(before)
+        carries.append(_folded(earlier, faded).alias(f"_carry_{name}"))
+    priced = chunked.filter(F.col(price).isNotNull())
+    return priced.groupBy(*series, CHUNK).agg(*ends).select(*series, CHUNK, *carries)
+
+
+def _folded(ends, faded):
+    return F.aggregate(ends, F.lit(0.0), lambda total, end: total * F.lit(faded) + end)
 
 
 def _with_price_position(df, partition, order, price):
@@ -132,14 +178,12 @@ def _with_price_position(df, partition, order, price):
     return df.withColumn(POSITION, F.count(price).over(running) - F.lit(1))
 
 
-def _fade_rows(span):
-    """Rows after which a value's weight is below double precision."""
-    keep = (span - 1) / (span + 1)
-    return 1 if keep == 0 else math.ceil(math.log(_FADED) / math.log(keep))
+def _keep(span):
+    return (span - 1) / (span + 1)
 
 
 def _block_rows(span):
-    keep = (span - 1) / (span + 1)
+    keep = _keep(span)
     return 1 if keep == 0 else math.floor(math.log(_BLOCK_SCALE) / -math.log(keep))
 
 
@@ -149,7 +193,7 @@ def _ema_columns(frame, partition, order, price, spans, names):
     running = (Window.unboundedPreceding, Window.currentRow)
     local_columns, carries, results = [], [], []
     for span, name in zip(spans, names):
-        keep = (span - 1) / (span + 1)
+        keep = _keep(span)
         if keep == 0:
             results.append(value.alias(name))
             continue

@@ -106,12 +106,12 @@ def sma(spark, sf):
     return _rounded(averaged, ["series", "date"], ["sma_7", "sma_50", "sma_200"])
 
 
-@query("sma_ticks", _sma_sql("x_line", "tick", (7, 50)))
+@query("sma_ticks", _sma_sql("x_line", "tick", (7, 50, 200)))
 def sma_ticks(spark, sf):
     averaged = indicators.sma(
-        inputs.line_ticks(spark, sf), "series", "tick", "close", (7, 50), CHUNK_ROWS
+        inputs.line_ticks(spark, sf), "series", "tick", "close", (7, 50, 200), CHUNK_ROWS
     )
-    return _rounded(averaged, ["series", "tick"], ["sma_7", "sma_50"])
+    return _rounded(averaged, ["series", "tick"], ["sma_7", "sma_50", "sma_200"])
 
 
 def _ema_part(name, source, order, price, span, reach):

@@ -88,6 +88,23 @@ def test_ema_with_missing_prices(spark):
         assert a[2] is None or a[2] == pytest.approx(b[2], rel=1e-11)
 
 
+@pytest.mark.parametrize("chunk_rows", [40, 146])
+def test_ema_keeps_all_history(spark, chunk_rows):
+    """Old prices may be larger by many orders of magnitude and must still be felt."""
+    prices = [1e9] * 100 + [1e-9] * 300 + [1e12, 1e-12] * 50
+    data = [("a", i, p) for i, p in enumerate(prices)] + [("b", 3, 2.0)]
+    df = spark.createDataFrame(data, SCHEMA)
+    spans = (1, 7, 200)
+    got = indicators.ema(df, "series", "tick", "close", spans, chunk_rows=chunk_rows)
+    found = rows(got, "series", "tick", *[f"ema_{s}" for s in spans])
+    for column, span in enumerate(spans, 2):
+        keep, want = (span - 1) / (span + 1), []
+        for price in prices:
+            want.append(keep * want[-1] + (1 - keep) * price if want else price)
+        assert [r[column] for r in found if r[0] == "a"] == pytest.approx(want, rel=1e-10, abs=0)
+    assert found[-1] == ("b", 3, 2.0, 2.0, 2.0)
+
+
 @pytest.mark.parametrize("spread", [1, 400_000])
 @pytest.mark.parametrize("nulls", [0.3, 0.995])
 def test_forward_fill(spark, spread, nulls):

@@ -15,7 +15,7 @@ D = datetime.date
 @pytest.fixture()
 def rates(spark):
     return spark.createDataFrame(
-        [(D(2020, 1, 1), 0.9, 0.85)], "date_rates date, rate_usd_chf double, rate_usd_eur double"
+        [(D(2020, 1, 1), 0.875, 0.75)], "date_rates date, rate_usd_chf double, rate_usd_eur double"
     )
 
 
@@ -43,7 +43,7 @@ def test_metrics(spark, rates):
     assert (got[0].change_24h, round(got[0].change_percent_24h, 2)) == (1500.0, 3.57)
     assert (got[0].rsi, got[0].trend, got[0].is_positive) == (50.0, "up", True)
     eur = serving.current_metrics(df, rates, "EUR").first()
-    assert eur.change_24h == pytest.approx(1275.0) and eur.volume_24h == 10.0
+    assert eur.change_24h == pytest.approx(1125.0) and eur.volume_24h == 10.0
 
 
 def test_history_routing_and_defaults(spark, rates):
@@ -54,7 +54,7 @@ def test_history_routing_and_defaults(spark, rates):
     got = serving.history(daily, month, rates, days=3650, as_of="2020-01-20").first()
     assert (got.volume, got.rsi_status) == (0.0, "Overbought")
     chf = serving.history(daily, month, rates, days=30, currency="CHF", as_of="2020-01-20").first()
-    assert chf.sma_7 == pytest.approx(60100 * 0.9) and chf.macd is None
+    assert chf.sma_7 == pytest.approx(60100 * 0.875) and chf.macd is None
     assert serving.history(daily, month, rates, days=3, as_of="2020-01-20").count() == 0
     between = serving.history(daily, month, rates, start="2020-01-01", end="2020-01-02", as_of="2020-01-20")
     assert between.count() == 1
@@ -65,7 +65,7 @@ def predictions(spark, days=400):
     data = []
     for i in range(days):
         for at in (2, 1, 3):
-            data.append(("a", start + datetime.timedelta(days=i), 50000.0 + at, 49000.0, 51000.0, at))
+            data.append(("a", start + datetime.timedelta(days=i), 820.0 + at, 790.0, 850.0, at))
     return spark.createDataFrame(
         data,
         "series string, date_prices date, predicted_close_usd double,"
@@ -77,7 +77,7 @@ def test_forecast_newest_prediction_of_earliest_dates(spark, rates):
     got = serving.forecast(predictions(spark), rates, "EUR")
     assert got.count() == 365
     assert got.agg(F.max("date_prices")).first()[0] == D(2020, 12, 30)
-    assert got.first().predicted_close_usd == pytest.approx(50003 * 0.85)
+    assert got.first().predicted_close_usd == pytest.approx(823 * 0.75)
 
 
 @pytest.mark.parametrize(

@@ -96,12 +96,12 @@ def test_rates_fill_each_column_on_its_own(spark):
 
 def test_latest_rate_conversion(spark):
     table = spark.createDataFrame(
-        [(D(2020, 1, 1), 0.5, 0.5), (D(2020, 1, 2), 0.9, 0.85)],
+        [(D(2020, 1, 1), 0.25, 0.25), (D(2020, 1, 2), 0.875, 0.75)],
         "date_rates date, rate_usd_chf double, rate_usd_eur double",
     )
-    df = spark.createDataFrame([(50000.0, 0.0)], "price double, sma double")
-    assert rows(fx.convert_latest(df, table, ["price"], "EUR", ["sma"])) == [(42500.0, None)]
-    assert rows(fx.convert_latest(df, table, ["price"], "USD", ["sma"])) == [(50000.0, 0.0)]
+    df = spark.createDataFrame([(1600.0, 0.0)], "price double, sma double")
+    assert rows(fx.convert_latest(df, table, ["price"], "EUR", ["sma"])) == [(1200.0, None)]
+    assert rows(fx.convert_latest(df, table, ["price"], "USD", ["sma"])) == [(1600.0, 0.0)]
     with pytest.raises(ValueError):
         fx.convert_latest(df, table, ["price"], "GBP")
 
