@@ -12,21 +12,38 @@ from pyspark.sql import functions as F
 from pricemill.constants import PERIOD_KEYS
 from pricemill.functions.scalars import as_column
 from pricemill.functions.windows import columns, ordered
+from pricemill.operators.longseries import whole_number
 
+# More than the 64-bit numbers there are, so no tie-breaker reaches the next order key
+_TIES = "20000000000000000000BD"
 
-def from_ticks(ticks, series, time, price, order_key, unit="day", volume=None):
+
+def one_key(df, order_key, tie):
+    """An order key (date, time or integer of 18 digits) and an integer tie-breaker as one number.
+
+    A missing tie-breaker comes first. One decimal keeps the aggregate on hashes.
+    """
+    return F.expr(
+        f"CAST({whole_number(df, order_key)} AS DECIMAL(18, 0)) * {_TIES}"
+        f" + coalesce(CAST(`{tie}` AS DECIMAL(19, 0)), {-(2**63)}BD)"
+    )
+
+
+def from_ticks(ticks, series, time, price, order_key, unit="day", volume=None, tie=None):
     """One bar per series and ``unit`` (``day``, ``hour``, ``week``, ...).
 
-    ``order_key`` must be unique per series and fixed width. ``volume`` is a column to sum;
-    without it the number of ticks is the volume.
+    ``order_key`` is fixed width; it must be unique per series, alone or with the integer column
+    ``tie``, which settles equal keys. ``volume`` is a column to sum; without it the number of
+    ticks is the volume.
     """
+    order = order_key if tie is None else one_key(ticks, order_key, tie)
     stamp = F.to_date(time) if unit == "day" else F.date_trunc(unit, F.col(time))
     size = F.count(F.lit(1)) if volume is None else F.sum(volume)
     return ticks.groupBy(*columns(series), stamp.alias("date")).agg(
         F.min(price).alias("low"),
         F.max(price).alias("high"),
-        F.min_by(price, order_key).alias("open"),
-        F.max_by(price, order_key).alias("close"),
+        F.min_by(price, order).alias("open"),
+        F.max_by(price, order).alias("close"),
         size.cast("double").alias("volume"),
     )
 

@@ -26,33 +26,20 @@ def dedupe_latest(df, keys, latest, tie_breakers=()):
     """
     keys = columns(keys)
     values = [f for f in df.schema.fields if f.name not in keys]
-    latest_type = df.schema[latest].dataType
     if not tie_breakers and all(isinstance(f.dataType, _FIXED_WIDTH) for f in values):
-        order = _never_null(latest, latest_type)
-        picks = [F.expr(f"max_by(`{f.name}`, {order}) AS `{f.name}`") for f in values]
+        # max_by leaves out rows without an order key; where a key has no others, one of them stays
+        picks = [
+            F.expr(
+                f"if(max(`{latest}`) IS NULL, first(`{f.name}`), max_by(`{f.name}`, `{latest}`))"
+                f" AS `{f.name}`"
+            )
+            for f in values
+        ]
         return df.groupBy(*keys).agg(*picks).select(*df.columns)
     order = [F.col(c).desc_nulls_last() for c in (latest, *tie_breakers)]
     return keep_top(df, keys, order, 1)
 
 
-# A value below any real one, by type.
-_SMALLEST = {
-    T.DoubleType: "double('-infinity')",
-    T.FloatType: "float('-infinity')",
-    T.DateType: "DATE'0001-01-01'",
-    T.TimestampType: "TIMESTAMP'0001-01-01 00:00:00'",
-    T.TimestampNTZType: "TIMESTAMP_NTZ'0001-01-01 00:00:00'",
-}
-
-
-def _never_null(name, data_type):
-    """SQL for the order key; ``max_by`` skips NULL keys, so they become the smallest."""
-    smallest = _SMALLEST.get(type(data_type))
-    if smallest is None:
-        return f"coalesce(CAST(`{name}` AS BIGINT), {-(2**63) + 1}L)"
-    return f"coalesce(`{name}`, {smallest})"
-
-
 def keep_top(df, keys, order, rows):
     """The first ``rows`` rows of each key in the given order."""
     window = Window.partitionBy(*columns(keys)).orderBy(*order)

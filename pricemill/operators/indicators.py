@@ -239,11 +239,12 @@ def volatility_intensity(df, series):
     )
 
 
-def rsi_points(df, series, date="date"):
-    """RSI as charted: monthly means for series of two years or more, else the raw points.
+def rsi_points(df, series, date="date", smooth=None):
+    """RSI as charted: monthly means (``smooth``) or the raw points.
 
-    Months are aggregated first; the span and the choice are made on the monthly rows. A mean
-    counts a missing or zero RSI as neutral and is dated the 15th.
+    With ``smooth`` None a series of two years or more has means. Months are aggregated first;
+    the span and the choice are made on the monthly rows. A mean counts a missing or zero RSI as
+    neutral and is dated the 15th.
     """
     series = columns(series)
     month = F.trunc(date, "month")
@@ -252,6 +253,11 @@ def rsi_points(df, series, date="date"):
         F.min(date).alias("first"),
         F.max(date).alias("last"),
     )
+    middle = F.date_add("month", SMOOTHING_DAY_OF_MONTH - 1).alias(date)
+    known = df.filter(as_column("rsi").isNotNull())
+    point = [*series, date, F.col("rsi").alias("value")]
+    if smooth is not None:
+        return monthly.select(*series, middle, "value") if smooth else known.select(*point)
     spans = (
         monthly.groupBy(*series)
         .agg(F.min("first").alias("first"), F.max("last").alias("last"))
@@ -259,14 +265,10 @@ def rsi_points(df, series, date="date"):
     )
     smoothed = (
         join_groups(monthly, spans.filter("smooth"), series, "left_semi")
-        .select(*series, F.date_add("month", SMOOTHING_DAY_OF_MONTH - 1).alias(date), "value")
+        .select(*series, middle, "value")
     )
-    raw = (
-        df.filter(as_column("rsi").isNotNull())
-        .transform(join_groups, spans.filter(~F.col("smooth")), series, "left_semi")
-        .select(*series, date, F.col("rsi").alias("value"))
-    )
-    return smoothed.unionByName(raw)
+    raw = join_groups(known, spans.filter(~F.col("smooth")), series, "left_semi")
+    return smoothed.unionByName(raw.select(*point))
 
 
 def display_grain(df, series, date="date"):

@@ -44,7 +44,8 @@ def _floor_div(expression, divisor):
     return f"(({expression}) - pmod({expression}, {divisor}L)) div {divisor}L"
 
 
-def _with_bucket(df, order, chunk_rows):
+def whole_number(df, order):
+    """SQL of the order key (an integer, date or timestamp) as a 64-bit integer."""
     data_type = df.schema[order].dataType
     key = f"CAST(`{order}` AS BIGINT)"
     if isinstance(data_type, T.DateType):
@@ -58,7 +59,11 @@ def _with_bucket(df, order, chunk_rows):
             f" + minute(`{order}`) * 60000000L"
             f" + CAST(extract(SECOND FROM `{order}`) * 1000000 AS BIGINT)"
         )
-    return df.withColumn(_BUCKET, F.expr(_floor_div(key, chunk_rows)))
+    return key
+
+
+def _with_bucket(df, order, chunk_rows):
+    return df.withColumn(_BUCKET, F.expr(_floor_div(whole_number(df, order), chunk_rows)))
 
 
 def _with_region(buckets):

@@ -1,5 +1,6 @@
 """Data quality: checks as conditions, counted together in one pass per table."""
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -7,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricemill.functions.scalars import any_null, ohlc_broken
+from pricemill.constants import PERIOD_UNITS, REQUEST_TYPES
+from pricemill.functions.scalars import any_null, coerce_double, ohlc_broken
 from pricemill.functions.windows import columns
 
 DATE_TEXT = r"^\d{4}-\d{2}-\d{2}"
@@ -122,9 +124,13 @@ def _checked(df, field):
     column = F.col(field.name)
     if field.kind == "number":
         if not present:
-            return F.lit(field.default).cast("double"), None
-        number = column.try_cast("double")
-        return F.coalesce(number, F.lit(0.0)), column.isNotNull() & number.isNull()
+            return F.lit(field.default).cast("double"), F.lit(field.default is None)
+        blank = column.isNull() | (F.trim(column.cast("string")) == "")
+        number = coerce_double(column)
+        return F.when(blank, 0.0).otherwise(number), ~blank & number.isNull()
+    if field.kind == "required_number":
+        number = coerce_double(column) if present else F.lit(None).cast("double")
+        return number, number.isNull()
     if field.kind == "strict_number":
         if not present:
             return F.lit(None).cast("double"), None
@@ -141,11 +147,31 @@ def _checked(df, field):
             return F.lit(field.default), F.lit(field.default is None)
         value = column if field.default is None else F.coalesce(column, F.lit(field.default))
         return value, value.isNull() | ~value.isin(*field.allowed)
+    if field.kind == "optional_text":
+        return (column if present else F.lit(None)).cast("string"), None
     if not present:
         return F.lit(field.default), F.lit(field.default is None)
     return column.cast("string"), column.isNull()
 
 
+def parsed_request(request, contract=None):
+    """One request (a mapping of texts) by its contract, as a dict; ValueError names its faults."""
+    values, faults = {}, []
+    for field in contract or REQUEST_CONTRACT:
+        given = request.get(field.name)
+        value = field.default if given is None else given
+        if field.kind == "integer":
+            whole = re.match(r"\s*([+-]?\d+)", str(field.default if given in (None, "") else given))
+            value = int(whole[1]) if whole else None
+        required = field.kind != "optional_text"
+        if required and (value is None or field.allowed and value not in field.allowed):
+            faults.append(field.name)
+        values[field.name] = value
+    if faults:
+        raise ValueError(f"request rejected for {', '.join(faults)}")
+    return values
+
+
 # Contract of a history row.
 HISTORY_CONTRACT = (
     Field("date", "text"),
@@ -162,9 +188,38 @@ HISTORY_CONTRACT = (
     ),
 )
 
+# Contract of current metrics.
+METRICS_CONTRACT = tuple(
+    Field(name, "required_number")
+    for name in (
+        "current_price", "change_24h", "change_percent_24h", "volume_24h",
+        "high_24h", "low_24h", "rsi",
+    )
+)
+
+# Contract of a period.
+AGGREGATED_CONTRACT = (
+    Field("period", "text"),
+    *(Field(n, "number", 0.0) for n in ("avg_price", "max_price", "min_price", "total_volume")),
+)
+
+# Contract of a forecast.
+FORECAST_CONTRACT = (
+    Field("date_prices", "text"),
+    *(
+        Field(name, "number")
+        for name in (
+            "predicted_close_usd", "predicted_close_usd_lower", "predicted_close_usd_upper",
+        )
+    ),
+    Field("predicted_at", "text"),
+)
+
 # Contract of a request.
 REQUEST_CONTRACT = (
-    Field("type", "choice", None, ("metrics", "history", "aggregated", "forecast")),
+    Field("type", "choice", None, REQUEST_TYPES),
     Field("days", "integer", 30),
-    Field("period", "choice", "weekly", ("weekly", "monthly", "quarterly")),
+    Field("startDate", "optional_text"),
+    Field("endDate", "optional_text"),
+    Field("period", "choice", "weekly", tuple(PERIOD_UNITS)),
 )

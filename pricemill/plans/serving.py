@@ -13,7 +13,6 @@ from pricemill.constants import (
     OHLC,
     PERIOD_KEYS,
     PERIOD_UNITS,
-    REQUEST_TYPES,
     SLICE_ROWS,
 )
 from pricemill.functions.scalars import (
@@ -27,6 +26,7 @@ from pricemill.functions.scalars import (
 from pricemill.functions.windows import columns
 from pricemill.operators import fx, indicators
 from pricemill.operators.dedupe import dedupe_latest, keep_first, keep_top
+from pricemill.operators.quality import parsed_request
 
 
 def _day(as_of):
@@ -125,16 +125,21 @@ def _served(df, rates, currency, series):
     return shaped.fillna(0.0, [*OHLC, "volume", "rsi"]).orderBy(series, "date")
 
 
+def history_grain(days):
+    """The grain that answers so many days: long ranges come from the month table."""
+    return "month" if days >= MONTHLY_HISTORY_DAYS else "day"
+
+
 def history(fact, month, rates, days=30, start=None, end=None, currency="USD", as_of=None,
-            series="series"):
-    """Long ranges are answered from the month table, others from the daily fact."""
-    if days >= MONTHLY_HISTORY_DAYS:
+            series="series", grain=None):
+    """History by ``grain``, ``month`` or ``day``; None takes what ``history_grain`` says."""
+    if (grain or history_grain(days)) == "month":
         return history_monthly(month, rates, days, start, end, currency, as_of, series)
     return history_daily(fact, rates, days, start, end, currency, as_of, series)
 
 
-def aggregated(gold, period="weekly", series="series"):
-    """The last twelve periods of each series, newest first. The average is the close."""
+def aggregated(gold, period="weekly", series="series", periods=AGGREGATED_PERIODS):
+    """The last ``periods`` (None: all) of each series, newest first. The average is the close."""
     key = PERIOD_KEYS[PERIOD_UNITS.get(period, "week")]
     rows = gold[PERIOD_UNITS.get(period, "week")].select(
         series,
@@ -144,9 +149,10 @@ def aggregated(gold, period="weekly", series="series"):
         F.col("low_usd").alias("min_price"),
         F.lit(0.0).alias("total_volume"),
     )
-    newest = keep_top(rows, series, [F.col("period").desc()], AGGREGATED_PERIODS)
-    return newest.fillna(0.0, ["avg_price", "max_price", "min_price"]).orderBy(
-        series, F.col("period").desc()
+    newest = F.col("period").desc()
+    kept = rows if periods is None else keep_top(rows, series, [newest], periods)
+    return kept.fillna(0.0, ["avg_price", "max_price", "min_price"]).orderBy(
+        series, newest
     )
 
 
@@ -155,10 +161,12 @@ FORECAST_PRICES = (
 )
 
 
-def forecast(predictions, rates, currency="USD", series="series"):
-    """The newest prediction of each date, for the earliest 365 dates of each series."""
+def forecast(predictions, rates, currency="USD", series="series", dates=FORECAST_DATES):
+    """The newest prediction of each date, for the earliest ``dates`` (None: all) of each series."""
     newest = dedupe_latest(predictions, [series, "date_prices"], "predicted_at")
-    earliest = keep_top(newest, series, [F.col("date_prices").asc()], FORECAST_DATES)
+    earliest = newest
+    if dates is not None:
+        earliest = keep_top(newest, series, [F.col("date_prices").asc()], dates)
     return fx.convert_latest(earliest, rates, FORECAST_PRICES, currency).orderBy(
         series, "date_prices"
     )
@@ -212,13 +220,14 @@ def repair_lows(bars, date="date"):
     return bars.withColumn("low", repaired_low("low", "open", "high", "close", date))
 
 
-def chart_series(rows, groups=("rsi", "macd", "sma", "ema"), series="series", date="date"):
-    """Repaired prices and the chosen indicators as points, RSI smoothed for long spans."""
+def chart_series(rows, groups=("rsi", "macd", "sma", "ema"), series="series", date="date",
+                 smooth=None):
+    """Repaired prices and the chosen indicators as points; ``smooth`` as in ``rsi_points``."""
     repaired = repair_lows(rows, date)
     parts = [_points(repaired, OHLC, series, date)]
     for group in groups:
         if group == "rsi":
-            smoothed = indicators.rsi_points(rows, series, date)
+            smoothed = indicators.rsi_points(rows, series, date, smooth)
             parts.append(smoothed.select(series, date, F.lit("rsi").alias("indicator"), "value"))
         else:
             parts.append(indicator_points(repaired, group, series, date))
@@ -250,18 +259,20 @@ def days_for(time_filter, as_of):
 
 
 def serve(request, tables, as_of):
-    """Answer a request by its type, in USD. ``tables`` maps layer names to frames."""
+    """Answer a request by its type, in USD. ``tables`` maps layer names to frames.
+
+    The request is held against its contract first; one that does not fit raises ValueError.
+    """
+    request = parsed_request(request)
     kind = request["type"]
-    if kind not in REQUEST_TYPES:
-        raise ValueError(f"unsupported type {kind}")
     rates = tables["usd_to_other"]
     if kind == "metrics":
         return current_metrics(tables["fact"], rates)
     if kind == "history":
         return history(
-            tables["fact"], tables["gold"]["month"], rates, request.get("days", 30),
-            request.get("start"), request.get("end"), "USD", as_of,
+            tables["fact"], tables["gold"]["month"], rates, request["days"],
+            request["startDate"], request["endDate"], "USD", as_of,
         )
     if kind == "aggregated":
-        return aggregated(tables["gold"], request.get("period", "weekly"))
+        return aggregated(tables["gold"], request["period"])
     return forecast(tables["forecasts"], rates)

@@ -154,6 +154,95 @@ def validate_rejected(spark, sf):
     return rejected.select("date", F.array_join("faults", ",").alias("fault"))
 
 
+def _counted(spark, sf, *columns):
+    """Orders as rows of numbers in text, by status: fine, blank (P) or no number (F)."""
+    price = F.col("o_totalprice").cast("string")
+    text = (
+        F.when(F.col("o_orderstatus") == "P", " ")
+        .when(F.col("o_orderstatus") == "F", F.concat(price, F.lit("d"))).otherwise(price)
+    )
+    return inputs.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("key"), text.alias("text"),
+        F.col("o_totalprice").alias("price"),
+    ).select(*columns)
+
+
+_NUMBERED = "SELECT CAST(o_orderkey AS VARCHAR) AS {0}, {1} FROM orders WHERE {2}"
+_OR_ZERO = "CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END"
+
+
+@query(
+    "validate_metrics",
+    "SELECT o_totalprice AS current_price, -o_totalprice AS change_24h, o_totalprice AS rsi,"
+    " CAST(o_orderkey AS DOUBLE) AS volume_24h FROM orders WHERE o_orderstatus = 'O'",
+)
+def validate_metrics(spark, sf):
+    """Every metric must be a number; blanks are none."""
+    rows = _counted(
+        spark, sf, F.col("text").alias("current_price"), (-F.col("price")).alias("change_24h"),
+        F.lit(0.5).alias("change_percent_24h"), F.col("key").alias("volume_24h"),
+        F.col("price").alias("high_24h"), F.col("price").alias("low_24h"),
+        F.col("text").alias("rsi"),
+    )
+    valid, _ = quality.validate(rows, quality.METRICS_CONTRACT)
+    return valid.select("current_price", "change_24h", "rsi", "volume_24h")
+
+
+@query(
+    "validate_aggregated",
+    _NUMBERED.format(
+        "period",
+        f"{_OR_ZERO} AS avg_price, o_totalprice AS max_price, CAST(0 AS DOUBLE) AS min_price,"
+        " CAST(0 AS DOUBLE) AS total_volume",
+        "o_orderstatus <> 'F'",
+    ),
+)
+def validate_aggregated(spark, sf):
+    """Blank numbers are zero, and so are columns that are not there."""
+    rows = _counted(
+        spark, sf, F.col("key").alias("period"), F.col("text").alias("avg_price"),
+        F.col("price").alias("max_price"),
+    )
+    valid, _ = quality.validate(rows, quality.AGGREGATED_CONTRACT)
+    return valid
+
+
+@query(
+    "validate_forecasts",
+    _NUMBERED.format(
+        "date_prices",
+        "'predicted_close_usd_upper' || CASE WHEN o_orderstatus = 'F'"
+        " THEN ',predicted_close_usd' ELSE '' END AS faults",
+        "true",
+    ),
+)
+def validate_forecasts(spark, sf):
+    """A missing column of predictions is a fault of every row."""
+    rows = _counted(
+        spark, sf, F.col("key").alias("date_prices"), F.col("key").alias("predicted_at"),
+        F.col("text").alias("predicted_close_usd"),
+        F.col("price").alias("predicted_close_usd_lower"),
+    )
+    _, rejected = quality.validate(rows, quality.FORECAST_CONTRACT)
+    named = F.array_join(F.sort_array("faults", asc=False), ",")
+    return rejected.select("date_prices", named.alias("faults"))
+
+
+@query(
+    "serve_rejected",
+    "SELECT event_id, 'type' AS faults FROM events WHERE event_type NOT IN ('view', 'click')",
+)
+def serve_rejected(spark, sf):
+    """Requests of unknown types, with the fields at fault."""
+    kind = F.col("event_type")
+    requests = inputs.table(spark, sf, "events").select(
+        "event_id", F.when(kind.isin("view", "click"), "history").otherwise(kind).alias("type"),
+        F.col("ts").cast("string").alias("startDate"),
+    )
+    _, rejected = quality.validate(requests, quality.REQUEST_CONTRACT)
+    return rejected.select("event_id", F.array_join("faults", ",").alias("faults"))
+
+
 @query(
     "validate_requests",
     "SELECT 'metrics' AS request_type,"
@@ -170,4 +259,4 @@ def validate_requests(spark, sf):
         F.when(kind == "view", "monthly").alias("period"),
     )
     valid, _ = quality.validate(requests, quality.REQUEST_CONTRACT)
-    return valid.withColumnRenamed("type", "request_type")
+    return valid.select(F.col("type").alias("request_type"), "days", "period")

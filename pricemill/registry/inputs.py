@@ -94,6 +94,12 @@ def event_ticks(spark, sf):
     )
 
 
+def event_bars(spark, sf):
+    """Daily bars of the events; events of one time go by their id."""
+    ticks = event_ticks(spark, sf)
+    return bar_ops.from_ticks(ticks, "series", "ts", "price", "ts", tie="event_id")
+
+
 # Overlapping loads of the same day: one candle per order status, the status telling the load.
 _LOADS = {"F": "2001-09-01 00:00:00", "O": "2001-09-02 00:00:00", "P": "2001-09-03 00:00:00"}
 

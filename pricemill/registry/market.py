@@ -19,14 +19,33 @@ def bars_from_orders(spark, sf):
 part(
     "x_event_bars",
     "SELECT event_type AS series, CAST(ts AS DATE) AS date, min(value) AS low,"
-    " max(value) AS high, arg_min(value, ts) AS open, arg_max(value, ts) AS close,"
+    " max(value) AS high, arg_min(value, (ts, event_id)) AS open,"
+    " arg_max(value, (ts, event_id)) AS close,"
     " CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2",
 )
 
 
 @query("bars_from_events", "SELECT * FROM x_event_bars")
 def bars_from_events(spark, sf):
-    return bar_ops.from_ticks(inputs.event_ticks(spark, sf), "series", "ts", "price", "ts")
+    return inputs.event_bars(spark, sf)
+
+
+@query(
+    "bars_tied",
+    "SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS date,"
+    " min(o_totalprice) AS low, max(o_totalprice) AS high,"
+    " arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open,"
+    " arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close,"
+    " CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 1, 2",
+)
+def bars_tied(spark, sf):
+    """Many ticks of one time: the tie-breaker decides which opens and which closes the month."""
+    ticks = inputs.table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "series")
+    bars = bar_ops.from_ticks(
+        ticks, "series", "o_orderdate", "o_totalprice", "o_orderdate", unit="month",
+        tie="o_orderkey",
+    )
+    return inputs.plain(bars)
 
 
 @query(

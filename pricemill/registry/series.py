@@ -33,9 +33,7 @@ def rsi14(spark, sf):
 
 @query("rsi14_events", f"SELECT * {_PLAIN_RSI} FROM x_event_rsi")
 def rsi14_events(spark, sf):
-    ticks = inputs.event_ticks(spark, sf)
-    bars = bar_ops.from_ticks(ticks, "series", "ts", "price", "ts")
-    return indicators.rsi(bars, "series", "date", "close")
+    return indicators.rsi(inputs.event_bars(spark, sf), "series", "date", "close")
 
 
 @query("rsi14_week", f"SELECT * {_PLAIN_RSI} FROM x_bar_week_rsi")
@@ -254,5 +252,5 @@ def rsi_smooth_short(spark, sf):
     " FROM (SELECT * FROM x_bars UNION ALL SELECT * FROM x_event_bars) GROUP BY series",
 )
 def display_grain(spark, sf):
-    events = bar_ops.from_ticks(inputs.event_ticks(spark, sf), "series", "ts", "price", "ts")
-    return indicators.display_grain(inputs.bars(spark, sf).unionByName(events), "series")
+    both = inputs.bars(spark, sf).unionByName(inputs.event_bars(spark, sf))
+    return indicators.display_grain(both, "series")

@@ -141,6 +141,42 @@ def forecast_latest(spark, sf):
     return _forecast(spark, sf)
 
 
+def _serve(spark, sf, **request):
+    """Answers come from all layers; Spark runs only what the request needs."""
+    tables = {
+        "fact": inputs.obt(spark, sf), "usd_to_other": inputs.usd_rates(spark, sf),
+        "forecasts": inputs.forecasts(spark, sf),
+        "gold": {u: inputs.gold_table(spark, sf, u) for u in ("week", "month", "quarter")},
+    }
+    return serving.serve(request, tables, inputs.AS_OF)
+
+
+@query("serve_metrics", _metrics_sql("", ""))
+def serve_metrics(spark, sf):
+    return _serve(spark, sf, type="metrics")
+
+
+@query(
+    "serve_history",
+    _history_sql(
+        "x_obt", "date_prices", "volume", "rsi_status",
+        "date_prices BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'",
+    ),
+)
+def serve_history(spark, sf):
+    return _serve(spark, sf, type="history", startDate="1997-01-01", endDate="1998-12-31")
+
+
+@query("serve_aggregated", _last12_sql("quarter", "quarter_start_date"))
+def serve_aggregated(spark, sf):
+    return _serve(spark, sf, type="aggregated", period="quarterly")
+
+
+@query("serve_forecast", "SELECT * FROM x_earliest")
+def serve_forecast(spark, sf):
+    return _serve(spark, sf, type="forecast")
+
+
 @query(
     "forecast_eur",
     "SELECT series, date_prices, predicted_at, "

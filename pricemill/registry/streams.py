@@ -34,7 +34,7 @@ def stream_daily_bars(spark, sf):
     target = scratch_path(spark, "stream-bars")
     utc = F.expr("CAST(concat(CAST(CAST(ts AS TIMESTAMP_NTZ) AS STRING), 'Z') AS TIMESTAMP)")
     events = _events(spark, sf).withColumn("ts", utc)
-    bars = loads.daily_bars(events, "event_type", "ts", "value")
+    bars = loads.daily_bars(events, "event_type", "ts", "value", tie="event_id")
     loads.upsert(bars, target, scratch_path(spark, "checkpoint"), ["series", "date"])
     return spark.read.parquet(target).drop("month")
 

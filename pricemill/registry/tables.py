@@ -311,10 +311,11 @@ def series_table_name(spark, sf):
     return pairs.withColumn("table_name", scalars.series_table_name("base", "quote"))
 
 
-@query("empty_typed", "SELECT * FROM x_bars WHERE false")
+@query("empty_typed", "SELECT * FROM x_bars")
 def empty_typed(spark, sf):
-    """A source without data keeps its schema."""
-    return empty(spark, inputs.bars(spark, sf).schema)
+    """A source without data keeps its schema, so it joins the others and adds nothing."""
+    bars = inputs.bars(spark, sf)
+    return empty(spark, bars.schema).unionByName(bars)
 
 
 @query("obt_incremental", "SELECT * EXCLUDE (ingest_date_time, dbt_batch_id) FROM x_obt")

@@ -7,6 +7,7 @@ series and window (or by row key) and bounded by the watermark.
 from pyspark.sql import functions as F
 
 from pricemill.constants import LOOKBACK_DAYS
+from pricemill.operators.bars import one_key
 from pricemill.operators.dedupe import dedupe_latest
 from pricemill.operators.incremental import upsert_partitions
 from pricemill.sources.tables import path_exists, stamp_load
@@ -40,12 +41,14 @@ def ingest(stream, target, checkpoint, loaded_at=None):
     )
 
 
-def daily_bars(stream, series, time, price, watermark=WATERMARK):
+def daily_bars(stream, series, time, price, watermark=WATERMARK, tie=None):
     """Bars over one-day tumbling windows; rows later than the watermark are for batch repair.
 
-    The event time must be a TIMESTAMP and unique within a series. Days are UTC days, as
+    The event time must be a TIMESTAMP and unique within a series, alone or with the integer
+    column ``tie``. Days are UTC days, as
     tumbling windows are, whatever the session's time zone.
     """
+    order = time if tie is None else one_key(stream, time, tie)
     utc_day = "date_from_unix_date(CAST(unix_seconds(day.start) div 86400 AS INT))"
     return (
         stream.withWatermark(time, watermark)
@@ -53,8 +56,8 @@ def daily_bars(stream, series, time, price, watermark=WATERMARK):
         .agg(
             F.min(price).alias("low"),
             F.max(price).alias("high"),
-            F.min_by(price, time).alias("open"),
-            F.max_by(price, time).alias("close"),
+            F.min_by(price, order).alias("open"),
+            F.max_by(price, order).alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .select(
@@ -91,8 +94,9 @@ def upsert(stream, target, checkpoint, keys, latest=None, mode="update"):
         else:
             updates = rows
             if latest is not None:
-                stored = spark.read.parquet(target).join(
-                    rows.select(*keys), list(keys), "left_semi"
+                # the month is in the join, so only the months of the batch are read
+                stored = spark.read.schema(rows.schema).parquet(target).join(
+                    rows.select(*keys, "month"), [*keys, "month"], "left_semi"
                 )
                 both = stored.select(*rows.columns).unionByName(rows)
                 updates = dedupe_latest(both, [*keys, "month"], latest)

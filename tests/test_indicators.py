@@ -96,6 +96,14 @@ def test_sma_needs_a_full_span(spark):
     assert [r[1] for r in rows(out, "date", "sma_3")] == [None, None, 2.0, 3.0]
 
 
+def test_rsi_points_as_asked(spark):
+    data = [("a", datetime.date(2020, 1, i), float(i)) for i in range(1, 11)]
+    df = spark.createDataFrame(data, "series string, date date, rsi double")
+    assert indicators.rsi_points(df, "series", smooth=False).count() == 10
+    got = indicators.rsi_points(df, "series", smooth=True).collect()
+    assert [tuple(r) for r in got] == [("a", datetime.date(2020, 1, 15), 5.5)]
+
+
 def test_rsi_points_smooth_only_long_spans(spark):
     start = D(2020, 1, 1)
     long = [("l", start + datetime.timedelta(days=i), None if i == 0 else 0.0) for i in range(731)]

@@ -18,7 +18,7 @@ def plan(spark, sf_dir, name):
 
 @pytest.mark.parametrize(
     "name",
-    ["bars_from_orders", "bars_from_events", "dedupe_latest", "rollup_month", "gold_month",
+    ["bars_from_orders", "bars_from_events", "bars_tied", "dedupe_latest", "rollup_month", "gold_month",
      "forecast_latest", "period_stats"],
 )
 def test_aggregates_hash(spark, sf_dir, name):

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from pricemill.operators import calendar
+from pricemill.operators import calendar, quality
 from pricemill.plans import serving
 from tests.conftest import rows
 
@@ -105,6 +105,26 @@ def test_aggregated_routes_by_period(spark):
     assert serving.aggregated({"week": weeks}, "unknown").count() == 12
 
 
+def test_limits_and_grain_are_arguments(spark, rates):
+    daily = fact(spark, [("a", D(2020, 1, i), float(i), 2.0, 1.0, 5.0, 50.0) for i in range(1, 21)])
+    weeks = daily.withColumnRenamed("date_prices", "iso_week_start_date")
+    assert serving.aggregated({"week": weeks}, "weekly", periods=None).count() == 20
+    assert serving.forecast(predictions(spark, 400), rates, dates=None).count() == 400
+    got = serving.history(daily, None, rates, days=3650, as_of="2020-01-20", grain="day")
+    assert got.count() == 20
+
+
+def test_request_contract():
+    got = quality.parsed_request({"type": "history", "days": "12x", "startDate": "2020-01-01"})
+    assert got == {
+        "type": "history", "days": 12, "period": "weekly",
+        "startDate": "2020-01-01", "endDate": None,
+    }
+    assert quality.parsed_request({"type": "metrics", "days": ""})["days"] == 30
+    with pytest.raises(ValueError, match="type, days, period"):
+        quality.parsed_request({"days": "soon", "period": "daily"})
+
+
 def test_dispatch(spark, rates):
     daily = fact(spark, [("a", D(2020, 1, i), float(i), 2.0, 1.0, 5.0, 50.0) for i in (1, 2, 3)])
     tables = {

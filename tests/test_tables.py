@@ -27,6 +27,28 @@ def test_dedupe_paths_agree(spark):
     assert rows(dedupe.dedupe_latest(texts, ["k", "g"], "load").drop("t")) == rows(ranked)
 
 
+def test_an_unknown_load_loses_to_the_smallest_value(spark):
+    low = float("-inf")
+    df = spark.createDataFrame(
+        [("a", None, 1.0), ("a", low, 2.0), ("a", None, 3.0), ("b", 0.0, None), ("b", None, 4.0)],
+        "k string, load double, v double",
+    ).coalesce(1)
+    assert rows(dedupe.dedupe_latest(df, "k", "load")) == [("a", low, 2.0), ("b", 0.0, None)]
+
+
+def test_ties_between_ticks_are_settled(spark):
+    at = T(2020, 1, 1, 12)
+    data = [("a", at, i, float(i or 9)) for i in (4, None, -(2**63) + 1, 2**63 - 1, 7)]
+    data.append(("a", T(2020, 1, 1, 11, 59, 59, 999999), 2**63 - 1, 1.0))
+    df = spark.createDataFrame(data, "series string, ts timestamp, id long, price double")
+    for kind in ("timestamp", "timestamp_ntz"):
+        typed = df.withColumn("ts", F.col("ts").cast(kind))
+        got = bars.from_ticks(typed, "series", "ts", "price", "ts", tie="id").first()
+        assert (got["open"], got["close"], got["volume"]) == (1.0, float(2**63 - 1), 6.0)
+        same = typed.filter(F.col("ts") == at)
+        assert bars.from_ticks(same, "series", "ts", "price", "ts", tie="id").first()["open"] == 9.0
+
+
 def test_dedupe_keeps_a_row_when_every_load_is_unknown(spark):
     df = spark.createDataFrame([("a", None, 1.0)], "k string, load timestamp, v double")
     assert rows(dedupe.dedupe_latest(df, "k", "load")) == [("a", None, 1.0)]
