@@ -151,9 +151,10 @@ def filter_urls(pages, rules=RULES, listed=has_blocked_term, max_bytes=MAX_BYTES
     parts = pages.select(
         F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")
     )
+    # the empty host is a key like any other: the cascade is exact only for keys of the universe
     universe = stored(
-        parts.where("host <> ''").groupBy(F.col("host").alias("key")).agg(
-            F.any_value(listed(F.col("host"))).alias("listed")
+        parts.groupBy(F.col("host").alias("key")).agg(
+            F.any_value(listed(F.col("host")) & (F.col("host") != "")).alias("listed")
         )
     )
     cascade = build_cascade(universe, max_bytes)

@@ -316,6 +316,26 @@ def test_urls_awkward(spark):
     assert urlcascade.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_empty_host_is_not_listed(spark):
+    # for each list size a list whose first filter holds the empty host by mistake
+    hosts = spark.range(4000).select(F.concat(F.lit("h"), "id").alias("host"))
+    for size in (3, 9, 30):
+        level = urlcascade.Level(0, max(64, -(-size * urlcascade.BITS_PER_KEY // 64) * 64))
+        at = F.array(*level.positions(F.col("host")))
+        wanted = hosts.limit(1).select(F.array(*level.positions(F.lit("")))).first()[0]
+        places = {r["host"]: set(r["at"]) for r in hosts.select("host", at.alias("at")).collect()}
+        listed = [next(h for h in places if p in places[h]) for p in wanted]
+        listed += [h for h in places if h not in listed][:size - len(set(listed))]
+        urls = [f"http://{h}/" for h in listed] + [None, "", "no scheme", "http://free.org/"]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        for max_bytes in (urlcascade.MAX_BYTES, 1):
+            found = urlcascade.filter_urls(
+                pages, listed=lambda host: host.isin(*listed), max_bytes=max_bytes
+            )
+            blocked = {r["host"] for r in found.where("verdict = 'block'").collect()}
+            assert blocked == set(listed)
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(
         F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed")
