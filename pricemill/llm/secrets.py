@@ -1,7 +1,9 @@
 """Secret scans: known formats, and a battery of randomness tests for everything else.
 
-Known formats (``assign``, ``access``, ``hex``) are found by pattern. Any other run of 20 or more
-characters that an encoding could have produced is a candidate. Its encoding is inferred (hex,
+Known formats (``assign``, ``access``, ``hex``) are found by pattern. Any run of 20 or more
+characters that an encoding could have produced is a candidate, less the known spans in it. So
+are its parts between ``/``, ``-`` and ``_`` if they are as long: words joined to a key must not
+hide it. A part is listed only where the whole is dismissed. A candidate's encoding is inferred (hex,
 base32, base62, base64), its characters become digits of that alphabet, and four tests ask
 whether the digits are uniform and independent: chi-squared over the alphabet and over its
 quarters, runs about the middle, and serial correlation. The smallest of the four probabilities,
@@ -10,7 +12,7 @@ times four, is the candidate's p-value for being random. Words and paths fail cl
 Candidates that are not random are dismissed by the Benjamini-Hochberg rule, within strata of
 encoding and length, since short runs give weaker evidence and must not share a threshold with
 long ones. So at most ``alpha`` of the dismissed are expected to be random. What is left is a
-span of kind ``random``, unless it overlaps a span of a known format.
+span of kind ``random``; it never overlaps a span of a known format.
 
 Everything is DataFrame functions. Positions are code points, ends exclusive. Defined cases: a
 null text is empty and has no spans; repeated rows are scanned each on its own; empty tables give
@@ -34,7 +36,9 @@ HEX = "[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGNED = 8
 
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
+LEAST_CANDIDATE = 20
+CANDIDATE = "[A-Za-z0-9+/_-]{%d,}" % LEAST_CANDIDATE
+PART = "[A-Za-z0-9+]{%d,}" % LEAST_CANDIDATE
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "upper_hex": "0123456789ABCDEF",
@@ -89,13 +93,92 @@ def _located(found, kind):
     return F.coalesce(spans, F.array().cast(_SPAN))
 
 
+def base_spans(frame):
+    """Adds ``base_spans``: spans of the known formats as (start, kind, end), sorted."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = frame.withColumns(
+        {
+            "_assign": _found(text, ASSIGN, 2),
+            "_access": _found(text, ACCESS, 0),
+            "_hex": _found(text, HEX, 0),
+        }
+    )
+    return found.withColumn(
+        "base_spans",
+        F.concat(
+            F.filter(
+                _located(F.col("_assign"), "assign"),
+                lambda s: F.length(s["value"]) >= LEAST_ASSIGNED,
+            ),
+            _located(F.col("_access"), "access"),
+            _located(F.col("_hex"), "hex"),
+        ),
+    ).withColumn(
+        "base_spans",
+        F.array_sort(F.transform(F.col("base_spans"), _bare)),
+    ).drop("_assign", "_access", "_hex")
+
+
 def candidate_spans(frame):
-    """Adds ``candidates``: spans of possible encodings with their stratum and p-value bin."""
+    """Adds ``candidates`` to ``base_spans``: spans of possible encodings, tested.
+
+    Each has ``whole``, a span with its stratum and p-value bin, and ``parts``, the same of its
+    parts.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = frame.withColumn("_found", _found(text, CANDIDATE, 0))
-    return found.withColumn(
-        "candidates", tested(_located(F.col("_found"), "random"))
-    ).drop("_found")
+    runs = found.withColumn("_runs", _located(F.col("_found"), "random"))
+    pieces = runs.withColumn(
+        "_pieces", F.flatten(F.transform("_runs", lambda run: _clear(run, F.col("base_spans"))))
+    )
+    both = pieces.withColumns(
+        {
+            "_whole": tested(F.col("_pieces")),
+            "_parts": F.transform("_pieces", lambda piece: tested(_parts(piece))),
+        }
+    )
+    return both.withColumn(
+        "candidates", F.arrays_zip(F.col("_whole").alias("whole"), F.col("_parts").alias("parts"))
+    ).drop("_found", "_runs", "_pieces", "_whole", "_parts")
+
+
+def _span(s, start, end):
+    """The part of span ``s`` from ``start`` to ``end``."""
+    value = F.substring(s["value"], start - s["start"] + 1, end - start)
+    return F.struct(
+        start.alias("start"), s["kind"].alias("kind"), end.alias("end"), value.alias("value")
+    )
+
+
+def _clear(run, known):
+    """What the ``known`` spans, sorted by start, leave of a run, if long enough."""
+    touching = F.filter(known, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    zero = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("spans"))
+
+    def more(state, end):
+        gap = F.array(_span(run, state["at"], end))
+        long = end - state["at"] >= LEAST_CANDIDATE
+        return F.concat(state["spans"], F.when(long, gap).otherwise(F.array().cast(_SPAN)))
+
+    def step(state, b):
+        return F.struct(
+            F.greatest(state["at"], b["end"]).alias("at"), more(state, b["start"]).alias("spans")
+        )
+
+    return F.aggregate(touching, zero, step, lambda state: more(state, run["end"]))
+
+
+def _parts(piece):
+    """The parts of a span between separators, if long enough and not all of it."""
+    parts = _located(_found(piece["value"], PART, 0), "random")
+    whole = F.length(piece["value"])
+    return F.transform(
+        F.filter(parts, lambda part: part["end"] - part["start"] < whole),
+        lambda part: F.struct(
+            (piece["start"] + part["start"]).alias("start"), part["kind"].alias("kind"),
+            (piece["start"] + part["end"]).alias("end"), part["value"].alias("value"),
+        ),
+    )
 
 
 def tested(spans):
@@ -213,8 +296,9 @@ def dismissal_levels(docs, alpha=ALPHA):
     The histogram has a row per stratum and bin, at most 15 x 201.
     """
     histogram = (
-        candidate_spans(documents_columns(docs).select("text"))
+        candidate_spans(base_spans(documents_columns(docs).select("text")))
         .select(F.explode("candidates").alias("c"))
+        .select(F.explode(F.concat(F.array("c.whole"), "c.parts")).alias("c"))
         .groupBy("c.stratum", "c.bin")
         .count()
         .collect()
@@ -239,45 +323,24 @@ def benjamini_hochberg(histogram, alpha=ALPHA):
 
 def with_spans(docs, levels):
     """``docs`` with ``base_spans`` and ``spans``: arrays of (start, kind, end), sorted."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumns(
-        {
-            "_assign": _found(text, ASSIGN, 2),
-            "_access": _found(text, ACCESS, 0),
-            "_hex": _found(text, HEX, 0),
-        }
-    )
-    located = found.withColumn(
-        "base_spans",
-        F.concat(
-            F.filter(
-                _located(F.col("_assign"), "assign"),
-                lambda s: F.length(s["value"]) >= LEAST_ASSIGNED,
-            ),
-            _located(F.col("_access"), "access"),
-            _located(F.col("_hex"), "hex"),
-        ),
-    ).withColumn(
-        "base_spans",
-        F.array_sort(F.transform(F.col("base_spans"), _bare)),
-    )
-    tried = candidate_spans(located)
+    tried = candidate_spans(base_spans(docs))
 
     def kept(c):
         bound = F.lit(LAST_BIN + 1)
         for stratum, level in sorted(levels.items()):
             bound = F.when(c["stratum"] == stratum, level).otherwise(bound)
-        apart = ~F.exists(
-            F.col("base_spans"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
-        )
-        return (c["bin"] < bound) & apart
+        return c["bin"] < bound
+
+    def found(c):
+        parts = F.transform(F.filter(c["parts"], kept), _bare)
+        return F.when(kept(c["whole"]), F.array(_bare(c["whole"]))).otherwise(parts)
 
     return tried.withColumn(
         "spans",
         F.array_sort(
-            F.concat(F.col("base_spans"), F.transform(F.filter("candidates", kept), _bare))
+            F.concat(F.col("base_spans"), F.flatten(F.transform("candidates", found)))
         ),
-    ).drop("_assign", "_access", "_hex", "candidates")
+    ).drop("candidates")
 
 
 def _bare(s):
