@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from pricemill.llm import (
-    hostrules, jumphash, mixing, packing, quadratic, secrets, simhash, sql, tokencounts, topk,
-    urlcascade,
+    centroids, collocations, hostrules, jumphash, mixing, packing, quadratic, secrets, simhash, sql,
+    tokencounts, topk, urlcascade, warc,
 )
 from pricemill.llm.common import table
 
@@ -55,6 +55,18 @@ def op10_token_counts(spark, sf_dir):
     return tokencounts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark, sf_dir):
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -65,7 +77,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_top_k, op2_host_rules, op3_jump_hash, op4_secret_scan, op5_packing, op6_url_cascade,
-        op7_simhash, op8_quadratic, op9_mixing, op10_token_counts, pipeline,
+        op7_simhash, op8_quadratic, op9_mixing, op10_token_counts, op11_collocations,
+        op12_centroids, op13_warc, pipeline,
     )
 }
 
@@ -74,4 +87,7 @@ ORACLES = {
     "op2_host_rules": sql.host_rules(),
     "op3_jump_hash": sql.jump_hash(),
     "op6_url_cascade": sql.url_filter(),
+    "op11_collocations": sql.COLLOCATIONS,
+    "op12_centroids": sql.centroids(),
+    "op13_warc": sql.WARC,
 }

@@ -172,3 +172,118 @@ SELECT page_id, host, path, CASE{rule} END AS rule,
             THEN 'block' ELSE 'allow' END AS verdict
 FROM p
 """
+
+
+# Runs of bytes from \x0A to \x0D and the marks end a piece; positions give all phrases of a piece
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+  FROM places, (VALUES (1), (2), (3), (4)) AS s(k) WHERE i + k - 1 <= len(w)
+  GROUP BY ALL HAVING f >= 30
+),
+total AS (SELECT lang, count(*) AS n FROM places GROUP BY 1),
+c AS (SELECT lang, f, g, string_split(g, ' ') AS w FROM g WHERE k >= 2),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS g, max(f) AS longest
+  FROM (SELECT lang, w, f, unnest(range(1, len(w) + 1)) AS i FROM c), (VALUES (2), (3)) AS s(k)
+  WHERE i + k - 1 <= len(w) AND k < len(w) GROUP BY 1, 2
+),
+halves AS MATERIALIZED (
+  SELECT lang, g, f AS a, k, array_to_string(w[1:k], ' ') AS lg, array_to_string(w[k + 1:], ' ') AS rg
+  FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)
+),
+cuts AS (
+  SELECT h.lang, h.g, h.a, h.k, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * h.a) // (l.f + r.f) AS score
+  FROM halves AS h JOIN g AS l ON l.lang = h.lang AND l.g = lg JOIN g AS r ON r.lang = h.lang AND r.g = rg
+),
+best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+),
+kept AS (
+  SELECT lang, g AS phrase, a, l, r, CAST(score AS BIGINT) AS score
+  FROM best LEFT JOIN inside USING (lang, g)
+  WHERE longest IS NULL OR 100 * longest < 80 * a
+)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank,
+       phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept JOIN total USING (lang)
+QUALIFY rank <= 2000
+"""
+
+
+def centroids(clusters=8, rounds=10):
+    """Lloyd's rounds unrolled: assign to the nearest centroid, then floor the means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+d{i} AS MATERIALIZED (
+  SELECT v.row_id, arg_min(c, (distance, c)) AS c, min(distance) AS distance
+  FROM (
+    SELECT v.row_id, k.c, list_sum(list_transform(list_zip(v.e, k.e),
+           lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance
+    FROM v, c{i} AS k
+  ) AS v GROUP BY 1
+)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT k.c, coalesce(m.e, k.e) AS e
+  FROM c{i} AS k LEFT JOIN (
+    SELECT c, list(x ORDER BY j) AS e FROM (
+      SELECT c, j, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+      FROM (SELECT d.c, unnest(v.e) AS x, unnest(range(1, 65)) AS j FROM v JOIN d{i} AS d USING (row_id))
+      GROUP BY c, j) GROUP BY c
+  ) AS m USING (c)
+)""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, e
+  FROM v ORDER BY c LIMIT {clusters}
+),{",".join(steps)}
+SELECT vec_id, c AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(k.e, ',')) AS centroid_sha256
+FROM d{rounds} JOIN v USING (row_id) JOIN c{rounds} AS k USING (c)
+"""
+
+
+# Base32: each five hexadecimal digits are four letters
+WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS row_id FROM pages
+),
+d AS (
+  SELECT page_id, row_id, html, strlen(html) AS payload_bytes, sha1(html) AS h FROM p
+),
+b AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+             (CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT)
+              >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest
+  FROM d
+),
+m AS (
+  SELECT html, max(page_id) AS original, arg_max(row_id, page_id) AS first_row FROM b GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN row_id = first_row THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN row_id <> first_row THEN original END AS refers_to, 
+       CASE WHEN row_id = first_row THEN true END AS intact
+FROM b JOIN m USING (html)
+"""
