@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pricemill.constants import LOOKBACK_DAYS
 from pricemill.functions.windows import columns
 from pricemill.session import scratch_path
+from pricemill.sources import evolving
 
 
 def high_watermark(df, column, name="high_watermark"):
@@ -61,22 +62,36 @@ def sync_columns(target, updates):
     )
 
 
-def upsert(target, updates, keys):
-    """The target with rows replaced or added by key, in the columns of the updates.
+def upsert(target, updates, keys, sync=True):
+    """The target with rows replaced or added by key.
 
-    The anti join compares keys only, NULL keys as equal, so a small batch of updates is
-    broadcast by Spark's own size check and the target is not shuffled.
+    With ``sync`` the columns are exactly those of the updates. Without, they are those of both: a
+    replaced row keeps what the updates have no column for, and a target without one of their
+    columns has NULL there. NULL keys are equal. The anti join compares keys only, so a small batch of
+    updates is broadcast by Spark's own size check and the target is not shuffled.
     """
     names = columns(keys)
     changed = updates.select(*[F.col(k).alias(f"_changed_{k}") for k in names])
-    same = reduce(
-        lambda a, b: a & b, [target[k].eqNullSafe(changed[f"_changed_{k}"]) for k in names]
-    )
-    kept = target.join(changed, same, "left_anti")
-    return sync_columns(kept, updates).unionByName(updates)
-
 
-def upsert_partitions(spark, path, updates, keys, partition):
+    def same(row, other, prefix):
+        return reduce(
+            lambda a, b: a & b, [row[k].eqNullSafe(other[f"{prefix}{k}"]) for k in names]
+        )
+
+    kept = target.join(changed, same(target, changed, "_changed_"), "left_anti")
+    if sync:
+        return sync_columns(kept, updates).unionByName(updates)
+    known = {c.lower() for c in updates.columns}
+    only_there = [c for c in target.columns if c.lower() not in known]
+    if only_there:
+        old = target.select(*[F.col(k).alias(f"_old_{k}") for k in names], *only_there)
+        updates = updates.join(old, same(updates, old, "_old_"), "left").drop(
+            *[f"_old_{k}" for k in names]
+        )
+    return kept.unionByName(updates, allowMissingColumns=True)
+
+
+def upsert_partitions(spark, path, updates, keys, partition, sync=False):
     """Upsert into a Parquet table, rewriting only the partitions the updates touch.
 
     The updates are written to the scratch folder first, so their plan runs once and may itself
@@ -84,19 +99,31 @@ def upsert_partitions(spark, path, updates, keys, partition):
     replace the old ones only when the whole job has succeeded. The partition must follow
     from the key. Rows of the NULL partition are merged like any other. Two updates of one key
     are an error, as no order decides between them.
+
+    Columns are added as the updates bring them; columns that only the table has stay, in
+    all partitions. With ``sync`` they are dropped, in all partitions too, by declaration:
+    no partition is rewritten for it. Returns the number of updates.
     """
+    names = columns(keys)
     staged = scratch_path(spark, "updates")
     updates.hint("rebalance", F.col(partition)).write.partitionBy(partition).parquet(staged)
     fresh = spark.read.schema(updates.schema).parquet(staged)
-    repeated = fresh.groupBy(*columns(keys)).agg(F.count("*").alias("_n")).where("_n > 1")
-    if not repeated.isEmpty():
-        raise ValueError(f"updates repeat a key of {columns(keys)}")
-    target = spark.read.schema(updates.schema).parquet(path)
+    by_key = fresh.groupBy(*names).agg(
+        F.count("*").alias("_n"), F.max(F.col(partition).isNull()).alias("_null")
+    )
+    found = by_key.agg(F.max("_n"), F.max("_null"), F.sum("_n")).first()
+    if (found[0] or 0) > 1:
+        raise ValueError(f"updates repeat a key of {names}")
+    known = evolving.schema_of(spark, path)
+    if known is None:
+        raise ValueError(f"no table at {path}")
+    schema = evolving.evolved(spark, path, known, updates.schema, sync)
+    target = evolving.read(spark, path, schema)
     # an equality join prunes partitions at run time; NULL needs a filter of its own
     touched = target.join(fresh.select(partition).distinct(), partition, "left_semi")
-    if not fresh.where(F.col(partition).isNull()).isEmpty():
+    if found[1]:
         touched = touched.unionByName(target.where(F.col(partition).isNull()))
-    merged = upsert(touched, fresh, keys)
+    merged = evolving.conformed(upsert(touched, fresh, names, sync=False), schema)
     (
         merged.hint("rebalance", F.col(partition))
         .write.mode("overwrite")
@@ -104,8 +131,5 @@ def upsert_partitions(spark, path, updates, keys, partition):
         .partitionBy(partition)
         .parquet(path)
     )
-
-
-def append_evolving(frames):
-    """Batches with differing columns as one frame; missing columns are NULL."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    evolving.declare(spark, path, schema)
+    return found[2] or 0

@@ -1,15 +1,20 @@
 """Bronze loads: landed payloads to stamped tables, in one job over all series."""
 
-from pricemill.sources import payloads
-from pricemill.sources.tables import append_evolving, path_exists, stamp_load, write_partitioned
+from pricemill.sources import evolving, payloads
+from pricemill.sources.tables import append_evolving, stamp_load, write_partitioned
 
 
 def load(spark, rows, target, loaded_at=None):
-    """Create or extend a bronze table; returns the rows written, 0 when there are none."""
-    if rows.isEmpty():
-        return 0
+    """Create or extend a bronze table; returns the rows written.
+
+    Payloads are parsed once: the write itself counts. A first load without rows leaves an empty
+    table with its columns.
+    """
     stamped = stamp_load(rows, loaded_at)
-    known = path_exists(spark, target) if "/" in target else spark.catalog.tableExists(target)
+    if "/" in target:
+        known = evolving.exists(spark, target)
+    else:
+        known = spark.catalog.tableExists(target)
     return append_evolving(stamped, target) if known else write_partitioned(stamped, target)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricemill.constants import PERIOD_KEYS
 from pricemill.operators.incremental import upsert_partitions
 from pricemill.plans import gold, silver
-from pricemill.sources.tables import path_exists
+from pricemill.sources import evolving
 
 _PERIOD = "period"
 
@@ -23,31 +23,25 @@ def table_path(root, name):
 def read_table(spark, root, name):
     """A stored table, or None before its first refresh."""
     path = table_path(root, name)
-    return spark.read.parquet(path).drop(_PERIOD) if path_exists(spark, path) else None
+    return evolving.read(spark, path).drop(_PERIOD) if evolving.exists(spark, path) else None
 
 
 def store(spark, root, name, rows, keys, date, unit):
     """Write or upsert a table partitioned by a period of its date.
 
     A first load of no rows leaves no table; the typed empty rows stand for it until one comes.
+    Columns that a later load brings are added.
     """
     path = table_path(root, name)
     dated = rows.withColumn(_PERIOD, F.trunc(F.col(date).cast("date"), unit))
-    if path_exists(spark, path):
+    if evolving.exists(spark, path):
         upsert_partitions(spark, path, dated, keys, _PERIOD)
     else:
-        _write(dated, path)
+        evolving.overwrite(spark, path, dated, _PERIOD, declare_empty=False)
     found = read_table(spark, root, name)
     return rows.limit(0) if found is None else found
 
 
-def _write(dated, path):
-    (
-        dated.hint("rebalance", F.col(_PERIOD))
-        .write.mode("overwrite").partitionBy(_PERIOD).parquet(path)
-    )
-
-
 def refresh(spark, root, candles, indicators, chf, eur, days, batch_id, processed_at=None,
             daily_partition="month"):
     """Bring every table up to date; returns the stored tables by name.
@@ -66,9 +60,11 @@ def refresh(spark, root, candles, indicators, chf, eur, days, batch_id, processe
         ["series", "date_indicators"], "date_indicators", daily_partition,
     )
     rates = silver.usd_to_other(chf, eur, days, **stamps)
-    _write(rates.withColumn(_PERIOD, F.trunc("date_rates", "year")), table_path(root, "rates"))
-    written = read_table(spark, root, "rates")
-    rates = rates.limit(0) if written is None else written
+    evolving.overwrite(
+        spark, table_path(root, "rates"),
+        rates.withColumn(_PERIOD, F.trunc("date_rates", "year")), _PERIOD,
+    )
+    rates = read_table(spark, root, "rates")
     daily = store(
         spark, root, "daily",
         silver.obt_fact_day(candles, fact, rates, target=stored("daily"), **stamps),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pricemill.registry import inputs
 from pricemill.registry.entries import query
 from pricemill.session import scratch_path
+from pricemill.sources import evolving
 from pricemill.streaming import loads
 
 
@@ -36,7 +37,7 @@ def stream_daily_bars(spark, sf):
     events = _events(spark, sf).withColumn("ts", utc)
     bars = loads.daily_bars(events, "event_type", "ts", "value", tie="event_id")
     loads.upsert(bars, target, scratch_path(spark, "checkpoint"), ["series", "date"])
-    return spark.read.parquet(target).drop("month")
+    return evolving.read(spark, target).drop("month")
 
 
 @query("stream_dedupe", "SELECT event_id, ts, event_type, value FROM events")
@@ -65,4 +66,4 @@ def stream_upsert(spark, sf):
     loads.upsert(
         rows, target, scratch_path(spark, "checkpoint"), ["series", "date"], "event_id", "append"
     )
-    return spark.read.parquet(target).drop("month")
+    return evolving.read(spark, target).drop("month")

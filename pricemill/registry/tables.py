@@ -14,7 +14,7 @@ from pricemill.registry import inputs
 from pricemill.registry.entries import query, rounded
 from pricemill.registry.parsing import candle_payloads
 from pricemill.session import scratch_path
-from pricemill.sources import planning, tables
+from pricemill.sources import evolving, planning, tables
 from pricemill.sources.payloads import empty
 
 _STAMPS = f"TIMESTAMP '{inputs.PROCESSED_AT}' AS ingest_date_time, '{inputs.BATCH}' AS dbt_batch_id"
@@ -160,7 +160,57 @@ def upsert_table(spark, sf):
     tables.write_partitioned(_target(spark, sf), path)
     updates = _updates(spark, sf).withColumn("month", F.trunc("date", "month"))
     incremental.upsert_partitions(spark, path, updates, ["series", "date"], "month")
-    return spark.read.parquet(path).drop("month")
+    return evolving.read(spark, path).drop("month")
+
+
+# The table has a column more than the updates; they have another one.
+_WITH_SPREAD = f"(SELECT *, high - low AS spread FROM {_TARGET})"
+
+
+def _evolved(spark, sf, sync):
+    """A stored table with ``spread``, then updates with ``middle`` in its place."""
+    path = scratch_path(spark, "evolving")
+    target = _target(spark, sf).withColumn("spread", F.col("high") - F.col("low"))
+    tables.write_partitioned(target, path)
+    updates = _updates(spark, sf).withColumn("middle", (F.col("high") + F.col("low")) / 2)
+    incremental.upsert_partitions(
+        spark, path, updates.withColumn("month", F.trunc("date", "month")),
+        ["series", "date"], "month", sync=sync,
+    )
+    return path
+
+
+@query(
+    "upsert_keeps_columns",
+    "SELECT t.series, t.date, t.low, t.high, t.open, t.close, t.volume, t.spread,"
+    f" CAST(NULL AS DOUBLE) AS middle FROM {_WITH_SPREAD} t ANTI JOIN {_UPDATES} u"
+    " ON t.series = u.series AND t.date = u.date UNION ALL"
+    " SELECT u.series, u.date, u.low, u.high, u.open, u.close, u.volume, t.spread,"
+    f" (u.high + u.low) / 2 AS middle FROM {_UPDATES} u LEFT JOIN {_WITH_SPREAD} t"
+    " ON t.series = u.series AND t.date = u.date",
+)
+def upsert_keeps_columns(spark, sf):
+    """A column that the updates lack keeps its values, in touched and untouched months alike."""
+    return evolving.read(spark, _evolved(spark, sf, sync=False)).drop("month")
+
+
+@query(
+    "upsert_drops_column",
+    "SELECT t.series, t.date, t.low, t.high, t.open, t.close, t.volume,"
+    f" CAST(NULL AS DOUBLE) AS middle, CAST(NULL AS DOUBLE) AS spread FROM {_TARGET} t"
+    f" ANTI JOIN {_UPDATES} u ON t.series = u.series AND t.date = u.date UNION ALL"
+    " SELECT *, (high + low) / 2 AS middle, CASE WHEN date >= DATE"
+    f" '{_CUT}' + 365 THEN 0.0 END AS spread FROM {_UPDATES}",
+)
+def upsert_drops_column(spark, sf):
+    """A synchronised column is gone from all months, and stays gone when its name comes back."""
+    path = _evolved(spark, sf, sync=True)
+    bars = evolving.read(spark, path)
+    later = bars.where(F.col("date") >= F.date_add(F.lit(_CUT).cast("date"), 365))
+    incremental.upsert_partitions(
+        spark, path, later.withColumn("spread", F.lit(0.0)), ["series", "date"], "month"
+    )
+    return evolving.read(spark, path).drop("month")
 
 
 @query(

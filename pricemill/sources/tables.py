@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from pricemill.sources import evolving
+
 
 def scan_table(spark, name):
     """A catalog table by qualified name, or Parquet files by path."""
@@ -29,19 +31,30 @@ def write_partitioned(df, target, mode="overwrite", partition=("month",)):
     """Write by month (a day per partition would mean one tiny file per row of a series).
 
     The rebalance hint groups rows by partition before the write and lets adaptive execution
-    split the large ones, so a month with a third of all rows is written by many tasks.
-    Returns the number of rows, observed while writing instead of by running the plan again.
+    split the large ones, so a month with a third of all rows is written by many tasks. A path
+    declares its schema, a batch without rows included; appended rows may have more columns than
+    the table, or fewer. Returns the number of rows, observed while writing instead of by running
+    the plan again.
     """
+    spark = df.sparkSession
     rows = Observation("written")
     out = df.withColumn("month", F.trunc("date", "month")) if "month" in partition else df
+    at_path = "/" in target
+    known = evolving.schema_of(spark, target) if at_path and mode == "append" else None
+    if known is None:
+        schema = evolving.plain(out.schema)
+    else:
+        schema = evolving.evolved(spark, target, known, out.schema)
+        out = evolving.conformed(out, schema)
     writer = (
         out.hint("rebalance", *[F.col(p) for p in partition])
         .observe(rows, F.count(F.lit(1)).alias("rows"))
         .write.mode(mode)
         .partitionBy(*partition)
     )
-    if "/" in target:
+    if at_path:
         writer.parquet(target)
+        evolving.declare(spark, target, schema)
     else:
         writer.saveAsTable(target)
     return rows.get["rows"]
@@ -54,20 +67,7 @@ def append_evolving(df, target, partition=("month",)):
 
 def scan_evolving(spark, path):
     """Read a table whose files differ in columns; what a file lacks is NULL."""
-    return spark.read.option("mergeSchema", True).parquet(path)
-
-
-def path_exists(spark, path):
-    """Whether a table with rows was completely written at a path.
-
-    A write of no rows leaves a marker and no files, so no schema to read: not yet a table.
-    """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return False
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    return "_SUCCESS" in names and any(name[0] not in "_." for name in names)
+    return evolving.read(spark, path)
 
 
 def inventory(tables):

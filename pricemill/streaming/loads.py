@@ -4,13 +4,16 @@ Progress lives in the stream's checkpoint, which must be on shared storage. Stat
 series and window (or by row key) and bounded by the watermark.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pricemill.constants import LOOKBACK_DAYS
 from pricemill.operators.bars import one_key
 from pricemill.operators.dedupe import dedupe_latest
 from pricemill.operators.incremental import upsert_partitions
-from pricemill.sources.tables import path_exists, stamp_load
+from pricemill.sources import evolving
+from pricemill.sources.tables import stamp_load
 
 WATERMARK = f"{LOOKBACK_DAYS} days"
 
@@ -76,8 +79,8 @@ def upsert(stream, target, checkpoint, keys, latest=None, mode="update"):
     """Merge each micro-batch into a month-partitioned Parquet table by key.
 
     A replayed batch writes the same rows again, so the result does not depend on how often
-    a batch runs. With ``latest`` the newest row of a key wins inside the batch, and a stored
-    row stays when it is newer than the arriving one.
+    a batch runs. With ``latest`` the newest row of a key wins, wherever it is: inside the batch,
+    in an earlier batch, or stored before the stream began. NULL keys and NULL dates are equal.
     """
     spark = stream.sparkSession
 
@@ -86,22 +89,32 @@ def upsert(stream, target, checkpoint, keys, latest=None, mode="update"):
         if latest is not None:
             rows = dedupe_latest(rows, [*keys, "month"], latest)
         rows = rows.persist()
-        if not path_exists(spark, target):
-            (
-                rows.hint("rebalance", F.col("month"))
-                .write.mode("overwrite").partitionBy("month").parquet(target)
-            )
-        else:
-            updates = rows
-            if latest is not None:
-                # the month is in the join, so only the months of the batch are read
-                stored = spark.read.schema(rows.schema).parquet(target).join(
-                    rows.select(*keys, "month"), [*keys, "month"], "left_semi"
-                )
-                both = stored.select(*rows.columns).unionByName(rows)
-                updates = dedupe_latest(both, [*keys, "month"], latest)
-            upsert_partitions(spark, target, updates, keys, "month")
-        rows.unpersist()
+        try:
+            if not evolving.exists(spark, target):
+                evolving.overwrite(spark, target, rows, "month")
+            else:
+                updates = rows if latest is None else newest(spark, target, rows, keys, latest)
+                upsert_partitions(spark, target, updates, keys, "month")
+        finally:
+            rows.unpersist()
 
     drain(stream.writeStream.outputMode(mode).foreachBatch(merge), checkpoint)
 
+
+def newest(spark, target, rows, keys, latest):
+    """The rows, or the stored ones of the same keys where these are newer.
+
+    The equality on the month prunes the read to the months of the batch; rows without a date lie
+    in a partition of their own, which is read only if the batch has such rows.
+    """
+    stored = evolving.read(spark, target)
+    near = stored.join(rows.select("month").distinct(), "month", "left_semi").select(*stored.columns)
+    if not rows.where(F.col("month").isNull()).isEmpty():
+        near = near.unionAll(stored.where(F.col("month").isNull()))
+    names = [*keys, "month"]
+    wanted = rows.select(*[F.col(k).alias(f"_key_{k}") for k in names])
+    same = reduce(
+        lambda a, b: a & b, [near[k].eqNullSafe(wanted[f"_key_{k}"]) for k in names]
+    )
+    both = near.join(wanted, same, "left_semi").unionByName(rows, allowMissingColumns=True)
+    return dedupe_latest(both, names, latest)
