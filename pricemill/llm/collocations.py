@@ -2,8 +2,8 @@
 
 Texts are cut into pieces and words (A-Z lower-cased; pieces end at ``. , ; : ! ?`` and line
 breaks, words at spaces and tabs). Each word position gives one row, the phrase of up to
-``MOST_WORDS`` words that begins there, added up per task. These rows are sorted once. In that
-order all phrases with the same first words lie together, so one pass over each range counts the
+``MOST_WORDS`` words that begins there, added up per task. These rows are dealt into ranges of
+keys and sorted once. In that order all phrases with the same first words lie together, so one pass over each range counts the
 phrases of every length, and a run that a range boundary cuts is emitted in parts and added.
 
 The frequent phrases are then read in two orders, by their words (prefix order) and by their
@@ -48,6 +48,7 @@ _PLAIN = bytes.maketrans(
 _WORDS_AT_ONCE = 3_000_000
 _ROWS_AT_ONCE = 1 << 16
 _BOUNDS_PER_RANGE = 100
+_DOCUMENTS_PER_RANGE = 40
 # Keys are words joined by \0; \0 and \1 inside words are escaped, which keeps their order
 _JOIN = "\0"
 
@@ -63,33 +64,34 @@ def unescaped(text):
 def word_ids(text, ids):
     """The words of one text under ``ids``, 0 at every end of a piece."""
     plain = text.encode().translate(_PLAIN).replace(b"\n", b" \n ")
-    return np.fromiter(map(ids.__getitem__, filter(None, plain.split(b" "))), dtype=np.int64)
+    return np.fromiter(map(ids.__getitem__, filter(None, plain.split(b" "))), dtype=np.int32)
 
 
 def phrases_from(ids, most_words=MOST_WORDS):
     """(rows of word ids, counts): the distinct phrases that begin at a word, 0 behind a piece's end."""
-    width = len(ids) + most_words
-    padded = np.zeros(width, dtype=np.int64)
+    padded = np.zeros(len(ids) + most_words, dtype=np.int32)
     padded[:len(ids)] = ids
-    columns = [padded[:len(ids)]]
+    begins = np.flatnonzero(ids)
+    columns = [padded[begins]]
     for k in range(1, most_words):
-        columns.append(np.where(columns[-1] > 0, padded[k:k + len(ids)], 0))
-    begins = columns[0] > 0
-    columns = [c[begins] for c in columns]
+        columns.append(np.where(columns[-1] > 0, padded[begins + k], 0))
     # two words to a key halves the sorts
     radix = int(ids.max(initial=0)) + 1
     keys = [
-        a * radix + b for a, b in itertools.zip_longest(columns[::2], columns[1::2], fillvalue=0)
+        a * np.int64(radix) + b
+        for a, b in itertools.zip_longest(columns[::2], columns[1::2], fillvalue=0)
     ]
+    del padded, begins, columns
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), dtype=bool)
     new[:1] = True
-    for key in keys:
-        key = key[order]
+    for i, key in enumerate(keys):
+        keys[i] = key = key[order]
         new[1:] |= key[1:] != key[:-1]
     starts = np.flatnonzero(new)
     counts = np.diff(np.append(starts, len(order)))
-    return [c[order[starts]] for c in columns], counts
+    found = [half for key in keys for half in np.divmod(key[starts], radix)]
+    return found[:most_words], counts
 
 
 class Pieces:
@@ -103,28 +105,44 @@ class Pieces:
 
     def add(self, text):
         part = word_ids(text, self.ids)
-        self.parts += [part, np.zeros(1, dtype=np.int64)]
+        self.parts += [part, np.zeros(1, dtype=np.int32)]
         self.size += len(part) + 1
 
-    def batches(self, most_words):
+    def batches(self, most_words, bounds):
+        """(part, key, c) in the order of the keys; the part counts the bounds up to the key."""
         # ids in the order of the words, so that keys leave almost sorted
         words = [None] + [escaped(w.decode()) for w in itertools.islice(self.ids, 1, None)]
         order = sorted(range(1, len(words)), key=words.__getitem__)
-        rank = np.zeros(len(words), dtype=np.int64)
+        rank = np.zeros(len(words), dtype=np.int32)
         rank[order] = np.arange(1, len(words))
         names = pa.array([None] + [words[i] for i in order], pa.string())
-        columns, counts = phrases_from(rank[np.concatenate(self.parts)], most_words)
+        ids = rank[np.concatenate(self.parts)]
+        self.ids, self.parts = None, None
+        columns, counts = phrases_from(ids, most_words)
         language = pa.scalar(self.language, pa.string())
         for i in range(0, len(counts), _ROWS_AT_ONCE):
             parts = [names.take(pa.array(c[i:i + _ROWS_AT_ONCE])) for c in columns]
             keys = pc.binary_join_element_wise(language, *parts, _JOIN, null_handling="skip")
             yield pa.record_batch(
-                [keys, pa.array(counts[i:i + _ROWS_AT_ONCE], pa.int64())], ["key", "c"]
+                [pa.array(parts_of(keys, bounds)), keys,
+                 pa.array(counts[i:i + _ROWS_AT_ONCE], pa.int64())], ["part", "key", "c"],
             )
 
 
-def phrase_rows(docs, most_words=MOST_WORDS):
-    """(key, c): the phrase that begins at each word, added up over about three million words."""
+def parts_of(keys, bounds):
+    """For sorted keys, the number of bounds up to each."""
+    first = bisect_right(bounds, keys[0].as_py())
+    last = bisect_right(bounds, keys[-1].as_py())
+    cuts = [
+        bisect_left(range(len(keys)), bound, key=lambda i: keys[i].as_py())
+        for bound in bounds[first:last]
+    ]
+    lengths = np.diff([0, *cuts, len(keys)])
+    return np.repeat(np.arange(first, last + 1, dtype=np.int32), lengths)
+
+
+def phrase_rows(docs, most_words=MOST_WORDS, bounds=()):
+    """(part, key, c): the phrase that begins at each word, added up over three million words."""
 
     def count(batches):
         held, size = {}, 0
@@ -139,15 +157,15 @@ def phrase_rows(docs, most_words=MOST_WORDS):
                 size += held[language].size - before
                 if size >= _WORDS_AT_ONCE:
                     for pieces in held.values():
-                        yield from pieces.batches(most_words)
+                        yield from pieces.batches(most_words, bounds)
                     held, size = {}, 0
         for pieces in held.values():
-            yield from pieces.batches(most_words)
+            yield from pieces.batches(most_words, bounds)
 
     return docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN_LANGUAGE)).alias("lang"),
         F.col("text").cast("string").alias("text"),
-    ).mapInArrow(count, "key string, c long")
+    ).mapInArrow(count, "part int, key string, c long")
 
 
 def _levels(keys, depth):
@@ -214,8 +232,31 @@ class Runs:
                 yield from self._flush(level)
 
 
-def phrase_counts(rows, most_words=MOST_WORDS, least=LEAST_COUNT):
-    """(key, words, f): every phrase with a count of ``least`` or more, and each language's words."""
+def phrase_bounds(docs, ranges, most_words=MOST_WORDS):
+    """Keys that cut the phrases into ranges of about equal size.
+
+    From some documents of the whole table; only the sizes of the ranges hang on which. Of their
+    phrases at most 100 a range reach the driver, cut to 256 characters.
+    """
+    share = min(1.0, _DOCUMENTS_PER_RANGE * ranges / max(docs.count(), 1))
+    rows = phrase_rows(docs.sample(share, seed=1), most_words)
+    picked = rows.orderBy(F.xxhash64("key")).limit(_BOUNDS_PER_RANGE * ranges)
+    return cut_evenly([r[0] for r in picked.select(F.substring("key", 1, 256)).collect()], ranges)
+
+
+def cut_evenly(keys, ranges):
+    keys = sorted(keys)
+    step = max(1, -(-len(keys) // ranges))
+    return sorted(set(keys[step::step]))
+
+
+def phrase_counts(docs, most_words=MOST_WORDS, least=LEAST_COUNT):
+    """(key, words, f): every phrase with a count of ``least`` or more, and each language's words.
+
+    Phrases go to their range in the one shuffle there is of them, and are sorted there.
+    """
+    ranges = shuffle_partitions(docs.sparkSession)
+    rows = phrase_rows(docs, most_words, phrase_bounds(docs, ranges, most_words))
 
     def stream(batches):
         runs = Runs(most_words + 1, least)
@@ -232,11 +273,9 @@ def phrase_counts(rows, most_words=MOST_WORDS, least=LEAST_COUNT):
                 yield batch_of(list(runs.feed(batch.column(0), batch.column(1).to_numpy())))
         yield batch_of(list(runs.close()))
 
-    sorted_rows = rows.repartitionByRange(
-        shuffle_partitions(rows.sparkSession), "key"
-    ).sortWithinPartitions("key")
+    sorted_rows = rows.repartitionById(ranges, "part").sortWithinPartitions("key")
     return (
-        sorted_rows.mapInArrow(stream, "key string, words int, f long")
+        sorted_rows.select("key", "c").mapInArrow(stream, "key string, words int, f long")
         .groupBy("key", "words").agg(F.sum("f").alias("f"))
         .where((F.col("f") >= least) | (F.col("words") == 0))
     )
@@ -253,12 +292,11 @@ def range_bounds(counts, ranges):
     """Keys that cut the counts into ranges of about equal size; at most 100 rows a range leave Spark."""
     n = counts.count()
     share = min(1.0, _BOUNDS_PER_RANGE * ranges / max(n, 1))
-    found = sorted(
+    found = [
         row[0] for row in counts.select(F.substring("key", 1, 256)).sample(share, seed=1)
         .limit(2 * _BOUNDS_PER_RANGE * ranges).collect()
-    )
-    step = max(1, -(-len(found) // ranges))
-    return sorted(set(found[step::step]))
+    ]
+    return cut_evenly(found, ranges)
 
 
 def dealt(counts, bounds):
@@ -415,8 +453,7 @@ def readable(found):
 def candidates(docs, most_words=MOST_WORDS, least=LEAST_COUNT, scale=SCALE,
                covered_percent=COVERED_PERCENT):
     """lang, phrase, a, l, r, n, score of every phrase that is frequent and not covered."""
-    rows = stored(phrase_rows(docs, most_words))
-    counts = stored(phrase_counts(rows, most_words, least))
+    counts = stored(phrase_counts(docs, most_words, least))
     turned = suffix_key(F.col("key"))
     numbers = [f"part_{k}" for k in range(1, most_words)]
     by_prefix = stream_counts(counts.select("key", F.col("key").alias("other"), "f"), most_words)
