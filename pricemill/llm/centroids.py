@@ -4,12 +4,12 @@ Vectors become integers (``floor(1024 * x)``), so distances, sums and means are
 result does not hang on the order of additions. The vectors are stored once, cut into blocks of
 rows and, within those, into column blocks; the column blocks of one range of dimensions are a
 shard. In each round a task of a shard computes, for a block of rows, the exact partial squared
-distances to the shard's slice of every centroid. ``reduceByKey`` adds the parts of a block of
-rows and takes the nearest centroid. All shards are partitioned by the block of rows, as are the
-labels, so labels reach each shard without a shuffle of vectors; the shard adds up its own columns
-by label and so updates its own slice. What is shuffled in a round is ``shards`` small integers a
-vector and centroid; what reaches the driver is one slice a shard, of as many numbers as there
-are centroids and columns. Nothing hangs on a task's order or place, so a lost executor's blocks
+distances to the shard's slice of every centroid. ``reduceByKey`` adds the parts of a block
+of rows and takes the nearest centroid. Labels go back to the tasks of every shard, by the
+partitioner that dealt the cells, so no vector is shuffled after the first time; each shard adds up
+its own columns by label and so updates its own slice. What is shuffled in a round is ``shards``
+small integers a vector and centroid, and as many labels; what reaches the driver is each task's
+sums of its slice, as many numbers as there are centroids and columns. Nothing hangs on a task's order or place, so a lost executor's blocks
 are computed again with the same result.
 
 Defined cases: rows take part if their vector has the asked number of components, none null or
@@ -27,7 +27,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from pricemill.llm.common import shuffle_partitions, stored
@@ -141,23 +141,31 @@ def _added(a, b):
     return narrow(a.astype(np.int64) + b.astype(np.int64))
 
 
-def assigned(shards, centroids, cuts, partitions):
-    """(block, (labels, distances)): the nearest centroid of every row."""
-    parts = None
-    for (a, b), shard in zip(cuts, shards):
-        part = [center[a:b] for center in centroids]
+def placement(shards, partitions):
+    """Where a cell (shard, block) goes: every task has cells of one shard only."""
+    width = max(1, partitions // shards)
+
+    def place(cell):
+        shard, block = cell
+        return shard * width + (block % 1_000_003) % width
+
+    return place
+
 
-        def partial(matrix, part=part):
-            return narrow(squared_distances(pickle.loads(matrix), part))
+def assigned(cells, centroids, cuts, partitions):
+    """(block, (labels, distances)): the nearest centroid of every row."""
 
-        found = shard.mapValues(partial)
-        parts = found if parts is None else parts.union(found)
+    def partial(pair):
+        (shard, block), matrix = pair
+        a, b = cuts[shard]
+        part = [center[a:b] for center in centroids]
+        return block, narrow(squared_distances(pickle.loads(matrix), part))
 
     def nearest(distances):
         labels = distances.argmin(axis=1)  # the first of equal ones
         return labels.astype(np.int32), distances[np.arange(len(labels)), labels]
 
-    return parts.reduceByKey(_added, numPartitions=partitions).mapValues(nearest)
+    return cells.map(partial).reduceByKey(_added, numPartitions=partitions).mapValues(nearest)
 
 
 def _sums(matrix, labels, clusters):
@@ -177,24 +185,32 @@ def _more(a, b):
     ]
 
 
-def updated(shards, labels, centroids, cuts, partitions):
+def updated(cells, labels, centroids, cuts, partitions, place):
     """The centroids after each shard has put the floor of its means in its own slice."""
     clusters = len(centroids)
-    sums = None
-    for i, shard in enumerate(shards):
-        def column_sums(pairs, i=i):
-            total = None
-            for _, (matrix, (label, _)) in pairs:
-                found = _sums(pickle.loads(matrix), label, clusters)
-                total = found if total is None else _more(total, found)
-            return [] if total is None else [(i, total)]
-
-        found = shard.join(labels, partitions).mapPartitions(column_sums)
-        sums = found if sums is None else sums.union(found)
-    slices = dict(sums.reduceByKey(_more, numPartitions=len(shards)).collect())
+
+    def to_shards(pair):
+        block, (label, _) = pair
+        return [((shard, block), label) for shard in range(len(cuts))]
+
+    def column_sums(pairs):
+        held, totals = {}, {}
+        for (shard, block), value in pairs:  # a partition's labels come before its cells
+            if not isinstance(value, bytes):
+                held[shard, block] = value
+                continue
+            found = _sums(pickle.loads(value), held.pop((shard, block)), clusters)
+            totals[shard] = _more(totals[shard], found) if shard in totals else found
+        return totals.items()
+
+    # the same partitioner on both sides: the union reads labels and cells in one task
+    dealt = labels.flatMap(to_shards).partitionBy(partitions, place)
     new = [list(center) for center in centroids]
-    for i, (a, b) in enumerate(cuts):
-        for c, (n, total) in enumerate(slices.get(i, [])):
+    slices = {}
+    for shard, total in dealt.union(cells).mapPartitions(column_sums).collect():
+        slices[shard] = _more(slices[shard], total) if shard in slices else total
+    for shard, (a, b) in enumerate(cuts):
+        for c, (n, total) in enumerate(slices.get(shard, [])):
             if n:
                 new[c][a:b] = [x // n for x in total]
     return new
@@ -206,20 +222,17 @@ def cluster(frame, clusters=CLUSTERS, rounds=ROUNDS, dimensions=DIMENSIONS, shar
     spark = frame.sparkSession
     vectors = valid_vectors(frame, id_column, vector_column, dimensions)
     centroids = starting_centroids(vectors, clusters, seed, scale)
-    partitions = shuffle_partitions(spark)
     cuts = column_cuts(dimensions, shards)
     cut = stored(blocks(vectors, dimensions, shards, scale))
-    dealt = [
-        cut.where(F.col("shard") == i).select("block", "matrix").rdd
-        .map(lambda row: (row[0], bytes(row[1]))).partitionBy(partitions)
-        for i in range(len(cuts))
-    ]
+    # a task for each cell at most
+    partitions = max(1, min(shuffle_partitions(spark), cut.count()))
+    place = placement(len(cuts), partitions)
+    cells = cut.select("shard", "block", "matrix").rdd.map(
+        lambda row: ((row[0], row[1]), bytes(row[2]))
+    ).partitionBy(partitions, place)
     for _ in range(rounds if centroids else 0):
-        labels = assigned(dealt, centroids, cuts, partitions).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
-        moved = updated(dealt, labels, centroids, cuts, partitions)
-        labels.unpersist()
+        labels = assigned(cells, centroids, cuts, partitions)
+        moved = updated(cells, labels, centroids, cuts, partitions, place)
         if moved == centroids:
             break  # every further round would give the same
         centroids = moved
@@ -228,7 +241,7 @@ def cluster(frame, clusters=CLUSTERS, rounds=ROUNDS, dimensions=DIMENSIONS, shar
     ).partitionBy(partitions)
     if not centroids:
         return spark.createDataFrame([], "vec_id long, cluster int, distance string"), centroids
-    last = assigned(dealt, centroids, cuts, partitions)
+    last = assigned(cells, centroids, cuts, partitions)
 
     def rows(pair):
         _, (names, (labels, distances)) = pair
