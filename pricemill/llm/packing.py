@@ -13,6 +13,7 @@ a null doc_id stays null; empty tables give no rows; other columns are ignored.
 scan or a stored table, so that a task that runs again sees the same rows in the same order.
 """
 
+import itertools
 import re
 import zlib
 
@@ -125,7 +126,7 @@ def token_pieces(docs, path=None, length=SEQUENCE_LENGTH, with_ids=False):
                     for start in range(0, total, length):
                         piece = ids[4 * start:4 * (start + length)]
                         row = (doc, start, len(piece) // 4, zlib.crc32(piece), total, salt)
-                        rows.append(row + (piece,) * with_ids)
+                        rows.append(row + (packed_ids(piece),) * with_ids)
                 columns = list(zip(*rows)) if rows else [()] * len(names)
                 arrays = [pa.array(c, type=pa.int64()) for c in columns[:6]]
                 arrays += [pa.array(c, type=pa.binary()) for c in columns[6:]]
@@ -134,6 +135,17 @@ def token_pieces(docs, path=None, length=SEQUENCE_LENGTH, with_ids=False):
     return documents_columns(docs).mapInArrow(cut, schema + ", ids binary" * with_ids)
 
 
+def packed_ids(ids):
+    """Little-endian ids of four bytes in two bytes each, if all are small enough."""
+    values = np.frombuffer(ids, dtype="<u4")
+    return values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else ids
+
+
+def unpacked(data, length):
+    """The ids of a piece of ``length`` ids in four bytes each."""
+    return data if len(data) == 4 * length else np.frombuffer(data, "<u2").astype("<u4").tobytes()
+
+
 class TournamentTree:
     """Free places of the sequences; every inner node knows the most free place below it."""
 
@@ -177,47 +189,71 @@ def pack_group(part, group, capacity):
     ).append_column("offset", pa.array(offsets, type=pa.int64()))
 
 
-def pack(docs, path=None, length=SEQUENCE_LENGTH, group_pieces=GROUP_PIECES, with_ids=False):
-    """The pieces of all documents with their places: sequence_id and offset."""
+def grouped_pieces(docs, path, length, group_pieces, with_ids=False):
+    """The pieces of all documents, dealt into groups of about ``group_pieces``."""
     size = documents_columns(docs).agg(
         F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")
     ).first()
     # four bytes a token on average: only the size of groups hangs on it
     pieces = size["n"] + (size["bytes"] or 0) // (4 * length)
     groups = max(1, -(-pieces // group_pieces))
-    dealt = token_pieces(docs, path, length, with_ids).withColumn(
+    return token_pieces(docs, path, length, with_ids).withColumn(
         "grp", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups))
-    )
+    ).groupBy("grp")
+
+
+def pack(docs, path=None, length=SEQUENCE_LENGTH, group_pieces=GROUP_PIECES):
+    """The pieces of all documents with their places: sequence_id and offset."""
 
     def packed(key, part):
         return pack_group(part, key[0].as_py(), length)
 
-    return dealt.groupBy("grp").applyInArrow(
+    return grouped_pieces(docs, path, length, group_pieces).applyInArrow(
         packed,
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"
-        + " ids binary," * with_ids + " sequence_id long, offset long",
+        " sequence_id long, offset long",
     )
 
 
-def sequences(docs, path=None, length=SEQUENCE_LENGTH, group_pieces=GROUP_PIECES):
-    """One row per sequence: its ids and the pieces they come from, in order."""
-    placed = pack(docs, path, length, group_pieces, with_ids=True)
-    piece = F.struct("offset", "doc_id", "start", "length", "ids")
-    gathered = placed.groupBy("sequence_id").agg(
-        F.array_sort(F.collect_list(piece)).alias("pieces")  # at most ``length`` pieces
+def joined_pieces(placed):
+    """One row per sequence from the placed pieces of a group, ids in the order of their offsets."""
+    rows = sorted(
+        zip(*(placed.column(c).to_pylist() for c in (
+            "sequence_id", "offset", "doc_id", "start", "length", "ids"))),
+        key=lambda row: row[:2],
     )
-    joined = F.aggregate(
-        "pieces", F.lit(b""), lambda out, p: F.concat(out, p["ids"])
-    )
-    return gathered.select(
-        "sequence_id",
-        (F.octet_length(joined) / 4).cast("int").alias("n_tokens"),
-        joined.alias("ids"),
-        F.transform(
-            "pieces",
-            lambda p: F.struct(
-                p["doc_id"].alias("doc_id"), p["start"].alias("start"),
-                p["length"].alias("length"), p["offset"].alias("offset"),
-            ),
-        ).alias("pieces"),
+    sequence_ids, lengths, ids, pieces = [], [], [], []
+    for sequence, members in itertools.groupby(rows, key=lambda row: row[0]):
+        members = list(members)
+        sequence_ids.append(sequence)
+        lengths.append(sum(m[4] for m in members))
+        ids.append(b"".join(unpacked(m[5], m[4]) for m in members))
+        pieces.append([
+            {"doc_id": m[2], "start": m[3], "length": m[4], "offset": m[1]} for m in members
+        ])
+    piece = pa.struct([
+        ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())
+    ])
+    return pa.table({
+        "sequence_id": pa.array(sequence_ids, pa.int64()),
+        "n_tokens": pa.array(lengths, pa.int32()),
+        "ids": pa.array(ids, pa.binary()),
+        "pieces": pa.array(pieces, pa.list_(piece)),
+    })
+
+
+def sequences(docs, path=None, length=SEQUENCE_LENGTH, group_pieces=GROUP_PIECES):
+    """One row per sequence: its ids and the pieces they come from, in order.
+
+    All pieces of a sequence are in one group, so ids are shuffled once. Repeated rows are packed
+    each on its own; without documents there are no sequences.
+    """
+
+    def packed(key, part):
+        return joined_pieces(pack_group(part, key[0].as_py(), length))
+
+    return grouped_pieces(docs, path, length, group_pieces, with_ids=True).applyInArrow(
+        packed,
+        "sequence_id long, n_tokens int, ids binary,"
+        " pieces array<struct<doc_id: long, start: long, length: long, offset: long>>",
     )
