@@ -43,16 +43,19 @@ def store(spark, root, name, rows, keys, date, unit):
 
 
 def refresh(spark, root, candles, indicators, chf, eur, days, batch_id, processed_at=None,
-            daily_partition="month"):
+            daily_partition="month", candle_partition="month"):
     """Bring every table up to date; returns the stored tables by name.
 
     ``daily_partition`` is the partition of the daily tables: a month for many series, a year
-    for few.
+    for few. Where ``candles`` is a stored table with ``candle_partition`` as its partition, a
+    refresh of tables that exist begins with what was loaded since: it reads the partitions that
+    the changed rows reach and rolls up the periods they fall in, nothing else.
     """
     stamps = {"batch_id": batch_id, "processed_at": processed_at}
 
-    def stored(name):
-        return read_table(spark, root, name)
+    def stored(name, partition=False):
+        found = read_table(spark, root, name)
+        return evolving.read(spark, table_path(root, name)) if partition and found else found
 
     fact = store(
         spark, root, "indicators",
@@ -65,17 +68,29 @@ def refresh(spark, root, candles, indicators, chf, eur, days, batch_id, processe
         rates.withColumn(_PERIOD, F.trunc("date_rates", "year")), _PERIOD,
     )
     rates = read_table(spark, root, "rates")
+    known = stored("daily")
+    if known is not None and candle_partition in candles.columns:
+        changed = silver.obt_fact_day_changes(
+            candles, fact, rates, target=known, partition=candle_partition, **stamps
+        )
+    else:
+        changed = silver.obt_fact_day(
+            candles.drop(candle_partition), fact, rates, target=known, **stamps
+        )
     daily = store(
-        spark, root, "daily",
-        silver.obt_fact_day(candles, fact, rates, target=stored("daily"), **stamps),
-        ["series", "date_prices"], "date_prices", daily_partition,
+        spark, root, "daily", changed, ["series", "date_prices"], "date_prices", daily_partition
     )
     tables = {"indicators": fact, "rates": rates, "daily": daily}
-    source = daily
+    source, source_unit = "daily", daily_partition
     for unit, key in PERIOD_KEYS.items():
-        tables[unit] = store(
-            spark, root, unit, gold.aggregate(source, unit, target=stored(unit), **stamps),
-            ["series", key], key, "year",
-        )
-        source = tables["week"]
+        known = stored(unit, partition=True)
+        if known is None:
+            rows = gold.aggregate(tables[source], unit, **stamps)
+        else:
+            rows = gold.aggregate_changes(
+                stored(source, partition=True), unit, target=known, source_unit=source_unit,
+                **stamps,
+            )
+        tables[unit] = store(spark, root, unit, rows, ["series", key], key, "year")
+        source, source_unit = "week", "year"
     return tables

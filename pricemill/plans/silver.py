@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from pricemill.constants import INDICATOR_COLUMNS, INDICATORS, MEASURES
+from pricemill.constants import (
+    INDICATOR_COLUMNS, INDICATORS, LOOKBACK_DAYS, MEASURES, RSI_PERIOD,
+)
 from pricemill.operators import fx, indicators
 from pricemill.operators.dedupe import dedupe_latest
 from pricemill.operators.incremental import filter_new
+from pricemill.plans import changes
 from pricemill.sources.tables import stamp_batch
 
 
@@ -60,6 +63,39 @@ def obt_fact_day(raw, fact, rates, batch_id, target=None, processed_at=None, ser
     bars = daily_rsi(raw, series)
     if target is not None:
         bars = filter_new(bars, target, "ingest_date_time", mode="lookback")
+    return wide_fact(bars, fact, rates, batch_id, processed_at, series)
+
+
+def obt_fact_day_changes(raw, fact, rates, batch_id, target, processed_at=None, series="series",
+                         partition="month"):
+    """The rows of the daily fact that newly loaded candles change, from the months they reach.
+
+    ``raw`` is a stored table partitioned by ``partition``. Changed are the candles loaded after
+    the newest row of the target (less the lookback); what comes out are their days and the
+    days behind them whose RSI has one of them in its frame, so that an upsert of these rows
+    gives the table a full run would give. An empty target lets everything through.
+    """
+    mark = target.agg(
+        F.max("ingest_date_time") - F.make_dt_interval(days=F.lit(LOOKBACK_DAYS))
+    ).first()[0]
+    if mark is None:
+        return obt_fact_day(raw, fact, rates, batch_id, None, processed_at, series)
+    newer = F.col("ingest_date_time") > F.lit(mark)
+    changed = raw.where(newer).select(series, "date", partition)
+    months = changes.partitions_to_read(
+        raw.select(series, "date", partition), changed, series, "date", partition,
+        before=RSI_PERIOD, after=RSI_PERIOD,
+    )
+    near = F.col(partition).isin(months) | (F.col(partition).isNull() & newer)
+    rated = daily_rsi(raw.where(near).drop(partition), series)
+    bars = changes.flag_reached(rated, newer, series, "date", RSI_PERIOD).where("reached").drop(
+        "reached"
+    )
+    return wide_fact(bars, fact, rates, batch_id, processed_at, series)
+
+
+def wide_fact(bars, fact, rates, batch_id, processed_at=None, series="series"):
+    """Rated bars with the day's indicators and rates, every measure in every currency."""
     daily = fact.select(series, F.to_date("date_indicators").alias("date"), *INDICATORS)
     stamped = stamp_batch(bars.join(daily, [series, "date"], "left"), batch_id, processed_at)
     wide = fx.currency_columns()

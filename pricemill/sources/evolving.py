@@ -169,6 +169,7 @@ def overwrite(spark, path, frame, partition, declare_empty=True):
         frame.hint("rebalance", F.col(partition)).observe(rows, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite").partitionBy(partition).parquet(path)
     )
-    if declare_empty or rows.get["rows"]:
+    written = rows.get["rows"]
+    if declare_empty or written:
         declare(spark, path, plain(frame.schema))
-    return rows.get["rows"]
+    return written

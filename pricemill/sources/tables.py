@@ -54,10 +54,12 @@ def write_partitioned(df, target, mode="overwrite", partition=("month",)):
     )
     if at_path:
         writer.parquet(target)
-        evolving.declare(spark, target, schema)
     else:
         writer.saveAsTable(target)
-    return rows.get["rows"]
+    written = rows.get["rows"]
+    if at_path:
+        evolving.declare(spark, target, schema)
+    return written
 
 
 def append_evolving(df, target, partition=("month",)):
