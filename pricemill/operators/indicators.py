@@ -110,24 +110,38 @@ def ema(df, series, order, price, spans=AVERAGE_SPANS, names=None, chunk_rows=No
 
 def macd(df, series, order, price, fast=MACD_FAST, slow=MACD_SLOW, signal=MACD_SIGNAL,
          chunk_rows=None):
-    """Line (fast minus slow average), its own average as signal, and their difference."""
-    if chunk_rows is None:
-        frame = _with_price_position(df, columns(series), order, price)
+    """Line (fast minus slow average), its own average as signal, and their difference.
 
-        def average(frame, value, spans, names):
-            return _ema_columns(frame, columns(series), order, value, spans, names)
+    All three are one linear recurrence with the state (fast, slow, signal). Its transfer matrix
+    has the fading factors of the three averages as eigenvalues, so in the basis of its
+    eigenvectors the state is three plain averages of the price: the signal is a fixed combination
+    of the averages over its own, the fast and the slow span. One pass over one chunking gives
+    all. Equal spans have no such basis; there the line is averaged in a second pass.
+    """
+    if signal in (fast, slow):
+        lines = ema(df, series, order, price, (fast, slow), ("_fast", "_slow"), chunk_rows)
+        line = lines.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+        averaged = ema(line, series, order, "macd", (signal,), ("macd_signal",), chunk_rows)
     else:
-        frame = with_chunks(df, series, order, 0, chunk_rows, price)
+        names = ("_fast", "_slow", "_short")
+        averaged = ema(df, series, order, price, (fast, slow, signal), names, chunk_rows)
+        smooth = _smoothed("_fast", fast, "_short", signal) - _smoothed(
+            "_slow", slow, "_short", signal
+        )
+        averaged = averaged.withColumns(
+            {"macd": F.col("_fast") - F.col("_slow"), "macd_signal": smooth}
+        ).drop(*names)
+    return averaged.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
-        def average(frame, value, spans, names):
-            return _carried_ema(frame, columns(series), order, value, spans, names, chunk_rows)
 
-    lines = average(frame, price, (fast, slow), ("_fast", "_slow"))
-    line = lines.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    averaged = average(line, "macd", (signal,), ("macd_signal",))
-    return averaged.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop(
-        CHUNK, HALO, POSITION
-    )
+def _smoothed(average, span, short, signal):
+    """The ``signal`` average of an average, less what it is for the average of any other span.
+
+    Both weights multiply to a geometric series, whose sum is a combination of the average and of
+    the short one, the signal's own average of the price; its two factors differ by one.
+    """
+    keep, fade = _keep(span), _keep(signal)
+    return F.lit((1 - fade) * keep / (keep - fade)) * (F.col(average) - F.col(short))
 
 
 def _carried_ema(chunked, series, order, price, spans, names, chunk_rows):

@@ -7,13 +7,14 @@ consecutive positions. Each chunk also receives copies of the ``halo`` rows befo
 window over (series, chunk) sees everything a frame of ``halo`` preceding rows needs; the
 copies are dropped afterwards.
 
-Positions come without a global sort: rows are bucketed by ``floor(order / chunk_rows)``. The
-order key is an integer (or a date or timestamp), unique per series, so a bucket cannot hold
-more than ``chunk_rows`` rows however skewed the data. Bucket sizes are a small aggregate
-whose running sum gives each bucket its first position; a sort inside the bucket gives the
-rest. The running sum has two levels, so that with sparse keys (many small buckets) it does
-not end up in one task either. Everything is a deterministic function of the data: a lost
-executor recomputes the same chunks.
+Positions come without a global sort. Each series is cut into buckets, ranges of its order key
+of about ``chunk_rows`` rows: the width follows from the number of rows and the span of the
+series' keys, so keys far apart do not make a bucket a row, and where rows lie closer than
+elsewhere a bucket is cut again, until none has more than twice as many. The order key is an integer
+(or a date or timestamp), unique per series, so that ends. Exact counts of the buckets, a table
+of about rows / ``chunk_rows`` rows, are stored; their running sum gives each bucket its first
+position and a sort inside the bucket the rest. Nothing is sampled, so a lost executor
+recomputes the same chunks.
 
 Window keys start with the number, not the series: it sorts by an eight-byte prefix, while
 rows of one long series would all compare equal by theirs.
@@ -25,18 +26,21 @@ from pyspark.sql import types as T
 
 from pricemill.functions.windows import columns
 from pricemill.operators.joins import join_groups
+from pricemill.session import scratch_path
 
 CHUNK = "_chunk"
 HALO = "_halo"
 POSITION = "_position"
 _BUCKET = "_bucket"
-_REGION = "_region"
 _OFFSET = "_offset"
+_RANK = "_rank"
 _IS_ROW = "_is_row"
+_WIDTH = "_width"
 
 DEFAULT_CHUNK_ROWS = 1 << 16
-# Buckets per region, the upper level of the running sum.
-_REGION_BUCKETS = 1 << 16
+# A bucket with more rows than this many chunks is cut again, into at most so many parts.
+_MOST_CHUNKS = 2
+_MOST_PARTS = 1024
 
 
 def _floor_div(expression, divisor):
@@ -62,12 +66,51 @@ def whole_number(df, order):
     return key
 
 
-def _with_bucket(df, order, chunk_rows):
-    return df.withColumn(_BUCKET, F.expr(_floor_div(whole_number(df, order), chunk_rows)))
+def _stored(frame):
+    """A small table in the scratch folder, so that it is computed once."""
+    path = scratch_path(frame.sparkSession, "buckets")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def _with_region(buckets):
-    return buckets.withColumn(_REGION, F.expr(_floor_div(_BUCKET, _REGION_BUCKETS)))
+def _width(parts):
+    """SQL of the key width that cuts ``_low`` to ``_high`` into ``parts`` ranges."""
+    span = "CAST(_high AS DECIMAL(20, 0)) - CAST(_low AS DECIMAL(20, 0)) + 1"
+    width = f"CAST(ceil(({span}) / CAST({parts} AS DECIMAL(20, 0))) AS DECIMAL(20, 0))"
+    return f"CAST(greatest(least({width}, {(1 << 63) - 1}BD), 1BD) AS BIGINT)"
+
+
+def _range_start(key, width):
+    """SQL of the smallest key of a key's range, where ranges begin at multiples of the width."""
+    return f"coalesce(try_subtract({key}, pmod({key}, {width})), {-(1 << 63)}L)"
+
+
+def buckets(df, series, order, chunk_rows, *summary):
+    """(rows with their bucket, one stored row per bucket).
+
+    A bucket is named by the first key of its range. Its row has the number of rows ``_n`` and
+    whatever ``summary`` adds up.
+    """
+    key = whole_number(df, order)
+    span = [F.min(F.expr(key)).alias("_low"), F.max(F.expr(key)).alias("_high"),
+            F.count(F.lit(1)).alias("_n")]
+    widths = df.groupBy(*series).agg(*span).select(
+        *series, F.expr(_width(f"ceil(_n / {chunk_rows})")).alias(_WIDTH)
+    )
+    bucketed = join_groups(df, _stored(widths), series).withColumn(
+        _BUCKET, F.expr(_range_start(key, _WIDTH))
+    ).drop(_WIDTH)
+    while True:
+        sizes = _stored(bucketed.groupBy(*series, _BUCKET).agg(*span, *summary))
+        large = sizes.where(f"_n > {_MOST_CHUNKS * chunk_rows} AND _high > _low")
+        if large.isEmpty():
+            return bucketed, sizes
+        parts = f"greatest(2, least({_MOST_PARTS}, ceil(_n / {chunk_rows})))"
+        finer = large.select(*series, _BUCKET, F.expr(_width(parts)).alias(_WIDTH))
+        cut = F.greatest(F.col(_BUCKET), F.expr(_range_start(key, _WIDTH)))
+        bucketed = join_groups(bucketed, finer, [*series, _BUCKET], "left").withColumn(
+            _BUCKET, F.when(F.col(_WIDTH).isNull(), F.col(_BUCKET)).otherwise(cut)
+        ).drop(_WIDTH)
 
 
 def _running(partition, order, last):
@@ -79,30 +122,28 @@ def _running(partition, order, last):
 
 def with_position(df, series, order, chunk_rows=DEFAULT_CHUNK_ROWS):
     """Add the zero-based position of each row in its series."""
-    return _positioned(df, columns(series), order, chunk_rows).drop(_BUCKET)
+    return _positioned(df, columns(series), order, chunk_rows).drop(_BUCKET, _RANK)
 
 
 def _positioned(df, series, order, chunk_rows, counted=None):
     """Positions and buckets; with ``counted``, only rows that have this value advance."""
-    bucketed = _with_bucket(df, order, chunk_rows)
     size = F.count(F.lit(1) if counted is None else counted)
-    sizes = _with_region(bucketed.groupBy(*series, _BUCKET).agg(size.alias("_rows")))
-    regions = sizes.groupBy(*series, _REGION).agg(F.sum("_rows").alias("_region_rows"))
-    starts = regions.select(
-        *series, _REGION,
-        (F.sum("_region_rows").over(_running(series, _REGION, 0)) - F.col("_region_rows"))
-        .alias("_start"),
+    bucketed, sizes = buckets(df, series, order, chunk_rows, size.alias("_rows"))
+    before = _running(series, _BUCKET, 0)
+    offsets = sizes.select(
+        *series, _BUCKET,
+        (F.sum("_rows").over(before) - F.col("_rows")).alias(_OFFSET),
+        F.row_number().over(Window.partitionBy(*series).orderBy(_BUCKET)).alias(_RANK),
     )
-    in_region = _running([*series, _REGION], _BUCKET, 0)
-    offsets = join_groups(
-        sizes.withColumn("_before", F.sum("_rows").over(in_region) - F.col("_rows")),
-        starts, [*series, _REGION],
-    ).select(*series, _BUCKET, (F.col("_start") + F.col("_before")).alias(_OFFSET))
     marked = _with_markers(bucketed, offsets)
     in_bucket = _running([_BUCKET, *series], [_IS_ROW, order], 0)
     seen = F.count(F.when(F.col(_IS_ROW), F.lit(1)) if counted is None else counted)
-    position = F.first(_OFFSET).over(in_bucket) + seen.over(in_bucket) - F.lit(1)
-    return marked.withColumn(POSITION, position).filter(_IS_ROW).drop(_OFFSET, _IS_ROW)
+    return marked.withColumns(
+        {
+            POSITION: F.first(_OFFSET).over(in_bucket) + seen.over(in_bucket) - F.lit(1),
+            _RANK: F.first(_RANK).over(in_bucket),
+        }
+    ).filter(_IS_ROW).drop(_OFFSET, _IS_ROW)
 
 
 def _with_markers(bucketed, per_bucket):
@@ -127,14 +168,14 @@ def with_chunks(df, series, order, halo, chunk_rows=DEFAULT_CHUNK_ROWS, counted=
     own = _floor_div(POSITION, rows)
     last = _floor_div(f"{POSITION} + {halo}", rows)
     if counted is not None:
-        aside = f"IF({_BUCKET} >= 0, -1 - 2 * {_BUCKET}, 2 * {_BUCKET})"
+        aside = f"-CAST({_RANK} AS BIGINT)"
         own, last = (f"IF(`{counted}` IS NULL, {aside}, {e})" for e in (own, last))
     return (
         _positioned(df, columns(series), order, chunk_rows, counted)
         .withColumn("_own", F.expr(own))
         .withColumn(CHUNK, F.explode(F.sequence("_own", F.expr(last))))
         .withColumn(HALO, F.col(CHUNK) != F.col("_own"))
-        .drop("_own", _BUCKET)
+        .drop("_own", _BUCKET, _RANK)
         .repartition(*columns(series), CHUNK)
     )
 
@@ -150,40 +191,16 @@ def forward_fill(df, series, order, values, chunk_rows=DEFAULT_CHUNK_ROWS):
     """Fill NULLs with the last value before them, for series of any length.
 
     A fill can reach back without limit, so a halo does not do. Each bucket's last values are
-    a small aggregate; what a bucket starts from is the last one before it in its region, or
-    else at the end of an earlier region.
+    stored with its size; what a bucket starts from is the last one of those before it.
     """
     series = columns(series)
-    bucketed = _with_bucket(df, order, chunk_rows)
-    ends = _with_region(
-        bucketed.groupBy(*series, _BUCKET).agg(
-            *[_last_known(v, order).alias(f"_end_{v}") for v in values]
-        )
-    )
-    region_ends = ends.groupBy(*series, _REGION).agg(
-        *[_last_known(f"_end_{v}", _BUCKET).alias(f"_region_{v}") for v in values]
-    )
-    earlier = region_ends.select(
-        *series, _REGION,
-        *[
-            F.last(f"_region_{v}", ignorenulls=True).over(_running(series, _REGION, -1))
-            .alias(f"_earlier_{v}")
-            for v in values
-        ],
+    bucketed, ends = buckets(
+        df, series, order, chunk_rows, *[_last_known(v, order).alias(f"_end_{v}") for v in values]
     )
-    in_region = _running([*series, _REGION], _BUCKET, -1)
-    carried = join_groups(
-        ends.select(
-            *series, _REGION, _BUCKET,
-            *[
-                F.last(f"_end_{v}", ignorenulls=True).over(in_region).alias(f"_near_{v}")
-                for v in values
-            ],
-        ),
-        earlier, [*series, _REGION],
-    ).select(
+    before = _running(series, _BUCKET, -1)
+    carried = ends.select(
         *series, _BUCKET,
-        *[F.coalesce(f"_near_{v}", f"_earlier_{v}").alias(v) for v in values],
+        *[F.last(f"_end_{v}", ignorenulls=True).over(before).alias(v) for v in values],
     )
     inside = _running([_BUCKET, *series], [_IS_ROW, order], 0)
     marked = _with_markers(bucketed, carried)

@@ -133,3 +133,55 @@ def test_dates_and_times_as_order(spark):
     for other in (dated, timed, timed.withColumn("tick", F.col("tick").cast("timestamp_ntz"))):
         got = indicators.rsi(other, "series", "tick", "close", chunk_rows=20)
         assert [r[2:] for r in rows(got)] == want
+
+
+def bucket_rows(df, chunk_rows):
+    _, sizes = longseries.buckets(df, ["series"], "tick", chunk_rows)
+    return sorted(r["_n"] for r in sizes.collect())
+
+
+def test_sparse_keys_do_not_make_a_bucket_a_row(spark):
+    """Ticks a second apart, counted in microseconds."""
+    df = spark.range(20_000).select(
+        F.lit("a").alias("series"), F.timestamp_seconds("id").alias("tick"), F.lit(1.0).alias("close")
+    )
+    sizes = bucket_rows(df, 1000)
+    assert len(sizes) <= 25 and sum(sizes) == 20_000 and sizes[-1] <= 2000
+
+
+def test_dense_spots_are_cut_again(spark):
+    keys = [i << 40 for i in range(500)] + [(7 << 40) + i for i in range(1, 3000)]
+    keys += [-(1 << 62), (1 << 62) + 5]
+    df = spark.createDataFrame([("a", k, 1.0) for k in keys], SCHEMA)
+    sizes = bucket_rows(df, 100)
+    assert sizes[-1] <= 200 and sum(sizes) == len(keys) and len(sizes) < 150
+    got = longseries.with_position(df, "series", "tick", 100)
+    assert [r["_position"] for r in got.orderBy("tick").collect()] == list(range(len(keys)))
+
+
+def test_each_series_has_its_own_width(spark):
+    near = spark.range(5000).selectExpr("'near' AS series", "id AS tick", "1.0D AS close")
+    far = spark.range(5000).selectExpr("'far' AS series", "id * 1000000007 AS tick", "1.0D AS close")
+    sizes = bucket_rows(near.union(far), 500)
+    assert len(sizes) <= 26 and sizes[-1] <= 1000
+
+
+def test_macd_is_one_pass(spark):
+    df = ticks(spark, 3, {"a": 300}, 1)
+    plan = indicators.macd(df, "series", "tick", "close", chunk_rows=64)._jdf.queryExecution()
+    text = plan.optimizedPlan().toString()
+    assert text.count("LogicalRDD") <= 2  # besides, two passes count the buckets
+
+
+def test_macd_with_equal_spans(spark):
+    df = ticks(spark, 3, {"a": 300}, 1)
+    got = indicators.macd(df, "series", "tick", "close", 3, 5, 5, chunk_rows=64)
+    want = indicators.macd(df, "series", "tick", "close", 3, 5, 5)
+    assert_close(got, want, ["macd", "macd_signal", "macd_hist"])
+    near = indicators.macd(df, "series", "tick", "close", 3, 5, 4)
+    line = indicators.ema(df, "series", "tick", "close", (3, 5), ("f", "s"))
+    line = line.withColumn("macd", F.col("f") - F.col("s"))
+    twice = indicators.ema(line, "series", "tick", "macd", (4,), ("macd_signal",)).withColumn(
+        "macd_hist", F.col("macd") - F.col("macd_signal")
+    )
+    assert_close(near, twice, ["macd", "macd_signal", "macd_hist"])
