@@ -3,6 +3,7 @@
 A rate table has one row per calendar day. Spark checks its size before it broadcasts one.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricemill.constants import CONVERTED_CURRENCIES, CURRENCIES, MEASURES
@@ -30,12 +31,38 @@ def on_spine(rates, days, date="date_rates"):
 def spine_fill(rates, days, values, date="date_rates"):
     """Every calendar day with each column filled forward on its own.
 
-    The window is one task. Its rows are distinct days, of which Spark's dates have 3.65
-    million (years 1 to 9999), however many rates and prices there are.
+    The columns become rows, each with its name as the key and valid from its day to the next day
+    that has a value. Validity is cut at the months: inside a month a window by (name, month)
+    fills, and what a month begins with is the last value of an earlier month, a running value by
+    name over one row a month. No window goes without a key, and only the second has a whole
+    column's months, 120 000 at most, in one task.
     """
-    spine = on_spine(rates, days, date).withColumn("base", F.lit("USD"))
-    window = ordered("base", date)
-    return spine.select(date, *[forward_filled(v, window).alias(v) for v in values])
+    spine = on_spine(rates, days, date)
+    nulls = ["NULL"] * len(values)
+    rows = ", ".join(
+        f"'{v}', " + ", ".join(f"`{v}`" if v == w else n for w, n in zip(values, nulls))
+        for v in values
+    )
+    names = ", ".join(f"`{v}`" for v in values)
+    month = F.trunc(date, "month").alias("_month")
+    held = spine.selectExpr(f"`{date}`", f"stack({len(values)}, {rows}) AS (_name, {names})").select(
+        "*", month
+    )
+    last = held.groupBy("_name", "_month").agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(date))).alias(f"_last_{v}") for v in values]
+    )
+    earlier = ordered("_name", "_month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(
+        "_name", "_month",
+        *[forward_filled(f"_last_{v}", earlier).alias(f"_carried_{v}") for v in values],
+    )
+    inside = ordered(["_name", "_month"], date)
+    filled = held.select(
+        date, "_name", "_month", *[forward_filled(v, inside).alias(v) for v in values]
+    ).join(carried, ["_name", "_month"])
+    return filled.groupBy(date).agg(
+        *[F.max(F.coalesce(v, f"_carried_{v}")).alias(v) for v in values]
+    )
 
 
 def asof_rates(df, rates, days, date, values=("rate_usd_chf", "rate_usd_eur")):

@@ -36,6 +36,27 @@ def test_no_single_partition(spark, sf_dir, name):
     assert "SinglePartition" not in plan(spark, sf_dir, name)
 
 
+def windows(plan):
+    """Every window of a logical plan, subqueries left out."""
+    if plan.nodeName() == "Window":
+        yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from windows(children.apply(i))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["fx_spine_ffill", "usd_to_other", "asof_rate", "convert_daily", "obt_fact_day", "gold_week",
+     "hist_daily", "agg_last12_month", "chart_series", "forecast_latest", "rsi14", "rsi14_ticks",
+     "sma_ticks", "ema_ticks", "macd_ticks", "ffill", "volatility_intensity", "period_stats"],
+)
+def test_every_window_has_a_key(spark, sf_dir, name):
+    frame = QUERIES[name](spark, sf_dir)
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    assert all(not w.partitionSpec().isEmpty() for w in windows(plan))
+
+
 @pytest.mark.parametrize(
     "name", ["dedupe_latest_text", "forecast_latest", "latest_two_bars", "agg_last12_week"]
 )
