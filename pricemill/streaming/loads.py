@@ -6,6 +6,7 @@ series and window (or by row key) and bounded by the watermark.
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pricemill.constants import LOOKBACK_DAYS
@@ -78,13 +79,16 @@ def distinct_rows(stream, keys, time, watermark=WATERMARK):
 def upsert(stream, target, checkpoint, keys, latest=None, mode="update"):
     """Merge each micro-batch into a month-partitioned Parquet table by key.
 
-    A replayed batch writes the same rows again, so the result does not depend on how often
-    a batch runs. With ``latest`` the newest row of a key wins, wherever it is: inside the batch,
+    Each batch leaves a commit record with the name of its stream in the table. A batch that the
+    checkpoint replays though it was committed is passed over; one that was not writes the same
+    rows again, so the result does not depend on how often a batch runs. With ``latest`` the newest row of a key wins, wherever it is: inside the batch,
     in an earlier batch, or stored before the stream began. NULL keys and NULL dates are equal.
     """
     spark = stream.sparkSession
 
     def merge(batch, batch_id):
+        if committed(spark, target, checkpoint, batch_id):
+            return
         rows = batch.withColumn("month", F.trunc("date", "month"))
         if latest is not None:
             rows = dedupe_latest(rows, [*keys, "month"], latest)
@@ -95,12 +99,36 @@ def upsert(stream, target, checkpoint, keys, latest=None, mode="update"):
             else:
                 updates = rows if latest is None else newest(spark, target, rows, keys, latest)
                 upsert_partitions(spark, target, updates, keys, "month")
+            commit(spark, target, checkpoint, batch_id)
         finally:
             rows.unpersist()
 
     drain(stream.writeStream.outputMode(mode).foreachBatch(merge), checkpoint)
 
 
+def _commits(target):
+    return f"{target.rstrip('/')}/_batches"
+
+
+def committed(spark, target, name, batch_id):
+    """Whether the stream's batch is in the table; only its newest record is kept in mind."""
+    try:
+        found = spark.read.schema("name string, batch_id long").json(_commits(target))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    last = found.where(F.col("name") == name).agg(F.max("batch_id")).first()[0]
+    return last is not None and batch_id <= last
+
+
+def commit(spark, target, name, batch_id):
+    """Record that all batches of the stream up to this one are in the table."""
+    spark.createDataFrame([(name, batch_id)], "name string, batch_id long").coalesce(1).write.mode(
+        "append"
+    ).json(_commits(target))
+
+
 def newest(spark, target, rows, keys, latest):
     """The rows, or the stored ones of the same keys where these are newer.
 

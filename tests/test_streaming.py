@@ -72,3 +72,67 @@ def test_repeats_are_dropped(spark, folder):
     kept = loads.distinct_rows(stream(spark, folder), ["event_id"], "ts")
     loads.ingest(kept.withColumnRenamed("ts", "time"), target, checkpoint)
     assert spark.read.parquet(target).count() == 15
+
+
+def build_bars(frame):
+    return bars.from_ticks(frame, "series", "ts", "price", "ts")
+
+
+def test_rows_a_month_late_are_kept_and_repaired(spark, folder):
+    target, root = scratch_path(spark, "t"), scratch_path(spark, "late")
+    windows, split = scratch_path(spark, "c"), scratch_path(spark, "c")
+    from pricemill.sources import evolving
+    from pricemill.streaming import late
+
+    def land(frame):
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        loads.upsert(
+            loads.daily_bars(stream(spark, folder, 1), "series", "ts", "price"), target, windows,
+            ["series", "date"],
+        )
+        late.split_late(stream(spark, folder, 1), "series", "ts", root, split)
+
+    def found():
+        return rows(evolving.read(spark, target), "series", "date", "low", "high", "open", "close")
+
+    def wanted():
+        return rows(build_bars(spark.read.schema(SCHEMA).parquet(folder)),
+                    "series", "date", "low", "high", "open", "close")
+
+    land(landed(spark, 0, 100))
+    land(landed(spark, 300, 20))
+    assert late.repair(
+        spark, root, spark.read.schema(SCHEMA).parquet(folder), build_bars, target, "series", "ts"
+    ) >= 0
+    assert found() == wanted()
+    land(landed(spark, 100, 100))  # thirty days late
+    assert found() != wanted()
+    stored = spark.read.schema(SCHEMA).parquet(folder)
+    assert late.repair(spark, root, stored, build_bars, target, "series", "ts") > 0
+    assert found() == wanted()
+    assert late.repair(spark, root, stored, build_bars, target, "series", "ts") == 0
+
+
+def test_a_committed_batch_is_passed_over(spark, folder):
+    target = scratch_path(spark, "t")
+    frame = landed(spark, 0, 4).withColumn("date", F.to_date("ts"))
+    from pricemill.sources import evolving
+
+    evolving.overwrite(spark, target, frame.withColumn("month", F.trunc("date", "month")), "month")
+    assert not loads.committed(spark, target, "s", 0)
+    loads.commit(spark, target, "s", 3)
+    loads.commit(spark, target, "other", 9)
+    assert loads.committed(spark, target, "s", 3) and loads.committed(spark, target, "s", 0)
+    assert not loads.committed(spark, target, "s", 4)
+    assert evolving.read(spark, target).count() == 4
+
+
+def test_stored_rows_without_a_date_are_compared(spark):
+    from pricemill.sources import evolving
+
+    target = scratch_path(spark, "t")
+    schema = "series string, date date, n long, month date"
+    evolving.overwrite(spark, target, spark.createDataFrame([("a", None, 5, None)], schema), "month")
+    arriving = spark.createDataFrame([("a", None, 3, None), ("b", None, 1, None)], schema)
+    got = loads.newest(spark, target, arriving, ["series", "date"], "n")
+    assert rows(got, "series", "n") == [("a", 5), ("b", 1)]
