@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pricemill.constants import DAYS_PER_FILTER, DEFAULT_FILTER_DAYS
+from pricemill.constants import CALENDAR_START, DAYS_PER_FILTER, DEFAULT_FILTER_DAYS
 from pricemill.functions.scalars import as_column, parse_time
 from pricemill.operators.bars import with_period_keys
 
@@ -25,6 +25,12 @@ def calendar_between(df, date):
     return with_period_keys(days, "date")
 
 
+def bounded(days, as_of=None, start=CALENDAR_START, date="date"):
+    """The days from ``start`` to ``as_of`` (default: today), both included."""
+    last = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    return days.where((as_column(date) >= F.lit(start).cast("date")) & (as_column(date) <= last))
+
+
 def join_calendar(df, days, date):
     """Add period keys by a left join with the calendar ; Spark broadcasts it while it is small."""
     return df.join(days.withColumnRenamed("date", date), date, "left")

@@ -6,6 +6,7 @@ from pricemill.constants import (
     INDICATOR_COLUMNS, INDICATORS, LOOKBACK_DAYS, MEASURES, RSI_PERIOD,
 )
 from pricemill.operators import fx, indicators
+from pricemill.operators.calendar import bounded
 from pricemill.operators.dedupe import dedupe_latest
 from pricemill.operators.incremental import filter_new
 from pricemill.plans import changes
@@ -29,8 +30,14 @@ def fact_indicators(raw, batch_id, target=None, processed_at=None, series="serie
     return stamp_batch(shaped, batch_id, processed_at)
 
 
-def usd_to_other(raw_chf, raw_eur, days, batch_id, target=None, processed_at=None):
-    """Both rates for every calendar day, filled forward; days before the first are left out."""
+def usd_to_other(raw_chf, raw_eur, days, batch_id, target=None, processed_at=None, start=None,
+                 as_of=None):
+    """Both rates for every calendar day, filled forward; days before the first are left out.
+
+    With ``start``, the days are those from it to ``as_of`` (default: today).
+    """
+    if start is not None:
+        days = bounded(days, as_of, start)
     fields = ["date", "rate", "ingest_date_time"]
     chf, eur = (
         dedupe_latest(raw.select(*fields), "date", "ingest_date_time")

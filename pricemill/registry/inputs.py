@@ -137,13 +137,17 @@ part(
 
 
 def raw_rates(spark, sf, flag):
-    """Weekday rates in two overlapping loads (by line status)."""
+    """Weekday rates in two overlapping loads (by line status).
+
+    Flag R is one currency, every other flag the second. A weekend's lines belong to Friday.
+    """
     cents = F.round(F.col("l_discount") * 100).cast("long")
-    lines = table(spark, sf, "lineitem").filter(
-        (F.col("l_returnflag") == flag) & (F.weekday("l_shipdate") < 5)
-    )
+    mine = F.col("l_returnflag") == "R"
+    lines = table(spark, sf, "lineitem").filter(mine if flag == "R" else ~mine)
+    day = F.to_date("l_shipdate")
+    weekday = F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))
     return (
-        lines.groupBy(F.to_date("l_shipdate").alias("date"), "l_linestatus")
+        lines.groupBy(weekday.alias("date"), "l_linestatus")
         .agg(F.sum(cents * 100).alias("total"), F.count(F.lit(1)).alias("lines"))
         .select(
             "date",
@@ -156,13 +160,13 @@ def raw_rates(spark, sf, flag):
 
 part(
     "x_raw_rates",
-    "SELECT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS date,"
+    "SELECT CASE WHEN l_returnflag = 'R' THEN 'R' ELSE 'A' END AS flag,"
+    " CAST(l_shipdate AS DATE) - CAST(greatest(isodow(l_shipdate) - 5, 0) AS INTEGER) AS date,"
     " CAST(8000 + sum(CAST(round(l_discount * 100) AS BIGINT) * 100) // count(*) AS DOUBLE)"
     " / CAST(10000 AS DOUBLE) AS rate,"
     " CASE l_linestatus WHEN 'O' THEN TIMESTAMP '2001-12-01 06:00:00'"
     " ELSE TIMESTAMP '2001-12-02 06:00:00' END AS ingest_date_time"
-    " FROM lineitem WHERE isodow(l_shipdate) <= 5 AND l_returnflag IN ('R', 'A')"
-    " GROUP BY l_returnflag, 2, l_linestatus",
+    " FROM lineitem GROUP BY 1, 2, l_linestatus",
 )
 part(
     "x_rate_days",
@@ -237,8 +241,8 @@ _SUPPLIED = {
 
 
 def raw_indicators(spark, sf):
-    """Indicator rows of weekdays, in the same overlapping loads as the candles."""
-    candles = raw_candles(spark, sf).filter(F.weekday("date") < 5)
+    """Indicator rows, in the same overlapping loads as the candles."""
+    candles = raw_candles(spark, sf)
     return candles.select(
         "series",
         F.date_format("date", "yyyy-MM-dd").alias("d"),
@@ -253,7 +257,7 @@ part(
     "SELECT series, strftime(date, '%Y-%m-%d') AS d,"
     " CAST(CAST(epoch(CAST(date AS TIMESTAMP)) AS BIGINT) AS VARCHAR) AS unix_ts, "
     + ", ".join(f"{e} AS {n}" for n, e in _SUPPLIED.items())
-    + ", ingest_date_time FROM x_raw WHERE isodow(date) <= 5",
+    + ", ingest_date_time FROM x_raw",
 )
 
 _RENAMED = {

@@ -109,9 +109,9 @@ def union_keep_last(spark, sf):
 
 @query("union_series", "SELECT * FROM x_bars")
 def union_series(spark, sf):
-    """One frame per pair, as landed, unioned under a series column."""
+    """One frame per pair, as landed, unioned under a series column; the pairs are the data's."""
     every = inputs.bars(spark, sf)
-    names = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    names = sorted(row[0] for row in every.select("series").distinct().collect())
     return bar_ops.union_series(
         {n: every.filter(F.col("series") == n).drop("series") for n in names}
     )

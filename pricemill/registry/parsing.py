@@ -90,37 +90,34 @@ def parse_indicators(spark, sf):
 
 
 def _csv_bars(spark, sf):
-    """Bars of one series as text, in the two time formats."""
-    bars = inputs.bars(spark, sf).filter("series = '1-URGENT'")
+    """Bars of every series as text, in the two time formats."""
+    bars = inputs.bars(spark, sf)
     early = F.col("date") < F.lit("1998-01-01").cast("date")
     time = F.when(early, F.date_format("date", "yyyy-MM-dd")).otherwise(
         F.date_format(F.col("date").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     )
-    return bars.select(time.alias("time"), *[F.col(c) for c in (*OHLC, "volume")])
+    return bars.select("series", time.alias("time"), *[F.col(c) for c in (*OHLC, "volume")])
 
 
-_CSV = (
-    "SELECT CAST(date AS TIMESTAMP) AS time, low, high, open, close, volume FROM x_bars"
-    " WHERE series = '1-URGENT'"
-)
+_CSV = "SELECT series, CAST(date AS TIMESTAMP) AS time, low, high, open, close, volume FROM x_bars"
 
 
 @query("scan_csv_bars", _CSV)
 def scan_csv_bars(spark, sf):
     path = scratch_path(spark, "csv")
     files.write_csv(_csv_bars(spark, sf), path)
-    return inputs.plain(files.scan_csv_bars(spark, path))
+    return inputs.plain(files.scan_csv_bars(spark, path, ["series"]))
 
 
 @query("csv_append_keep_last", _CSV.replace("volume FROM", "CASE WHEN date >= DATE '2000-01-01'"
        " THEN -volume ELSE volume END AS volume FROM"))
 def csv_append_keep_last(spark, sf):
-    """A re-fetched tail is appended to a file; its rows win over those already there."""
+    """A re-fetched tail of every series is appended; its rows win over those already there."""
     path, target = scratch_path(spark, "csv"), scratch_path(spark, "csv")
     files.write_csv(_csv_bars(spark, sf), path)
-    fresh = files.scan_csv_bars(spark, path).filter(F.col("time") >= "2000-01-01")
+    fresh = files.scan_csv_bars(spark, path, ["series"]).filter(F.col("time") >= "2000-01-01")
     fresh = fresh.withColumn("volume", -F.col("volume"))
-    return inputs.plain(files.append_csv(spark, fresh, path, target))
+    return inputs.plain(files.append_csv(spark, fresh, path, target, ["series"]))
 
 
 _PROPS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("k", T.LongType())])

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from pricemill.constants import OHLC
-from pricemill.operators import fx, longseries
+from pricemill.constants import CALENDAR_START, OHLC
+from pricemill.operators import calendar, fx, longseries
+from pricemill.plans import silver
 from pricemill.registry import inputs
 from pricemill.registry.entries import query, rounded
 
@@ -33,6 +34,54 @@ def usd_to_other(spark, sf):
     return inputs.plain(inputs.usd_rates(spark, sf))
 
 
+_ALL_DAYS = (
+    "(SELECT CAST(unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP),"
+    " INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders"
+    " UNION ALL SELECT CAST(ts AS DATE) FROM events))"
+)
+
+
+def _order_and_event_days(spark, sf):
+    """Every day from the first order to the last event, far before and behind the bound."""
+    both = inputs.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).unionAll(
+        inputs.table(spark, sf, "events").select(F.to_date("ts"))
+    )
+    return calendar.calendar_between(both, "d")
+
+
+@query(
+    "calendar_bound",
+    f"SELECT date FROM {_ALL_DAYS} WHERE date BETWEEN DATE '2009-12-31' AND DATE '2024-01-15'",
+)
+def calendar_bound(spark, sf):
+    """The calendar of the rates begins with a fixed day and ends with today."""
+    return calendar.bounded(_order_and_event_days(spark, sf), "2024-01-15").select("date")
+
+
+@query(
+    "usd_to_other_bounded",
+    "SELECT date_rates, rate_usd_chf, rate_usd_eur FROM (SELECT d.date AS date_rates,"
+    + ",".join(
+        f" last_value({c} IGNORE NULLS) OVER (ORDER BY d.date) AS {c}" for c in _RATES
+    )
+    + f" FROM {_ALL_DAYS} d LEFT JOIN (SELECT * REPLACE (CAST(date_rates + INTERVAL 5000 DAY AS"
+    " DATE) AS date_rates) FROM x_full) f ON d.date = f.date_rates"
+    " WHERE d.date BETWEEN DATE '2009-12-31' AND DATE '2012-01-31')"
+    " WHERE rate_usd_chf IS NOT NULL AND rate_usd_eur IS NOT NULL",
+)
+def usd_to_other_bounded(spark, sf):
+    """Rates moved by 5000 days, so that they reach over both bounds of the calendar."""
+    chf, eur = (
+        inputs.raw_rates(spark, sf, flag).withColumn("date", F.date_add("date", 5000))
+        for flag in "RA"
+    )
+    rates = silver.usd_to_other(
+        chf, eur, _order_and_event_days(spark, sf), inputs.BATCH, start=CALENDAR_START,
+        as_of="2012-01-31", processed_at=inputs.PROCESSED_AT,
+    )
+    return rates.select("date_rates", *_RATES)
+
+
 @query(
     "ffill",
     "SELECT series, tick, last_value(CASE WHEN close > 40000 THEN close END IGNORE NULLS)"

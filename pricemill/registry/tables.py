@@ -514,7 +514,7 @@ def load_candles(spark, sf):
     " DATE), DATE '2002-01-01') AS window_end FROM (SELECT table_name,"
     " unnest(generate_series(lo, DATE '2002-01-01', INTERVAL 200 DAY)) AS s FROM (SELECT"
     " lower(series) || '_usd_ohlcv' AS table_name, max(date) AS lo FROM x_bars"
-    " WHERE volume >= 2 GROUP BY series)) WHERE s < DATE '2002-01-01'",
+    " GROUP BY series)) WHERE s < DATE '2002-01-01'",
 )
 def plan_requests(spark, sf):
     """What to ask for next, from what is loaded."""
@@ -523,7 +523,7 @@ def plan_requests(spark, sf):
     pairs = pairs.withColumn("feed", scalars.feed_kind("base", "quote")).withColumn(
         "table_name", scalars.series_table_name("base", "quote")
     )
-    loaded = bars.filter("volume >= 2").select(
+    loaded = bars.select(
         scalars.series_table_name("series", F.lit("USD")).alias("table_name"), "date"
     )
     return planning.plan_requests(pairs, loaded, "2002-01-01").select(

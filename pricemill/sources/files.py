@@ -1,6 +1,7 @@
 """CSV and JSON files."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricemill.constants import OHLC
 from pricemill.functions.scalars import coerce_double, parse_time
@@ -8,10 +9,12 @@ from pricemill.operators.dedupe import union_keep_last
 from pricemill.schemas import CSV_BAR
 
 
-def scan_csv_bars(spark, path):
-    """OHLCV files whose times are dates or date-times, mixed."""
-    raw = spark.read.schema(CSV_BAR).csv(path, header=True)
+def scan_csv_bars(spark, path, keys=()):
+    """OHLCV files whose times are dates or date-times, mixed; text columns ``keys`` come first."""
+    schema = T.StructType([T.StructField(key, T.StringType()) for key in keys] + CSV_BAR.fields)
+    raw = spark.read.schema(schema).csv(path, header=True)
     return raw.select(
+        *keys,
         parse_time("time").alias("time"),
         *[coerce_double(name).alias(name) for name in (*OHLC, "volume")],
     )
@@ -27,14 +30,15 @@ def write_csv(df, path):
     df.write.mode("overwrite").csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
 
 
-def append_csv(spark, df, existing, target):
-    """Existing rows plus new ones, the new one winning on equal ``time``.
+def append_csv(spark, df, existing, target, keys=()):
+    """Existing rows plus new ones, the new one winning on equal ``keys`` and ``time``.
 
     The result goes to ``target``: Spark refuses to overwrite files it is reading. Times are
     compared as parsed, so both text formats of one moment are one key.
     """
-    write_csv(union_keep_last(scan_csv_bars(spark, existing), df, "time"), target)
-    return scan_csv_bars(spark, target)
+    known = scan_csv_bars(spark, existing, keys)
+    write_csv(union_keep_last(known, df, [*keys, "time"]), target)
+    return scan_csv_bars(spark, target, keys)
 
 
 def scan_json_column(df, column, schema):
