@@ -9,10 +9,10 @@ from pricemill.constants import INDICATOR_COLUMNS, PERIOD_KEYS
 from pricemill.functions import scalars
 from pricemill.operators import incremental
 from pricemill.operators.dedupe import dedupe_latest
-from pricemill.plans import bronze, gold, refresh, silver
+from pricemill.plans import bronze, gold, landing, refresh, silver
 from pricemill.registry import inputs
 from pricemill.registry.entries import query, rounded
-from pricemill.registry.parsing import candle_payloads
+from pricemill.registry.parsing import candle_payloads, fx_payloads, indicator_payloads
 from pricemill.session import scratch_path
 from pricemill.sources import evolving, planning, tables
 from pricemill.sources.payloads import empty
@@ -508,6 +508,107 @@ def load_candles(spark, sf):
     return inputs.plain(tables.scan_table(spark, target).drop("month"))
 
 
+def _landed(spark, sf):
+    """Candle, rate and indicator responses of every pair, and two that no parser takes."""
+    candles = candle_payloads(spark, sf).select(
+        F.lit("prices").alias("kind"), F.col("series").alias("base"), F.lit("USD").alias("quote"),
+        "payload",
+    )
+    rates = fx_payloads(spark, sf).select(
+        F.lit("prices").alias("kind"), F.lit("USD").alias("base"), F.lit("CHF").alias("quote"), "payload"
+    )
+    supplied = indicator_payloads(spark, sf).where(
+        F.col("ingest_date_time") == "2001-09-01 00:00:00"
+    ).select(
+        F.lit("indicators").alias("kind"), F.col("series").alias("base"), F.lit("USD").alias("quote"),
+        "payload",
+    )
+    broken = candles.select("kind", "base", "quote").distinct().withColumn(
+        "payload", F.lit('{"message": "limit"}')
+    )
+    return candles.unionAll(rates).unionAll(supplied).unionAll(broken)
+
+
+@query(
+    "load_all_pairs",
+    "SELECT 'candles' AS feed, lower(series) AS series, date, close AS value FROM x_bars"
+    " UNION ALL SELECT 'fx', 'usd', date, rate FROM x_rate_days WHERE flag = 'R'"
+    " UNION ALL SELECT 'indicators', lower(series), CAST(d AS DATE), macd FROM x_raw_ind"
+    " WHERE ingest_date_time = TIMESTAMP '2001-09-01 00:00:00'"
+    " UNION ALL SELECT 'rejected', lower(series), NULL, NULL FROM x_bars GROUP BY series",
+)
+def load_all_pairs(spark, sf):
+    """All pairs in one load, in two deliveries that overlap; refused responses are kept."""
+    root = scratch_path(spark, "landing")
+    rows = _landed(spark, sf)
+    half = F.pmod(F.xxhash64("payload"), F.lit(3))
+    landing.load_all(spark, rows.where(half < 2), root, inputs.PROCESSED_AT)
+    landing.load_all(spark, rows.where(half > 0), root, inputs.PROCESSED_AT)
+
+    def loaded(feed, value):
+        return evolving.read(spark, f"{root}/{feed}").select(
+            F.lit(feed).alias("feed"), "series", "date", F.col(value).alias("value")
+        )
+
+    refused = evolving.read(spark, f"{root}/rejected").select(
+        F.lit("rejected"), F.lower("base"), F.lit(None).cast("date"), F.lit(None).cast("double")
+    )
+    return loaded("candles", "close").unionAll(loaded("fx", "rate")).unionAll(
+        loaded("indicators", "macd")
+    ).unionAll(refused)
+
+
+@query(
+    "plan_loaded_pairs",
+    "SELECT table_name, CAST(s AS DATE) AS window_start, least(CAST(s + INTERVAL 1 DAY * step AS"
+    " DATE), DATE '2002-01-01') AS window_end FROM (SELECT table_name, step,"
+    " unnest(generate_series(lo, DATE '2002-01-01', INTERVAL 1 DAY * gap)) AS s FROM ("
+    " SELECT lower(series) || '_usd_ohlcv' AS table_name, CAST(max(date) AS TIMESTAMP) AS lo,"
+    " 200 AS step, 200 AS gap FROM x_bars GROUP BY series UNION ALL"
+    " SELECT 'usd_chf_rates', CAST(max(date) AS TIMESTAMP), 365, 366 FROM x_rate_days"
+    " WHERE flag = 'R')) WHERE s < DATE '2002-01-01'",
+)
+def plan_loaded_pairs(spark, sf):
+    """Requests follow from the manifest and the bronze tables of a load of all pairs."""
+    root = scratch_path(spark, "landing")
+    landing.load_all(spark, _landed(spark, sf), root, inputs.PROCESSED_AT)
+    return landing.next_requests(spark, root, "2002-01-01").select(
+        "table_name", "window_start", "window_end"
+    )
+
+
+@query("refresh_from_empty", "SELECT * FROM x_bars")
+def refresh_from_empty(spark, sf):
+    """A catalog table a pair, declared before any row: some pairs load nothing at first."""
+    bars = inputs.bars(spark, sf)
+    place = scratch_path(spark, "catalog")
+    database = scalars.schema_for(f"models/bronze/{place.rpartition('-')[2]}/pair.sql")
+    names = {
+        row["series"]: f"{database}.{row['table_name']}"
+        for row in bars.select("series").distinct().select(
+            "series",
+            F.regexp_replace(
+                scalars.series_table_name("series", F.lit("USD")), "[^a-z0-9_]", "_"
+            ).alias("table_name"),
+        ).collect()
+    }
+    for name in names.values():
+        tables.declare_table(spark, name, bars.schema, f"{place}/{name}")
+    first, *rest = sorted(names)
+    for series in names:  # the first delivery has rows of one pair only
+        rows = bars.where((F.col("series") == series) & (F.lit(series) == first))
+        tables.load_table(rows, names[series])
+    for series in rest:
+        found = tables.scan_table(spark, tables.quoted(names[series]))
+        if found.columns != bars.columns or not found.isEmpty():
+            raise ValueError(f"{names[series]} is not an empty table of bars")
+        tables.load_table(bars.where(F.col("series") == series), names[series])
+    return functools.reduce(
+        lambda a, b: a.unionByName(b),
+        [tables.scan_table(spark, tables.quoted(name)) for name in names.values()],
+    )
+
+
 @query(
     "plan_requests",
     "SELECT table_name, CAST(s AS DATE) AS window_start, least(CAST(s + INTERVAL 200 DAY AS"

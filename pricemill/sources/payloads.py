@@ -46,6 +46,29 @@ def parse_fx_rates(df, payload, quote, keep=()):
     )
 
 
+def parse_all_rates(df, payload, keep=()):
+    """The rates of every quote in the payload, one row a day and quote."""
+    shape = "rates map<string,map<string,string>>"
+    days = df.select(
+        *columns(keep), F.explode(F.from_json(payload, shape)["rates"]).alias("day", "quotes")
+    )
+    return days.select(
+        *columns(keep), parse_time("day").alias("time"), F.explode("quotes").alias("quote", "rate")
+    ).withColumn("rate", coerce_double("rate"))
+
+
+def is_candles(payload):
+    return F.from_json(payload, "array<array<string>>").isNotNull()
+
+
+def is_rates(payload):
+    return F.from_json(payload, "rates map<string,map<string,string>>")["rates"].isNotNull()
+
+
+def is_indicators(payload):
+    return F.from_json(payload, "array<struct<d:string>>").isNotNull()
+
+
 def parse_indicators(df, payload, keep=()):
     """``[{"d": ..., "unixTs": ..., "rsi": ..., ...}, ...]`` to indicator rows with a time."""
     numbers = ("rsi", *INDICATOR_COLUMNS)

@@ -13,6 +13,34 @@ def scan_table(spark, name):
     return spark.read.parquet(name) if "/" in name else spark.read.table(name)
 
 
+def declare_table(spark, name, schema, location, partition=()):
+    """A catalog table with its columns before it has rows; its schema (database) is made too."""
+    database = name.rpartition(".")[0]
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    by = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in partition)})" if partition else ""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {quoted(name)} ({fields}) USING parquet{by} LOCATION '{location}'"
+    )
+
+
+def quoted(name):
+    return ".".join(f"`{part}`" for part in name.split("."))
+
+
+def load_table(df, name):
+    """Append rows to a declared table: columns by name, those that the rows lack are NULL."""
+    known = df.sparkSession.read.table(quoted(name)).schema
+    there = set(df.columns)
+    rows = Observation("loaded")
+    df.select(
+        *[(F.col(f.name) if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name)
+          for f in known]
+    ).observe(rows, F.count(F.lit(1)).alias("rows")).write.insertInto(quoted(name))
+    return rows.get["rows"]
+
+
 def stamp_load(df, loaded_at=None):
     """Add the date of the row and the time of its load (default: now)."""
     now = F.current_timestamp() if loaded_at is None else F.lit(loaded_at).cast("timestamp")
