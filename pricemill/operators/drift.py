@@ -84,3 +84,90 @@ def diff(spark, expected, actual):
         elif want[path] != got[path]:
             rows.append((path, "retyped", want[path], got[path]))
     return spark.createDataFrame(rows, _DRIFT_SCHEMA)
+
+
+# Keys of an object are data if there are this many and an object has less than half of them.
+MAP_KEYS = 8
+MAP_PRESENCE = 0.5
+_PATHS_SCHEMA = "path string, kind string, seen long"
+
+
+def infer_paths(df, payload, max_depth=32):
+    """(path, kind, seen) of everything inside the payloads, merged over all of them.
+
+    Payloads are taken apart level by level: a level is (path, value) rows, of which kinds and,
+    for objects, the statistics of their keys are aggregated. An object whose keys are data (see
+    ``MAP_KEYS``) is a map, and its keys become one path before the next level is made. So what
+    reaches the driver has a row per path and kind of the contract, however many keys there are.
+    Text that is no JSON counts as kind ``invalid`` at the root; a null payload counts as nothing.
+    """
+    level = df.where(F.col(payload).isNotNull()).select(
+        F.lit("$").alias("path"), F.try_parse_json(payload).alias("value")
+    )
+    found, maps = [], set()
+    for _ in range(max_depth):
+        kinds = level.groupBy("path", _kind("value").alias("kind")).agg(F.count("*").alias("seen"))
+        rows = [tuple(row) for row in kinds.collect()]
+        if not rows:
+            break
+        objects = {path: seen for path, kind, seen in rows if kind == "object"}
+        entries = level.where(_kind("value") == "object").select(
+            "path", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("key", "value")
+        )
+        if objects:
+            maps |= _map_paths(entries, objects)
+        found += [
+            (path, "map" if kind == "object" and path in maps else kind, seen)
+            for path, kind, seen in rows
+        ]
+        is_map = F.col("path").isin(sorted(maps)) if maps else F.lit(False)
+        child = F.when(is_map, F.concat("path", F.lit("{}"))).otherwise(
+            F.concat("path", F.lit("."), "key")
+        )
+        items = level.where(_kind("value") == "array").select(
+            F.concat("path", F.lit("[]")).alias("path"),
+            F.explode(F.try_variant_get("value", "$", "array<variant>")).alias("value"),
+        )
+        level = entries.select(child.alias("path"), "value").unionAll(items)
+    return df.sparkSession.createDataFrame(sorted(found), _PATHS_SCHEMA)
+
+
+def _kind(value):
+    """The kind of one variant: object, array, string, number, boolean, null or invalid."""
+    name = F.schema_of_variant(value)
+    number = name.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return (
+        F.when(F.col(value).isNull(), "invalid")
+        .when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
+        .when(number, "number").when(name == "VOID", "null").otherwise(F.lower(name))
+    )
+
+
+def _map_paths(entries, objects):
+    """Paths of objects whose keys are many and seldom the same; counted per key, then per path."""
+    keys = entries.groupBy("path", "key").agg(F.count("*").alias("n"))
+    stats = keys.groupBy("path").agg(F.count("*").alias("keys"), F.sum("n").alias("entries"))
+    return {
+        row["path"] for row in stats.where(F.col("keys") >= MAP_KEYS).collect()
+        if row["entries"] < MAP_PRESENCE * row["keys"] * objects[row["path"]]
+    }
+
+
+def merged_kinds(paths):
+    """One kind a path: nulls give way, differing kinds are ``mixed``."""
+    known = F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))
+    return paths.groupBy("path").agg(
+        F.when(F.size(known) == 0, "null").when(F.size(known) == 1, F.element_at(known, 1))
+        .otherwise("mixed").alias("kind"),
+        F.sum("seen").alias("seen"),
+    )
+
+
+def diff_paths(expected, actual):
+    """Paths added, removed or of another kind; both sides are (path, kind) rows."""
+    want = expected.select("path", F.col("kind").alias("expected"))
+    got = actual.select("path", F.col("kind").alias("actual"))
+    kind = F.when(F.col("expected").isNull(), "added").when(F.col("actual").isNull(), "removed")
+    return want.join(got, "path", "full").where(
+        ~F.col("expected").eqNullSafe(F.col("actual"))
+    ).select("path", kind.otherwise("retyped").alias("kind"), "expected", "actual")

@@ -217,3 +217,63 @@ def schema_drift(spark, sf):
         ]
     )
     return drift.diff(spark, expected, inferred)
+
+
+# Each event as a payload whose ``rates`` are keyed by the day, with a field that comes and goes.
+_EVENT_JSON = (
+    "'{{\"id\": ' || {id} || ', \"kind\": \"' || event_type || '\", \"rates\": {{\"' || {day}"
+    " || '\": {{\"CHF\": ' || {id} || ', \"note\": null}}}}, \"tags\": [\"a\", ' || {id} || ']'"
+    " || CASE WHEN event_id % 2 = 0 THEN ', \"even\": true' ELSE '' END || '}}'"
+)
+
+
+def _event_payloads(spark, sf):
+    text = _EVENT_JSON.format(id="CAST(event_id AS STRING)", day="date_format(ts, 'yyyy-MM-dd')")
+    return inputs.table(spark, sf, "events").selectExpr(f"{text} AS payload")
+
+
+_TREE = (
+    "(SELECT regexp_replace(regexp_replace(fullkey, '\\.rates\\.\"?[0-9-]+\"?', '.rates{{}}', 'g'),"
+    " '\\[[0-9]+\\]', '[]', 'g') AS path, j.type AS type, j.atom AS atom"
+    " FROM (SELECT CAST({json} AS JSON) AS payload FROM events) AS e, json_tree(e.payload) AS j)"
+)
+_TREE_KIND = (
+    "CASE WHEN path = '$.rates' THEN 'map' WHEN type IN ('OBJECT', 'ARRAY', 'BOOLEAN', 'NULL')"
+    " THEN lower(type) WHEN type = 'VARCHAR' THEN 'string' ELSE 'number' END"
+)
+_EVENT_TREE = _TREE.format(
+    json=_EVENT_JSON.format(id="CAST(event_id AS VARCHAR)", day="strftime(ts, '%Y-%m-%d')")
+)
+
+
+@query(
+    "infer_paths",
+    f"SELECT path, {_TREE_KIND} AS kind, count(*) AS seen FROM {_EVENT_TREE} GROUP BY ALL",
+)
+def infer_paths(spark, sf):
+    """Every path of the payloads with its kinds; the days are found to be keys of a map."""
+    return drift.infer_paths(_event_payloads(spark, sf), "payload")
+
+
+@query(
+    "infer_contract",
+    "SELECT path, CASE count(DISTINCT kind) FILTER (kind <> 'null') WHEN 0 THEN 'null'"
+    " WHEN 1 THEN max(kind) FILTER (kind <> 'null') ELSE 'mixed' END AS kind, count(*) AS seen"
+    f" FROM (SELECT path, {_TREE_KIND} AS kind FROM {_EVENT_TREE}) GROUP BY path",
+)
+def infer_contract(spark, sf):
+    return drift.merged_kinds(drift.infer_paths(_event_payloads(spark, sf), "payload"))
+
+
+@query(
+    "drift_paths",
+    f"SELECT path, 'added' AS kind, CAST(NULL AS VARCHAR) AS expected, max({_TREE_KIND}) AS actual"
+    f" FROM {_EVENT_TREE} WHERE path = '$.even' GROUP BY path",
+)
+def drift_paths(spark, sf):
+    """What the odd events did not promise: a field of the even ones."""
+    payloads_ = _event_payloads(spark, sf)
+    is_even = F.col("payload").contains("even")
+    odd = drift.merged_kinds(drift.infer_paths(payloads_.where(~is_even), "payload"))
+    every = drift.merged_kinds(drift.infer_paths(payloads_, "payload"))
+    return drift.diff_paths(odd, every)
