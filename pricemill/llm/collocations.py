@@ -235,13 +235,11 @@ class Runs:
 def phrase_bounds(docs, ranges, most_words=MOST_WORDS):
     """Keys that cut the phrases into ranges of about equal size.
 
-    From some documents of the whole table; only the sizes of the ranges hang on which. Of their
-    phrases at most 100 a range reach the driver, cut to 256 characters.
+    From some documents of the whole table; only the sizes of the ranges hang on which.
     """
     share = min(1.0, _DOCUMENTS_PER_RANGE * ranges / max(docs.count(), 1))
     rows = phrase_rows(docs.sample(share, seed=1), most_words)
-    picked = rows.orderBy(F.xxhash64("key")).limit(_BOUNDS_PER_RANGE * ranges)
-    return cut_evenly([r[0] for r in picked.select(F.substring("key", 1, 256)).collect()], ranges)
+    return range_bounds(stored(rows.select("key")), ranges)
 
 
 def cut_evenly(keys, ranges):
