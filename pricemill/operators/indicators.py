@@ -285,6 +285,31 @@ def rsi_points(df, series, date="date", smooth=None):
     return smoothed.unionByName(raw.select(*point))
 
 
+def with_charted_rsi(df, series, date="date", smooth=None):
+    """Add the points of ``rsi_points`` to the rows: ``_rsi`` and its day ``_rsi_date``.
+
+    A month's mean is on the first row of the month, the other rows have none. All windows are
+    of one series, so the rows are shuffled once.
+    """
+    series = columns(series)
+    month = F.trunc(date, "month")
+    whole, in_month = Window.partitionBy(*series), Window.partitionBy(*series, month)
+    if smooth is None:
+        span = F.datediff(F.max(date).over(whole), F.min(date).over(whole))
+        means = span >= SMOOTHING_SPAN_DAYS
+    else:
+        means = F.lit(smooth)
+    first = F.row_number().over(in_month.orderBy(date)) == 1
+    mean = F.when(first, F.avg(rsi_or_default("rsi")).over(in_month))
+    middle = F.date_add(month, SMOOTHING_DAY_OF_MONTH - 1)
+    return df.withColumn("_means", means).withColumns(
+        {
+            "_rsi": F.when(F.col("_means"), mean).otherwise(F.col("rsi")),
+            "_rsi_date": F.when(F.col("_means"), middle).otherwise(F.col(date)),
+        }
+    ).drop("_means")
+
+
 def display_grain(df, series, date="date"):
     """``month`` for series of two years or more, else ``day``."""
     return (

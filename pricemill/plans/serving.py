@@ -222,19 +222,26 @@ def repair_lows(bars, date="date"):
 
 def chart_series(rows, groups=("rsi", "macd", "sma", "ema"), series="series", date="date",
                  smooth=None):
-    """Repaired prices and the chosen indicators as points; ``smooth`` as in ``rsi_points``."""
-    repaired = repair_lows(rows, date)
-    parts = [_points(repaired, OHLC, series, date)]
-    for group in groups:
-        if group == "rsi":
-            smoothed = indicators.rsi_points(rows, series, date, smooth)
-            parts.append(smoothed.select(series, date, F.lit("rsi").alias("indicator"), "value"))
-        else:
-            parts.append(indicator_points(repaired, group, series, date))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """Repaired prices and the chosen indicators as points; ``smooth`` as in ``rsi_points``.
+
+    One pass over the rows: the monthly mean of RSI is put on the first row of its month, and all
+    points come from one stack. Prices are points also where they are NULL.
+    """
+    names = [*OHLC, *[name for group in groups for name in INDICATOR_GROUPS[group]]]
+    points = repair_lows(rows, date)
+    when = as_column(date)
+    if "rsi" in groups:
+        points = indicators.with_charted_rsi(points, series, date, smooth)
+        when = F.when(F.col("indicator") == "rsi", F.col("_rsi_date")).otherwise(when)
+        cells = ", ".join(f"'{n}', {'_rsi' if n == 'rsi' else n}" for n in names)
+        kept = [series, date, "_rsi_date"]
+    else:
+        cells = ", ".join(f"'{n}', {n}" for n in names)
+        kept = [series, date]
+    stacked = points.selectExpr(*kept, f"stack({len(names)}, {cells}) AS (indicator, value)")
+    return stacked.where(F.col("indicator").isin(*OHLC) | F.col("value").isNotNull()).select(
+        series, when.alias(date), "indicator", "value"
+    )
 
 
 def volatility_series(bars, series="series"):
