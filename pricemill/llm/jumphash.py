@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pricemill.llm.common import documents_columns, stored
+from pricemill.llm.common import documents_columns, stored, unused
 
 # Fixed values of the published algorithm (Lamping and Veach)
 MULTIPLIER = 2862933555777941757
@@ -98,7 +98,12 @@ def with_slots(sharded, order):
 
 
 def write_shards(docs, path, shards=8):
-    """The documents themselves, one folder ``shard=N`` per shard."""
-    keyed = docs.withColumn("shard_key", F.col("doc_id").cast("long"))
-    frame = with_shards(keyed, "shard_key", {"shard": shards}).drop("shard_key")
-    frame.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
+    """The documents themselves, one folder ``shard=N`` per shard; returns the folders' column.
+
+    Where ``docs`` has a column of that name, the caller's stays and the folders get a longer one.
+    """
+    key, shard = unused(docs, "shard_key"), unused(docs, "shard")
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    frame = with_shards(keyed, key, {shard: shards}).drop(key)
+    frame.hint("rebalance", shard).write.partitionBy(shard).parquet(path)
+    return shard

@@ -254,7 +254,11 @@ def _sums(frame, function, size):
 
 
 def fit_rates(documents, targets=None, steps=STEPS, tolerance=TOLERANCE):
-    """Steps of the projected gradient descent over ``documents`` (n_tokens, p)."""
+    """Steps of the projected gradient descent over ``documents`` (n_tokens, p).
+
+    The best steps whose totals were computed. Where clean documents hold more than their share
+    already, the goal grows with them, so that none of them has to go.
+    """
     k = len(DOMAINS)
     share = np.array([(targets or TARGETS)[d] for d in DOMAINS], dtype=np.float64)
 
@@ -268,13 +272,16 @@ def fit_rates(documents, targets=None, steps=STEPS, tolerance=TOLERANCE):
     if total == 0 or share.sum() == 0:
         return []
     goal = share / share.sum() * total
+    clean = DOMAINS.index("clean")
+    if 0 < goal[clean] < expected[clean]:
+        goal = goal * (expected[clean] / goal[clean])
     metric = np.linalg.pinv(products / total, rcond=1e-9, hermitian=True)
-    taken, best, miss = [], np.inf, (expected - goal) / total
+    taken, kept, best, miss = [], [], np.inf, (expected - goal) / total
     for _ in range(steps):
         if np.abs(miss).max() >= best:
             taken[-1] = taken[-1] / 2
         else:
-            best = np.abs(miss).max()
+            kept, best = list(taken), np.abs(miss).max()
             if best <= tolerance:
                 break
             taken.append(metric @ miss)
@@ -284,7 +291,7 @@ def fit_rates(documents, targets=None, steps=STEPS, tolerance=TOLERANCE):
             return (tokens * rates_after(p, tried)) @ p
 
         miss = (_sums(documents, achieved, k) - goal) / total
-    return taken
+    return list(taken) if np.abs(miss).max() < best else kept
 
 
 def rated(documents, steps):
