@@ -82,6 +82,38 @@ def report(df, checks, unique_keys=()):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def report_once(df, checks, keys):
+    """All checks of a table and the uniqueness of its keys, in one pass.
+
+    Failures are counted per key first, so the count of repeated keys and the sums of failures
+    come from the same aggregate; a key with many rows is added up before it is shuffled.
+    """
+    keys = columns(keys)
+    per_key = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(c.failing).alias(f"_c{i}") for i, c in enumerate(checks)],
+    )
+    names = [(c.name, c.column) for c in checks] + [("unique", ",".join(keys))]
+    counts = per_key.agg(
+        *[F.coalesce(F.sum(f"_c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(checks))],
+        F.count_if(F.col("_n") > 1).alias(f"c{len(checks)}"),
+    )
+    rows = [
+        F.struct(F.lit(a).alias("check"), F.lit(b).alias("column"), F.col(f"c{i}").alias("failing"))
+        for i, (a, b) in enumerate(names)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def report_tables(tables):
+    """The reports of several tables as one: ``tables`` maps a name to (rows, checks, keys)."""
+    parts = [
+        report_once(df, checks, keys).select(F.lit(name).alias("table_name"), "*")
+        for name, (df, checks, keys) in tables.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def min_rows(df, series, at_least=2):
     """Rows per series, and whether there are enough to compute a change."""
     return df.groupBy(*columns(series)).agg(F.count(F.lit(1)).alias("rows")).withColumn(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricemill.operators import quality
+from pricemill.plans import declared
 from pricemill.registry import inputs
 from pricemill.registry.entries import query
 
@@ -120,6 +121,47 @@ def dq_report(spark, sf):
     return quality.report(inputs.obt(spark, sf), checks, [["series", "date_prices"]])
 
 
+_PERIOD_KEYS = {
+    "week": "iso_week_start_date", "month": "month_start_date",
+    "quarter": "quarter_start_date", "year": "year_start_date",
+}
+_PRICES = [f"{m}_{c}" for c in ("usd", "chf", "eur") for m in ("low", "high", "open", "close")]
+
+
+def _declared_sql():
+    def table(name, source, nulls, positives, keys, percent=True):
+        rows = [("not_null", c, f"{c} IS NULL") for c in nulls]
+        rows += [("positive_value", c, f"{c} <= 0") for c in positives]
+        rows += [("percentage_range", "rsi", "rsi < 0 OR rsi > 100")] * percent
+        parts = [
+            f"SELECT '{name}' AS table_name, '{check}' AS \"check\", '{column}' AS \"column\","
+            f" count(*) FILTER (WHERE {condition}) AS failing FROM {source}"
+            for check, column, condition in rows
+        ]
+        parts.append(
+            f"SELECT '{name}', 'unique', '{','.join(keys)}', count(*) FROM (SELECT 1 FROM {source}"
+            f" GROUP BY {', '.join(keys)} HAVING count(*) > 1)"
+        )
+        return parts
+
+    rates = ["rate_usd_chf", "rate_usd_eur"]
+    parts = table("daily", "x_obt", ["date_prices", "close_usd", "volume"],
+                  [*_PRICES, "volume", *rates], ["series", "date_prices"])
+    parts += table("rates", "x_usd", ["date_rates", *rates], rates, ["date_rates"], False)
+    for unit, key in _PERIOD_KEYS.items():
+        source = f"(SELECT *, 'b' AS dbt_batch_id FROM x_{unit}_rsi)"
+        parts += table(unit, source, [key, "close_usd", "dbt_batch_id"], _PRICES[:4], ["series", key])
+    return " UNION ALL ".join(parts)
+
+
+@query("dq_tables", _declared_sql())
+def dq_tables(spark, sf):
+    """The declared checks of the fact, the rates and the four gold tables."""
+    tables = {"daily": inputs.obt(spark, sf), "rates": inputs.usd_rates(spark, sf)}
+    tables |= {unit: inputs.gold_table(spark, sf, unit) for unit in _PERIOD_KEYS}
+    return declared.report(tables)
+
+
 def _texts(spark, sf):
     """Rows as they arrive: prices as text, some not numbers, some missing."""
     return inputs.table(spark, sf, "orders").select(

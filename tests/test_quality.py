@@ -89,3 +89,17 @@ def test_data_keys_become_a_map(spark):
     inferred = drift.infer_with_map(df, "payload", "rates")
     assert isinstance(inferred["rates"].dataType, T.MapType)
     assert drift.fields(inferred)["$.rates{}.EUR"] == "number"
+
+
+def test_a_report_in_one_pass(spark):
+    df = spark.createDataFrame(
+        [("a", 1, -1.0), ("a", 1, None), ("a", 2, 3.0), (None, 2, 0.0), (None, 2, 1.0)],
+        "series string, day int, price double",
+    )
+    checks = [quality.not_null("price"), quality.positive("price"), quality.not_null("series")]
+    keys = ["series", "day"]
+    once = rows(quality.report_once(df, checks, keys))
+    assert once == rows(quality.report(df, checks, [keys]))
+    assert [r[2] for r in rows(quality.report_once(df.limit(0), checks, keys))] == [0, 0, 0, 0]
+    both = quality.report_tables({"x": (df, checks, keys), "y": (df.limit(0), checks[:1], ["day"])})
+    assert both.count() == 6
