@@ -24,6 +24,7 @@ HEADLINE = (
     "current_metrics", "hist_daily", "hist_monthly", "agg_last12_week",
     "forecast_latest", "chart_series", "period_stats",
     "parse_candles", "upsert_by_key", "upsert_table", "dq_report", "stream_daily_bars",
+    "obt_incremental", "gold_incremental", "load_candles",
 )
 
 

@@ -1,6 +1,7 @@
 """Scalar column functions. All are built-in expressions, so they stay inside codegen."""
 
 from functools import reduce
+from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 
@@ -109,12 +110,14 @@ def series_table_name(base, quote):
     return F.lower(F.concat_ws("_", as_column(base), as_column(quote), suffix))
 
 
-def schema_for(model_path, custom=None):
-    """Schema of a table from its folder: ``silver/crypto/x.sql`` -> ``dlh_silver__crypto``."""
-    parts = model_path.replace("\\", "/").split("/")
-    folders = parts[1:-1] if parts[0] == "models" else parts[:-1]
-    name = SCHEMA_PREFIX + "__".join(folders)
-    return (f"{name}_{custom}" if custom is not None else name).lower()
+def schema_for(model_path, custom=None, prefix=SCHEMA_PREFIX):
+    """The schema (database) of a table: the prefix, the folders between root and file, a suffix.
+
+    ``silver/crypto/x.sql`` -> ``dlh_silver__crypto``; a leading ``models`` folder is the root.
+    """
+    folders = PurePosixPath(model_path.replace("\\", "/")).parent.parts
+    placed = [folder for i, folder in enumerate(folders) if (i, folder) != (0, "models")]
+    return "_".join(filter(None, (prefix + "__".join(placed), custom))).lower()
 
 
 def any_null(columns):

@@ -393,13 +393,37 @@ def obt_incremental(spark, sf):
     "SELECT * EXCLUDE (change, avg_gain, avg_loss, raw) FROM x_week_rsi",
 )
 def gold_incremental(spark, sf):
-    """A second run over an unchanged fact replaces the weeks it finds and changes nothing."""
+    """A second load corrects days of two months; the weeks they touch, and those behind them
+    whose RSI they reach, are replaced."""
+    root = scratch_path(spark, "gold")
+    corrected = F.month("date_prices").isin(3) & F.year("date_prices").isin(1994, 1997)
+    later = "2030-01-01 00:00:00"
     fact = inputs.obt(spark, sf)
-    first = gold.aggregate(fact, "week", "batch-0", processed_at=inputs.PROCESSED_AT)
-    second = gold.aggregate(
-        fact, "week", inputs.BATCH, target=first, processed_at=inputs.PROCESSED_AT
+    wrong = fact.withColumn(
+        "close_usd", F.when(corrected, F.col("close_usd") * 2).otherwise(F.col("close_usd"))
+    )
+    refresh.store(
+        spark, root, "week",
+        gold.aggregate(wrong, "week", "batch-0", processed_at=inputs.PROCESSED_AT),
+        ["series", PERIOD_KEYS["week"]], PERIOD_KEYS["week"], "year",
+    )
+    stamped = fact.withColumn(
+        "ingest_date_time",
+        F.when(corrected, F.lit(later).cast("timestamp")).otherwise(
+            F.lit("2000-01-01 00:00:00").cast("timestamp")
+        ),
+    )
+    refresh.store(
+        spark, root, "daily", stamped, ["series", "date_prices"], "date_prices", "year"
+    )
+    week = refresh.table_path(root, "week")
+    changed = gold.aggregate_changes(
+        evolving.read(spark, refresh.table_path(root, "daily")), "week", inputs.BATCH,
+        evolving.read(spark, week), processed_at=later,
+    )
+    merged = refresh.store(
+        spark, root, "week", changed, ["series", PERIOD_KEYS["week"]], PERIOD_KEYS["week"], "year"
     )
-    merged = incremental.upsert(first, second, ["series", PERIOD_KEYS["week"]])
     return merged.drop("ingest_date_time", "dbt_batch_id")
 
 

@@ -36,9 +36,9 @@ def plan_fx_windows(df, start, end):
     return plan_windows(df, start, end, FX_WINDOW_DAYS, 1)
 
 
-def configured_pairs(spark):
-    """The configured pairs with their feed and table name."""
-    pairs = spark.createDataFrame(list(CONFIGURED_PAIRS), "base string, quote string")
+def configured_pairs(spark, pairs=CONFIGURED_PAIRS):
+    """The configured (base, quote) pairs with their feed and table name."""
+    pairs = spark.createDataFrame(list(pairs), "base string, quote string")
     return pairs.withColumn("feed", feed_kind("base", "quote")).withColumn(
         "table_name", series_table_name("base", "quote")
     )
