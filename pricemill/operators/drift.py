@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricemill.session import scratch_path
+
 _DRIFT_SCHEMA = "path string, kind string, expected string, actual string"
 
 
@@ -92,60 +94,106 @@ MAP_PRESENCE = 0.5
 _PATHS_SCHEMA = "path string, kind string, seen long"
 
 
+# Payloads are first taken apart to this depth, then to twice as much while any goes deeper.
+FIRST_DEPTH = 4
+
+
 def infer_paths(df, payload, max_depth=32):
     """(path, kind, seen) of everything inside the payloads, merged over all of them.
 
-    Payloads are taken apart level by level: a level is (path, value) rows, of which kinds and,
-    for objects, the statistics of their keys are aggregated. An object whose keys are data (see
-    ``MAP_KEYS``) is a map, and its keys become one path before the next level is made. So what
-    reaches the driver has a row per path and kind of the contract, however many keys there are.
-    Text that is no JSON counts as kind ``invalid`` at the root; a null payload counts as nothing.
+    One pass takes the payloads apart and counts their nodes by the keys that lead to them; only
+    payloads deeper than ``FIRST_DEPTH`` ask for another. The counts are stored, and paths are made
+    of them level by level: of an object the statistics of its keys are aggregated, and if its keys
+    are data (see ``MAP_KEYS``) it is a map, and they become one path before the next level is made.
+    So what reaches the driver has a row per path and kind of the contract, however many keys there
+    are. Text that is no JSON counts as kind ``invalid`` at the root; a null payload as nothing.
     """
-    level = df.where(F.col(payload).isNotNull()).select(
-        F.lit("$").alias("path"), F.try_parse_json(payload).alias("value")
-    )
-    found, maps = [], set()
-    for _ in range(max_depth):
-        kinds = level.groupBy("path", _kind("value").alias("kind")).agg(F.count("*").alias("seen"))
-        rows = [tuple(row) for row in kinds.collect()]
-        if not rows:
+    values = df.where(F.col(payload).isNotNull()).select(F.try_parse_json(payload).alias("_value"))
+    depth = min(FIRST_DEPTH, max_depth - 1)
+    while True:
+        path = scratch_path(df.sparkSession, "nodes")
+        counted = _node_counts(values, depth)
+        counted.write.parquet(path)
+        nodes = df.sparkSession.read.schema(counted.schema).parquet(path)
+        deepest = nodes.agg(F.max(F.size("steps"))).first()[0] or 0
+        closed = nodes.where((F.size("steps") == depth) & F.col("head").isin("OBJECT", "ARRAY")).isEmpty()
+        if closed or depth == max_depth - 1:
             break
-        objects = {path: seen for path, kind, seen in rows if kind == "object"}
-        entries = level.where(_kind("value") == "object").select(
-            "path", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("key", "value")
-        )
-        if objects:
-            maps |= _map_paths(entries, objects)
-        found += [
-            (path, "map" if kind == "object" and path in maps else kind, seen)
-            for path, kind, seen in rows
-        ]
-        is_map = F.col("path").isin(sorted(maps)) if maps else F.lit(False)
-        child = F.when(is_map, F.concat("path", F.lit("{}"))).otherwise(
-            F.concat("path", F.lit("."), "key")
+        depth = min(2 * depth, max_depth - 1)
+    level, maps = nodes.withColumn("path", F.lit("$")), set()
+    for at in range(deepest):
+        step, size = F.get("steps", F.lit(at)), F.size("steps")
+        children = level.where((size == at + 1) & step.isNotNull())
+        objects = level.where((size == at) & (F.col("head") == "OBJECT"))
+        here = _map_paths(
+            children.groupBy("path", step.alias("key")).agg(F.sum("seen").alias("n")),
+            dict(objects.groupBy("path").agg(F.sum("seen")).collect()),
         )
-        items = level.where(_kind("value") == "array").select(
-            F.concat("path", F.lit("[]")).alias("path"),
-            F.explode(F.try_variant_get("value", "$", "array<variant>")).alias("value"),
+        child = F.concat(F.lit("."), step)
+        if here:
+            child = F.when(F.col("path").isin(sorted(here)), "{}").otherwise(child)
+        child = F.when(step.isNull(), "[]").otherwise(child)
+        level = level.withColumn(
+            "path", F.when(size > at, F.concat("path", child)).otherwise(F.col("path"))
         )
-        level = entries.select(child.alias("path"), "value").unionAll(items)
+        maps |= here
+    kinds = level.groupBy("path", _kind("head").alias("kind")).agg(F.sum("seen").alias("seen"))
+    found = [
+        (path, "map" if kind == "object" and path in maps else kind, seen)
+        for path, kind, seen in kinds.collect()
+    ]
     return df.sparkSession.createDataFrame(sorted(found), _PATHS_SCHEMA)
 
 
-def _kind(value):
-    """The kind of one variant: object, array, string, number, boolean, null or invalid."""
-    name = F.schema_of_variant(value)
-    number = name.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+def _node_counts(values, depth):
+    """(steps, head, seen): nodes down to ``depth`` by their keys (NULL in an array) and type.
+
+    Every row of the exploded payloads is a leaf and the nodes above it; a node is counted with
+    the first leaf below it. Only leaves are asked for their type.
+    """
+    explode = values.sparkSession.tvf.variant_explode_outer
+    taken, keys, heads = values, [], []
+    for at in range(1, depth + 1):
+        taken = taken.lateralJoin(explode(F.col("_value").outer()))
+        inner = F.when(F.col("key").isNull(), "ARRAY").otherwise("OBJECT")
+        taken = taken.select(
+            *keys, *heads, F.col("key").alias(f"_key{at}"), F.col("pos").alias(f"_pos{at}"),
+            *[f"_pos{i}" for i in range(1, at)], F.col("value").alias("_value_below"),
+            F.when(F.col("pos").isNotNull(), inner).otherwise(_head("_value", at == 1))
+            .alias(f"_head{at - 1}"),
+        ).withColumnRenamed("_value_below", "_value")
+        keys, heads = [*keys, f"_key{at}"], [*heads, f"_head{at - 1}"]
+    taken = taken.select("*", _head("_value", depth == 0).alias(f"_head{depth}"))
+    first, counted = F.lit(True), []
+    for at in range(depth, -1, -1):
+        head, steps = F.col(f"_head{at}"), F.array(*keys[:at]).cast("array<string>")
+        counted.append(
+            F.when(first & head.isNotNull(), F.struct(steps.alias("steps"), head.alias("head")))
+        )
+        first = first & (F.coalesce(F.col(f"_pos{at}"), F.lit(0)) == 0) if at else first
+    nodes = taken.select(F.explode(F.array(*counted)).alias("node")).where("node IS NOT NULL")
+    return nodes.groupBy("node.steps", "node.head").agg(F.count("*").alias("seen"))
+
+
+def _head(value, root):
+    """The first word of a variant's type; of none, NULL, at the root ``INVALID``."""
+    name = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    return F.coalesce(name, F.lit("INVALID")) if root else name
+
+
+def _kind(head):
+    """The kind of a type: object, array, string, number, boolean, null or invalid."""
+    head = F.col(head)
     return (
-        F.when(F.col(value).isNull(), "invalid")
-        .when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
-        .when(number, "number").when(name == "VOID", "null").otherwise(F.lower(name))
+        F.when(head.isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "number")
+        .when(head == "VOID", "null").otherwise(F.lower(head))
     )
 
 
-def _map_paths(entries, objects):
-    """Paths of objects whose keys are many and seldom the same; counted per key, then per path."""
-    keys = entries.groupBy("path", "key").agg(F.count("*").alias("n"))
+def _map_paths(keys, objects):
+    """Paths of objects whose keys are many and seldom the same; ``keys`` are (path, key, n)."""
+    if not objects:
+        return set()
     stats = keys.groupBy("path").agg(F.count("*").alias("keys"), F.sum("n").alias("entries"))
     return {
         row["path"] for row in stats.where(F.col("keys") >= MAP_KEYS).collect()

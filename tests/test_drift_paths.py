@@ -1,6 +1,7 @@
 """Inference by path rows: merged kinds, maps found by their keys, a bounded result."""
 
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,37 @@ def test_drift(spark):
 
 def test_nothing(spark):
     assert paths(spark, None).count() == 0
+
+
+def plain_nodes(value, path="$"):
+    """(path, kind) of every node, by walking the value."""
+    kinds = {dict: "object", list: "array", int: "number", str: "string"}
+    yield path, kinds[type(value)]
+    children = value.items() if isinstance(value, dict) else ()
+    for key, child in children:
+        yield from plain_nodes(child, f"{path}.{key}")
+    for child in value if isinstance(value, list) else ():
+        yield from plain_nodes(child, f"{path}[]")
+
+
+def test_deeper_than_the_first_pass(spark):
+    deep = 1
+    for i in range(9):
+        deep = [deep, {}, "x"] if i % 2 else {"k": deep, "z": []}
+    counts = Counter([*plain_nodes(deep)] * 2)
+    assert rows(paths(spark, deep, deep)) == sorted((*node, n) for node, n in counts.items())
+
+
+def test_payloads_are_read_once(spark):
+    """Depth does not multiply the work: each payload is parsed once, not twice a level and branch."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    texts = spark.range(20).selectExpr("""'{"a": {"b": [1, {"c": null}]}}' AS payload""")
+    seen = texts.mapInArrow(counted, "payload string")
+    assert drift.infer_paths(seen, "payload").count() == 6
+    assert parsed.value == 20
