@@ -78,10 +78,16 @@ def time_filter_days(name, as_of):
 
 def normalized_range(text):
     """``a ~ b`` to a struct of ordered dates; NULL when either side is not a date."""
-    parts = F.split(as_column(text), "~")
-    first, second = (parse_time(F.trim(F.get(parts, i))).cast("date") for i in (0, 1))
-    valid = (F.size(parts) == 2) & first.isNotNull() & second.isNotNull()
-    return F.when(
-        valid,
-        F.struct(F.least(first, second).alias("start"), F.greatest(first, second).alias("end")),
+    dates = F.transform(
+        F.split(as_column(text), "~"), lambda side: parse_time(F.trim(side)).cast("date")
     )
+
+    def ordered(pair):
+        first, second = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+        return F.when(
+            (F.size(pair) == 2) & first.isNotNull() & second.isNotNull(),
+            F.struct(F.least(first, second).alias("start"), F.greatest(first, second).alias("end")),
+        )
+
+    # the pair is bound once, as every use of the expression would parse the text again
+    return F.get(F.transform(F.array(dates), ordered), F.lit(0))
