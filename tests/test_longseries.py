@@ -185,3 +185,12 @@ def test_macd_with_equal_spans(spark):
         "macd_hist", F.col("macd") - F.col("macd_signal")
     )
     assert_close(near, twice, ["macd", "macd_signal", "macd_hist"])
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Twice the rows are twice the tasks, so a task's windows do not grow with the input."""
+    monkeypatch.setattr(longseries, "TASK_ROWS", 100)
+    for rows_ in (2000, 4000):
+        ticks = spark.range(rows_).selectExpr("'a' AS series", "id AS tick", "1.0D AS price")
+        chunked = longseries.with_chunks(ticks, "series", "tick", 0, 50)
+        assert chunked.rdd.getNumPartitions() == rows_ // 100
