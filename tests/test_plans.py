@@ -1,8 +1,9 @@
 """Plan shapes that the scale of the data depends on."""
 
 import pytest
+from pyspark.sql import DataFrame
 
-from pricemill.registry import QUERIES
+from pricemill.registry import QUERIES, tables
 
 
 WRITING = (
@@ -81,3 +82,17 @@ def test_scans_read_only_needed_columns(spark, sf_dir):
 def test_date_filter_reaches_the_scan(spark, sf_dir):
     text = plan(spark, sf_dir, "in_preset")
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in text
+
+
+@pytest.mark.parametrize("made", [tables._refreshed, tables._corrected])
+def test_refreshes_read_the_given_tables_once(spark, sf_dir, monkeypatch, made):
+    """No step of a refresh aggregates the ticks and lines again: its inputs are stored tables."""
+    read = []
+    monkeypatch.setattr(
+        tables.refresh, "refresh",
+        lambda spark, root, *frames, **more: read.extend(
+            path for f in frames if isinstance(f, DataFrame) for path in f.inputFiles()
+        ),
+    )
+    made.__wrapped__(sf_dir)
+    assert read and not any(path.startswith(f"file://{sf_dir}/") for path in read)
