@@ -1,6 +1,7 @@
 """Indicator semantics on hand-made rows."""
 
 import datetime
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,35 @@ def test_volatility_intensity_handles_flat_series(spark):
     )
     got = rows(indicators.volatility_intensity(df, "series"), "series", "volatility", "intensity")
     assert got == [(None, 2.0, 1.0), ("a", 1.0, 0.25), ("a", 4.0, 1.0), ("b", 0.0, None)]
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 64])
+def test_sma_of_awkward_prices(spark, chunk_rows):
+    """Missing, infinite and huge prices count in their own spans only."""
+    prices = [float(i * i % 97) for i in range(700)]
+    for i in (3, 4, 5, 6, 7, 8, 9, 10, 300):
+        prices[i] = None
+    prices[100], prices[200], prices[400] = float("inf"), 1e300, float("nan")
+    frame = spark.createDataFrame(
+        [("a", i, p) for i, p in enumerate(prices)] + [("b", 1, 2.0)], "series string, i long, p double"
+    )
+    spans = (1, 7, 64, 200)
+    found = {
+        r["i"]: r for r in indicators.sma(frame, "series", "i", "p", spans, chunk_rows).collect()
+        if r["series"] == "a"
+    }
+    assert len(found) == len(prices)
+    for i, span in itertools.product(range(len(prices)), spans):
+        seen = [p for p in prices[max(0, i + 1 - span):i + 1] if p is not None]
+        got = found[i][f"sma_{span}"]
+        if i + 1 < span or not seen:
+            assert got is None
+        else:
+            assert got == pytest.approx(sum(seen) / len(seen), rel=1e-12, nan_ok=True)
+
+
+def test_sma_has_no_sliding_frame(spark):
+    """A frame that slides is added up anew on every row: ``span`` steps a row."""
+    frame = spark.createDataFrame([("a", 1, 1.0)], "series string, i long, p double")
+    plan = indicators.sma(frame, "series", "i", "p", (7, 200))._jdf.queryExecution().toString()
+    assert "lag(" in plan and "avg(" not in plan
