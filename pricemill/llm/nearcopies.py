@@ -1,16 +1,19 @@
 """Near copies by the Jaccard similarity of their shingles, as the pipeline's stage asks for.
 
 A text is the set of its shingles of five words; two texts are near copies if their sets have a
-Jaccard similarity of 0.8 or more. A fingerprint of 64 bits cannot tell: at 0.8 about ten bits
-differ, too many for the pigeonhole of ``simhash``. So candidates come from min-hashes: texts
-that agree in all hashes of one band share a bucket. At a similarity of exactly 0.8 a pair shares
-none of the ``BANDS`` buckets with a chance of 1 in 2800, above it less.
+Jaccard similarity of 0.8 or more. Candidates come from the SimHash of that set, searched by the
+generalised pigeonhole of ``simhash`` at ``DISTANCE`` bits. At a similarity of 0.8 about ten of 64
+bits differ, more than any pigeonhole over that many bits can search, so what fingerprints leave
+apart is completed by min-hashes: texts that agree in all hashes of one band share a bucket. At a
+similarity of exactly 0.8 a pair shares none of the ``BANDS`` buckets with a chance of 1 in 2800,
+above it less. Every link of either kind is verified by the exact similarity.
 
 All decisions are made on narrow rows: texts with equal sets are one node, a node is a number with
 its sketch and the row it stands for. Texts move twice, for the nodes that have candidates and
 for the rows that stay.
 
-First pass: within a bucket only a forest of largest estimated similarity is emitted, verified by
+First pass: texts with one fingerprint are candidates of their first, and linked fingerprints of
+each other by their first texts. Within a bucket of min-hashes only a forest of largest estimated similarity is emitted, verified by
 the exact similarity of its two texts, and contracted. A bucket above ``bucket_limit`` is dealt
 into blocks that share some pivots, so its rows stay in proportion. That links what is alike in
 groups of any size. Second pass: where a bucket still holds several groups, its members come
@@ -37,11 +40,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pricemill.llm.common import stored, unused
-from pricemill.llm.simhash import components
+from pricemill.llm.simhash import components, links, majority
 
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)
 SEED = 42
+DISTANCE = 3
 BANDS, ROWS = 20, 5
 BUCKET_LIMIT = 1024
 # Estimates below this are no edge: three deviations of 100 hashes below the similarity
@@ -97,42 +101,64 @@ def placed(docs, file, row):
 
 
 def sketched(docs, file, row):
-    """file, row, doc_id, digest of the shingles, 16 bits of each min-hash, number of shingles."""
+    """file, row, doc_id; of the shingles digest, SimHash, 16 bits of each min-hash, number."""
 
     def assign(batches):
         for batch in batches:
-            digests, sketches, sizes = [], [], []
+            digests, prints, sketches, sizes = [], [], [], []
             for text in batch.column(3).to_pylist():
                 found = shingles(text)
                 digests.append(xxhash.xxh128_digest(found.tobytes(), SEED))
+                prints.append(majority(found))
                 least = min_hashes(found)
                 sketches.append((least & np.uint64(0xFFFF)).astype("<u2").tobytes())
                 sizes.append(len(found))
             yield pa.record_batch(
-                [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()),
-                 pa.array(sizes, pa.int32())],
-                names=["file", "row", "doc_id", "digest", "sketch", "size"],
+                [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(prints, pa.int64()),
+                 pa.array(sketches, pa.binary()), pa.array(sizes, pa.int32())],
+                names=["file", "row", "doc_id", "digest", "fingerprint", "sketch", "size"],
             )
 
     return docs.select(
         F.col(file).alias("file"), F.col(row).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
     ).mapInArrow(
-        assign, "file long, row long, doc_id long, digest binary, sketch binary, size int"
+        assign,
+        "file long, row long, doc_id long, digest binary, fingerprint long, sketch binary, size int",
     )
 
 
 def distinct_nodes(printed):
-    """(node, null_doc, doc_id, file, row, sketch, size): each distinct set, and its first row."""
+    """(node, null_doc, doc_id, file, row, fingerprint, sketch, size): each set, its first row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_doc"), "doc_id", "file", "row"))
     nodes = printed.groupBy("digest").agg(
-        first.alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("size").alias("size")
+        first.alias("first"),
+        *[F.any_value(c).alias(c) for c in ("fingerprint", "sketch", "size")],
     )
     return stored(
-        nodes.select(F.monotonically_increasing_id().alias("node"), "first.*", "sketch", "size")
+        nodes.select(
+            F.monotonically_increasing_id().alias("node"), "first.*", "fingerprint", "sketch", "size"
+        )
     )
 
 
+def fingerprint_edges(nodes, distance=DISTANCE):
+    """Edges (a, b) of the nodes that fingerprints within ``distance`` link.
+
+    A node is linked with the first of its own fingerprint, and the firsts of the fingerprints
+    with each other; empty sets have no fingerprint to tell them by and no near copy.
+    """
+    printed = nodes.where("size > 0")
+    firsts = stored(printed.groupBy("fingerprint").agg(F.min("node").alias("first")))
+    same = printed.join(firsts, "fingerprint").where("node > first").select(
+        F.col("first").alias("a"), F.col("node").alias("b")
+    )
+    left = firsts.select(F.col("fingerprint").alias("a"), F.col("first").alias("x"))
+    right = firsts.select(F.col("fingerprint").alias("b"), F.col("first").alias("y"))
+    linked = links(firsts.select("fingerprint"), distance).join(left, "a").join(right, "b")
+    return same.unionAll(linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def bucket_members(nodes):
     """(node, band, key) of every node in each of its buckets."""
     width = 2 * ROWS
@@ -388,7 +414,9 @@ def near_copy_groups(nodes, fetch_texts, bucket_limit=BUCKET_LIMIT):
     buckets = bucket_members(nodes)
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(buckets.join(sizes, "key").select("node", "key", "band", "n"))
-    edges = stored(candidate_edges(members, nodes, bucket_limit))
+    edges = stored(
+        fingerprint_edges(nodes).unionAll(candidate_edges(members, nodes, bucket_limit)).distinct()
+    )
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     large = members.where(F.col("n") > bucket_limit).select("node")
     texts = stored(fetch_texts(ends.unionAll(large).distinct()))

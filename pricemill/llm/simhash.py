@@ -44,9 +44,14 @@ def fingerprint(text):
     hashes = [
         xxhash.xxh64_intdigest(joined[a:b - 1], SEED) for a, b in zip(starts, starts[span:])
     ]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes):
+    """The bits set in over half of the unsigned 64-bit hashes, as a signed integer."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), _CHUNK):
-        part = np.array(hashes[i:i + _CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        part = np.ascontiguousarray(hashes[i:i + _CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 

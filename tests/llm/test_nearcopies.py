@@ -109,3 +109,30 @@ def test_intersections_are_exact():
     counts = nearcopies.shared_counts(sets, width=7)
     for i, j in itertools.permutations(range(20), 2):
         assert counts[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_fingerprints_give_candidates(spark):
+    """The pigeonhole over SimHashes finds exactly the texts whose fingerprints are close."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(60):
+        base = [f"w{i}" for i in rng.integers(0, 9000, 400)]
+        texts += [" ".join(base), edited(base, 1, rng), edited(base, 3, rng)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    placed = nearcopies.placed(docs, "file", "row")
+    nodes = nearcopies.distinct_nodes(nearcopies.sketched(placed, "file", "row"))
+    prints = {r["node"]: r["fingerprint"] % (1 << 64) for r in nodes.collect()}
+
+    def roots(edges):
+        root = {node: node for node in prints}
+        for _ in prints:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    close = [
+        (a, b) for a, b in itertools.combinations(prints, 2)
+        if (prints[a] ^ prints[b]).bit_count() <= nearcopies.DISTANCE
+    ]
+    found = [(r["a"], r["b"]) for r in nearcopies.fingerprint_edges(nodes).collect()]
+    assert len(close) > 30 and roots(found) == roots(close)
