@@ -6,7 +6,8 @@ own: pieces by falling length, each into the first sequence with room, which a t
 over the free places finds in logarithmic time. A group leaves about one sequence part-empty.
 
 The tokenizer drops white space and never joins across it, nor across the end of a run of letters,
-so ids are found once per distinct word and task, in caches of bounded size.
+so ids are found once per distinct word of a block of texts: from caches of bounded size, or else
+by the tokenizer, whose model alone takes runs of Latin letters.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are packed each on its own;
 a null doc_id stays null; empty tables give no rows; other columns are ignored. ``docs`` must be a
@@ -14,11 +15,11 @@ scan or a stored table, so that a task that runs again sees the same rows in the
 """
 
 import itertools
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
@@ -29,80 +30,106 @@ SEQUENCE_LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 1024
 # Latin letters up to a mark of ASCII punctuation or the end: the tokenizer cuts there too
-LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]++(?![^!-/:-@\[-`{-~])")
-_CACHED_WORDS = 300_000
-_WORDS_AT_ONCE = 2000
-_DOCS_AT_ONCE = 256
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+PARTS = (
+    f"^(?s:(?P<letters>[{_LETTER}]+)(?P<marks>(?:[!-/:-@\\[-`{{-~].*)?)|(?P<other>.*))$"
+)
+_CACHED_PARTS = 1 << 19
+_BLOCK_BYTES = 4 << 20
 _BINS_PER_GROUP = 1 << 24
 
 
+def binaries(ids, ends):
+    """Lists of ids, one after the other in ``ids`` up to each of ``ends``, as binary values."""
+    offsets = 4 * np.array([0, *ends], dtype=np.int64)
+    data = np.array(ids, dtype="<u4").tobytes()
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]
+    )
+
+
+class PartIds:
+    """Little-endian ids of parts of words, those of earlier blocks from a cache of bounded size."""
+
+    def __init__(self, encoded):
+        self.encoded = encoded
+        self.parts = pa.array([], type=pa.large_string())
+        self.ids = pa.array([], type=pa.large_binary())
+
+    def of(self, parts):
+        parts = parts.dictionary_encode()
+        place = pc.index_in(parts.dictionary, value_set=self.parts)
+        new = parts.dictionary.filter(place.is_null())
+        places = place.fill_null(-1).to_numpy().copy()
+        places[places < 0] = np.arange(len(self.parts), len(self.parts) + len(new))
+        encoded = self.encoded(new.to_numpy(zero_copy_only=False).tolist())
+        self.parts = pa.concat_arrays([self.parts, new])
+        self.ids = pa.concat_arrays([self.ids, encoded])
+        ids = self.ids.take(pa.array(places))
+        if len(self.parts) > _CACHED_PARTS:
+            self.parts, self.ids = parts.dictionary, ids
+        return ids.take(parts.indices)
+
+
 class WordIds:
-    """Little-endian ids of words, in a cache of two generations of bounded size."""
+    """Little-endian ids of the words of many texts.
+
+    Texts are split, and equal words are found, by Arrow. Only the distinct words of a block of
+    texts are taken apart, and only the parts that the caches lack meet the tokenizer.
+    """
 
     def __init__(self, path):
         self.tokenizer = load_tokenizer(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known, self.before = {}, {}
-        self.parts, self.parts_before = {}, {}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        in_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = {chr(c).lower() for c in range(0xc0, 0x250)}
+        self.in_bytes = {ord(c): in_bytes(c)[0][0] for c in letters if len(c) == 1}
+        self.letters, self.others = PartIds(self.encoded_letters), PartIds(self.encoded)
 
     def encoded(self, texts):
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(encoding.ids, dtype="<u4") for encoding in found]
+        ids = [encoding.ids for encoding in found]
+        return binaries(list(itertools.chain(*ids)), list(itertools.accumulate(map(len, ids))))
 
     def encoded_letters(self, words):
-        """Ids of words of letters only: many at once, cut at the ends of words."""
-        cut = []
-        for i in range(0, len(words), _WORDS_AT_ONCE):
-            block = words[i:i + _WORDS_AT_ONCE]
-            ids = self.encoded([" ".join(block)])[0]
-            stops = np.nonzero(self.ends[ids])[0] + 1
-            if len(stops) != len(block):  # a letter that the normalizer takes apart
-                cut += [ids.tobytes() for ids in self.encoded(block)]
-                continue
-            data, at = ids.tobytes(), 0
-            for stop in (4 * stops).tolist():
-                cut.append(data[at:stop])
-                at = stop
-        return cut
-
-    def learn(self, words):
-        if len(self.known) > _CACHED_WORDS:
-            self.known, self.before = {}, self.known
-            self.parts, self.parts_before = {}, self.parts
-        pairs, letters, others = {}, [], []
-        for word in set(words).difference(self.known):
-            if word in self.before:
-                self.known[word] = self.before[word]
-                continue
-            text = word.decode()
-            stem = LETTERS.match(text)
-            if stem:
-                parts = (word[:len(stem[0].encode())].lower().decode(), text[stem.end():])
-            else:
-                parts = ("", text)
-            pairs[word] = parts
-            for part, new in zip(parts, (letters, others)):
-                if part and part not in self.parts:
-                    if part in self.parts_before:
-                        self.parts[part] = self.parts_before[part]
-                    else:
-                        self.parts[part] = None
-                        new.append(part)
-        self.parts.update(zip(letters, self.encoded_letters(letters)))
-        self.parts.update(zip(others, [ids.tobytes() for ids in self.encoded(others)]))
-        self.parts[""] = b""
-        for word, (stem, rest) in pairs.items():
-            self.known[word] = self.parts[stem] + self.parts[rest]
+        """Ids of small letters only: one word to the tokenizer's model, its letters in bytes."""
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], []
+        for word in words:
+            if not word.isascii():
+                word = word.translate(self.in_bytes)
+            ids += [token.id for token in tokenize(word)]
+            ends.append(len(ids))
+        return binaries(ids, ends)
+
+    def word_ids(self, words):
+        """The ids of each of the distinct words: of its letters, and of what follows them."""
+        found = pc.extract_regex(words, PARTS)
+        letters, marks, other = (pc.struct_field(found, [i]) for i in range(3))
+        others = pc.binary_join_element_wise(marks, other, pa.scalar("", pa.large_string()))
+        return pc.binary_join_element_wise(
+            self.letters.of(pc.utf8_lower(letters)), self.others.of(others),
+            pa.scalar(b"", pa.large_binary()),
+        )
 
     def of(self, texts):
         """The ids of each text with the end id, as bytes."""
-        split = [(text or "").encode().split() for text in texts]
-        self.learn([word for words in split for word in words])
-        end = END_ID.to_bytes(4, "little")
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) + end for words in split]
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        ids = self.word_ids(words.dictionary).take(words.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())])
+        stops = ends[split.offsets.to_numpy()].tolist()
+        data, end = memoryview(ids.buffers()[2] or b""), END_ID.to_bytes(4, "little")
+        return [bytes(data[start:stop]) + end for start, stop in itertools.pairwise(stops)]
+
+
+def blocks(batch, column, most_bytes=_BLOCK_BYTES):
+    """Slices of a batch whose texts have ``most_bytes`` and one text more at the utmost."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    ends = np.nonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most_bytes))[0] + 1
+    for start, stop in itertools.pairwise([0, *ends.tolist(), batch.num_rows]):
+        yield batch.slice(start, stop - start)
 
 
 def token_pieces(docs, path=None, length=SEQUENCE_LENGTH, with_ids=False):
@@ -115,12 +142,9 @@ def token_pieces(docs, path=None, length=SEQUENCE_LENGTH, with_ids=False):
         words = WordIds(path)
         salt = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
-                part = batch.slice(at, _DOCS_AT_ONCE)
+            for part in blocks(batch, 1):
                 rows = []
-                for doc, ids in zip(
-                    part.column(0).to_pylist(), words.of(part.column(1).to_pylist())
-                ):
+                for doc, ids in zip(part.column(0).to_pylist(), words.of(part.column(1))):
                     salt += 1
                     total = len(ids) // 4
                     for start in range(0, total, length):

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,62 @@ def test_word_ids_match_the_library():
         assert np.frombuffer(data, "<u4").tolist() == want
 
 
+@pytest.mark.parametrize("cached", [20, 1 << 19])
+def test_word_ids_of_odd_words(monkeypatch, cached):
+    monkeypatch.setattr(packing, "_CACHED_PARTS", cached)
+    after = ["", "b", " B", "!B", "'s", "-\u0338", "\u0301", "7"]
+    texts = [chr(c) + end for c in range(0x250) for end in after]
+    texts += ["", None, " \t", "a\x0bb\x0cc\r\n", "a\x1cb \x85c\xa0d\u2028e", "x" * 5000, "\u01c5 \ufb01"]
+    texts += ["A<|endoftext|>A<|EndOfText|>", "\u0421\u043b\u043e\u0432\u043e!", "\u65e5\u672c text"]
+    path = vocabulary_path("word_bpe_49k.json")
+    tokenizer, words = load_tokenizer(path), packing.WordIds(path)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for at in [*range(0, len(texts), 300), 0]:
+        got = words.of(texts[at:at + 300])
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want[at:at + 300]
+    assert words.of([]) == []
+
+
+def test_blocks():
+    texts = ["ab", None, "", "\xe9" * 9, "c", "d" * 4, "e" * 4, "f"]
+    batch = pa.record_batch([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    for most in (1, 5, 8, 1000):
+        parts = list(packing.blocks(batch, 1, most))
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+        for part in parts:
+            sizes = [len((t or "").encode()) for t in part.column(1).to_pylist()]
+            assert sum(sizes) <= most + max(sizes)
+    assert pa.Table.from_batches(packing.blocks(batch.slice(0, 0), 1)).num_rows == 0
+
+
+class SeenByTokenizer:
+    """A tokenizer that keeps what it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.texts, self.words = tokenizer, self, [], []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def tokenize(self, word):
+        self.words.append(word)
+        return self.tokenizer.model.tokenize(word)
+
+
+def test_runs_of_letters_meet_the_model_alone_and_once(table):
+    texts = [text for _, text in texts_of(table("documents"))]
+    words = packing.WordIds(vocabulary_path("word_bpe_49k.json"))
+    words.tokenizer = seen = SeenByTokenizer(words.tokenizer)
+    for at in range(0, len(texts), 50):
+        words.of(texts[at:at + 50])
+    # normalizing and splitting letters again was most of the tokenizer's time
+    assert sum(map(len, seen.texts)) < 0.05 * len({w for t in texts for w in t.split()})
+    assert len(seen.words) == len(set(seen.words)) > 1000
+    words.of(texts)
+    assert len(seen.words) == len(set(seen.words))
+
+
 # --- op6
 
 
